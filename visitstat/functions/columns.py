@@ -82,3 +82,15 @@ def sturges_bins(n: str | Column) -> Column:
 def ln_bin_count(n: str | Column) -> Column:
     """1 + 3.5 * ln(n): the (fractional) bin count of the bin plan."""
     return F.lit(LN_BIN_A) + F.lit(LN_BIN_B) * F.ln(col_or_none(n))
+
+
+def round_half_up(c: str | Column, digits: int) -> Column:
+    """Round to ``digits`` decimals, halves away from zero, on the double value.
+
+    Written as sign(x) * floor(|x| * 10^d + 0.5) / 10^d so that any engine
+    doing the same IEEE operations gives the same double (the SQL oracles
+    use the identical formula).
+    """
+    x = col_or_none(c)
+    scale = float(10 ** digits)
+    return F.signum(x) * (F.floor(F.abs(x) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale))

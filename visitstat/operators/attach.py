@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitstat.session import checkpoint_dir
+from visitstat.session import write_table
 
 # A per-group table is broadcast only when its row count, measured after it has
 # been written out, is at most this many rows; beyond it the join is a shuffle
@@ -15,15 +15,14 @@ from visitstat.session import checkpoint_dir
 BROADCAST_MAX_ROWS = 200_000
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and read it back (cuts lineage)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return write_table(df, name)
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
     """Materialize a small derived table once and report whether it fits ``max_rows``."""
-    m = materialize(df)
+    m = materialize(df, "small")
     return m, m.count() <= max_rows
 
 

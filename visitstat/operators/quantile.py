@@ -16,8 +16,8 @@ one task. This operator never gathers a group:
    the segment (bounded by one partition) and the values at the wanted ranks
    picked out; at most two per quantile and group reach the final step.
 
-Interpolation follows ``percentile``/``PERCENTILE_CONT``: position (n-1)*q
-between the values at floor and ceil of it. Nulls and NaN are ignored.
+Interpolation follows ``PERCENTILE_CONT``: position p = (n-1)*q, value
+x[floor p] * (1 - d) + x[ceil p] * d with d = p - floor p. Nulls and NaN are ignored.
 """
 
 from __future__ import annotations
@@ -84,7 +84,8 @@ def quantiles_long(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
         lower, higher = F.floor(pos), F.ceil(pos)
         xl, xh = F.element_at("__vals", lower), F.element_at("__vals", higher)
         value = (F.when((lower == higher) | (xl == xh), xl)
-                 .otherwise((higher.cast("double") - pos) * xl + (pos - lower.cast("double")) * xh))
+                 .otherwise(xl * (F.lit(1.0) - (pos - lower.cast("double")))
+                            + xh * (pos - lower.cast("double"))))
         outs.append(F.struct(F.lit(q).alias("q"), value.alias("value")))
     return (vals.select(*keys, F.col(_M).alias("column"), F.inline(F.array(*outs))))
 

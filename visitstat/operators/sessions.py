@@ -45,6 +45,7 @@ def flatten_sessions(df: DataFrame) -> DataFrame:
     new_rev = F.when(rev.isNotNull() & (newv == 1), rev)
     return df.select(
         session_key().alias("unique_session_id"),
+        F.col("visitId"),
         micro_to_units(rev).alias("total_revenue"),
         rev.alias("revenue_micro"),
         F.col("totals.visits").alias("visits"),

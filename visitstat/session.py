@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +30,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     """A session for tests, the bench and local runs (no UI, UTC, ANSI)."""
     b = (SparkSession.builder.master(master).appName(app_name)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "8g")
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
@@ -64,3 +66,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="visitstat-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str = "table") -> str:
+    """A fresh folder below the shared checkpoint folder, for a written intermediate table."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/visitstat/{name}-{uuid.uuid4().hex}"
+
+
+def write_table(df, name: str = "table"):
+    """Write ``df`` as parquet into the shared checkpoint folder and read it back.
+
+    This is how the library cuts lineage: one pass writes the table, later
+    steps read the files. A lost executor then costs a re-read of the files,
+    not a recomputation of the plan that produced them.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

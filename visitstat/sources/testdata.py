@@ -3,17 +3,22 @@
 The real input is a day-sharded table of nested session records. The test
 tables are orders/customers/line items, so this module maps them onto that
 record (one order = one session); the joins below exist only to build it.
+Every field is taken from the data itself (no id arithmetic).
 
 Mapping (fixed, the SQL oracles build the same rows):
-  fullVisitorId   = customer key as text        visitId  = order key
+  fullVisitorId   = customer key as text        visitId      = order key
   date            = order date as yyyyMMdd      table_suffix = same text
-  channelGrouping = order priority              device.operatingSystem = order status
-  device.browser  = market segment              device.deviceCategory  = region name
-  trafficSource.source = nation name            geoNetwork.country = region (or nation) name
-  totals.totalTransactionRevenue = total price in micro-units on orders with key % 10 < 3
-  totals.visits = 1                             totals.hits = number of line items
-  totals.pageviews = sum of line quantities     totals.timeOnSite = 60 * sum of line numbers, unless key % 7 = 0
-  totals.newVisits = 1 on a customer's first (lowest key) order
+  channelGrouping = order priority              device.operatingSystem = market segment
+  device.browser  = order status                device.deviceCategory  = region name
+  trafficSource.source = region name            geoNetwork.country     = nation name
+  totals.totalTransactionRevenue = total price in micro-units, only on fulfilled
+                                   orders (status 'F'); null otherwise
+  totals.visits    = 1
+  totals.hits      = number of line items (null for an order without lines)
+  totals.pageviews = sum of line quantities
+  totals.timeOnSite = 60 * sum of the line numbers of lines not returned
+                      (null when every line was returned, or there are none)
+  totals.newVisits = 1 on a customer's first (lowest key) order, else null
 """
 
 from __future__ import annotations
@@ -21,31 +26,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed values of the mapping.
+CONVERTED_STATUS = "F"     # order status that carries revenue
+RETURNED_FLAG = "R"        # line return flag left out of time on site
+SECONDS_PER_LINE = 60
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sessions_from_testdata(spark: SparkSession, sf_dir: str, country: str = "region") -> DataFrame:
+def sessions_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested session rows (plus ``table_suffix``) derived from the test tables.
 
     Plan notes: line items are pre-aggregated per order before any join
-    (partial aggregation, so an order with a huge number of lines is one row
-    per map task), the first-order marker is a grouped min joined back on the
-    customer key rather than a window (a customer holding a third of all
-    orders would otherwise sit in one task), and the nation/region lookups are
-    left to Spark's size-checked broadcast. Only the columns a query reads
-    survive Catalyst's pruning of the structs below.
+    (partial aggregation), the first-order marker is a grouped min joined back
+    on the customer key rather than a window (a customer holding a third of
+    all orders would otherwise sit in one task; AQE splits that key in the
+    join instead), and the nation/region lookups are broadcast by Spark on
+    their file size. Catalyst prunes whatever a query does not read, down to
+    single struct fields.
     """
-    if country not in ("region", "nation"):
-        raise ValueError("country must be 'region' or 'nation'")
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     lines = (table(spark, sf_dir, "lineitem")
              .groupBy("l_orderkey")
              .agg(F.count(F.lit(1)).alias("n_lines"),
                   F.sum("l_quantity").alias("qty"),
-                  F.sum("l_linenumber").alias("sum_line")))
+                  F.sum(F.when(F.col("l_returnflag") != F.lit(RETURNED_FLAG), F.col("l_linenumber")))
+                   .alias("kept_lines")))
     first = orders.groupBy(F.col("o_custkey").alias("f_custkey")).agg(F.min("o_orderkey").alias("first_key"))
     geo = (table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
            .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -60,12 +69,12 @@ def sessions_from_testdata(spark: SparkSession, sf_dir: str, country: str = "reg
     key = F.col("o_orderkey")
     day = F.date_format("o_orderdate", "yyyyMMdd")
     totals = F.struct(
-        F.when(key % 10 < 3, F.round(F.col("o_totalprice") * F.lit(1e6)).cast("bigint"))
-         .alias("totalTransactionRevenue"),
+        F.when(F.col("o_orderstatus") == F.lit(CONVERTED_STATUS),
+               F.round(F.col("o_totalprice") * F.lit(1e6)).cast("bigint")).alias("totalTransactionRevenue"),
         F.lit(1).cast("bigint").alias("visits"),
         F.col("n_lines").cast("bigint").alias("hits"),
         F.round(F.col("qty")).cast("bigint").alias("pageviews"),
-        F.when(key % 7 != 0, (F.col("sum_line") * F.lit(60)).cast("bigint")).alias("timeOnSite"),
+        (F.col("kept_lines") * F.lit(SECONDS_PER_LINE)).cast("bigint").alias("timeOnSite"),
         F.when(F.col("first_key") == key, F.lit(1).cast("bigint")).alias("newVisits"),
     )
     return s.select(
@@ -74,10 +83,10 @@ def sessions_from_testdata(spark: SparkSession, sf_dir: str, country: str = "reg
         day.alias("date"),
         F.col("o_orderpriority").alias("channelGrouping"),
         totals.alias("totals"),
-        F.struct(F.col("n_name").alias("source")).alias("trafficSource"),
-        F.struct(F.col("c_mktsegment").alias("browser"),
-                 F.col("o_orderstatus").alias("operatingSystem"),
+        F.struct(F.col("r_name").alias("source")).alias("trafficSource"),
+        F.struct(F.col("o_orderstatus").alias("browser"),
+                 F.col("c_mktsegment").alias("operatingSystem"),
                  F.col("r_name").alias("deviceCategory")).alias("device"),
-        F.struct(F.col("r_name" if country == "region" else "n_name").alias("country")).alias("geoNetwork"),
+        F.struct(F.col("n_name").alias("country")).alias("geoNetwork"),
         day.alias("table_suffix"),
     )
