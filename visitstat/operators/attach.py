@@ -22,8 +22,8 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
     """Materialize a small derived table once and report whether it fits ``max_rows``."""
-    m = materialize(df, "small")
-    return m, m.count() <= max_rows
+    m, rows = write_table(df, "small", count_rows=True)
+    return m, rows <= max_rows
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]):

@@ -98,7 +98,8 @@ def bin_plan(df: DataFrame, by: Sequence[str], value: str, median_method: str =
     prof = summarize(df, by, {
         "count": F.count(v), "avg": F.avg(v), "sko": F.stddev_samp(v),
         "over_test_min": F.min(v), "over_test_max": F.max(v), "over_test": F.count(v),
-    }, {"median": value}, median_method=median_method, max_rows=max_rows).where(F.col("over_test") > 0)
+    }, {"median": value}, median_method=median_method, inputs=[value], max_rows=max_rows
+    ).where(F.col("over_test") > 0)
     rng = F.col("over_test_max") - F.col("over_test_min")
     bins_f = F.lit(LN_BIN_A) + F.lit(LN_BIN_B) * F.ln(F.col("over_test").cast("double"))
     k = F.when(rng > F.lit(0), F.ceil(bins_f)).otherwise(F.lit(1)).cast("bigint")

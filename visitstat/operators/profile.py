@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitstat.functions import ratio
-from visitstat.operators.attach import BROADCAST_MAX_ROWS, attach
+from visitstat.operators.attach import BROADCAST_MAX_ROWS, materialize, null_safe_on
 from visitstat.operators.quantile import exact_quantiles, quantiles_long
 
 _ALL = "__all"
@@ -31,10 +31,12 @@ def _quantile_agg(c: str, q: float, method: str) -> Column:
 
 def summarize(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
               medians: Mapping[str, str] | None = None, median_method: str = "distributed",
-              max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+              inputs: Sequence[str] | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``groupBy(by).agg(aggs)`` plus exact medians, one row per group.
 
     ``medians`` maps an output name to the input column whose median it is.
+    ``inputs`` names the columns the aggregates read (default: all columns);
+    only these are kept when the rows are written for the two passes.
     Output columns: ``by``, then ``aggs`` in order, then ``medians`` in order.
     """
     if median_method not in MEDIAN_METHODS:
@@ -48,12 +50,20 @@ def summarize(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
         extra = [_quantile_agg(c, 0.5, median_method).alias(n) for n, c in medians.items()]
         out = df.groupBy(*by).agg(*[e.alias(n) for n, e in aggs.items()], *extra)
     else:
-        base = df.groupBy(*by).agg(*[e.alias(n) for n, e in aggs.items()]) if aggs else \
-            df.select(*by).distinct()
+        # The rows feed two jobs (moments and quantiles): write them once so the
+        # plan that produced them runs once.
         cols = sorted(set(medians.values()))
-        med = exact_quantiles(df, by, cols, (0.5,), name=lambda c, q: f"__med_{c}", max_rows=max_rows)
-        med = med.select(*by, *[F.col(f"__med_{c}").alias(n) for n, c in medians.items()])
-        out = attach(base, med, by, how="left", max_rows=max_rows)
+        needed = list(dict.fromkeys([*by, *cols, *(df.columns if inputs is None else inputs)]))
+        rows = materialize(df.select(*needed), "profiled")
+        base = rows.groupBy(*by).agg(*[e.alias(n) for n, e in aggs.items()]) if aggs else \
+            rows.select(*by).distinct()
+        med = exact_quantiles(rows, by, cols, (0.5,), name=lambda c, q: f"__med_{c}", max_rows=max_rows)
+        med = med.select(*[F.col(k).alias(f"__k_{i}") for i, k in enumerate(by)],
+                         *[F.col(f"__med_{c}").alias(n) for n, c in medians.items()])
+        # Both sides hold one row per group: a shuffle join on the group key,
+        # turned into a broadcast by AQE when the measured side is small.
+        on = null_safe_on(base, med, [(k, f"__k_{i}") for i, k in enumerate(by)])
+        out = base.join(med, on, "left").drop(*[f"__k_{i}" for i in range(len(by))])
     cols_out = [*by, *aggs.keys(), *medians.keys()]
     out = out.select(*cols_out)
     return out.drop(_ALL) if keyless else out
@@ -78,7 +88,7 @@ def group_profile(df: DataFrame, by: Sequence[str], value: str,
         raise ValueError(f"unknown metrics {sorted(unknown)}")
     aggs = {m: exprs[m] for m in metrics if m != "median"}
     meds = {"median": value} if "median" in metrics else {}
-    out = summarize(df, by, aggs, meds, median_method=median_method, max_rows=max_rows)
+    out = summarize(df, by, aggs, meds, median_method=median_method, inputs=[value], max_rows=max_rows)
     return out.select(*by, *metrics)
 
 

@@ -103,7 +103,9 @@ def segment_report(df: DataFrame, lo: str | None = None, hi: str | None = None,
     }
     meds = {"median_revenue": "total_revenue", "median_visits": "visits", "median_hits": "hits",
             "median_pageviews": "pageviews", "median_timeonsite": "timeOnSite"}
-    seg = materialize(summarize(flat, by, aggs, meds, median_method=median_method), "segments")
+    inputs = ["unique_session_id", "newvisits", "revenue_micro", "revenue_from_new_micro", "total_revenue",
+              "visits", "hits", "pageviews", "timeOnSite"]
+    seg = materialize(summarize(flat, by, aggs, meds, median_method=median_method, inputs=inputs), "segments")
     total = seg.agg(F.sum("count_parted")).first()[0] or 0
     out = seg.select(
         *by, *[F.col(c) for c in aggs if c not in ("sum_revenue_micro", "sum_new_micro", "count_revenue")],

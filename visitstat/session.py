@@ -73,14 +73,25 @@ def scratch_path(spark: SparkSession, name: str = "table") -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/visitstat/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df, name: str = "table"):
+def write_table(df, name: str = "table", count_rows: bool = False):
     """Write ``df`` as parquet into the shared checkpoint folder and read it back.
 
     This is how the library cuts lineage: one pass writes the table, later
     steps read the files. A lost executor then costs a re-read of the files,
-    not a recomputation of the plan that produced them.
+    not a recomputation of the plan that produced them. The table is read
+    back with the schema it was written with (no footer scan). With
+    ``count_rows`` the row count is observed during the write itself and
+    returned as well: ``(table, rows)``.
     """
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    obs = None
+    if count_rows:
+        obs = Observation(f"rows_{uuid.uuid4().hex}")
+        df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    return (table, int(obs.get["rows"])) if count_rows else table

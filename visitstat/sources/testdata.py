@@ -32,8 +32,16 @@ RETURNED_FLAG = "R"        # line return flag left out of time on site
 SECONDS_PER_LINE = 60
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One test table; the DataFrame (and its schema) is reused within a session."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _TABLES[key] = spark.read.parquet(key[1])
+    return df
 
 
 def sessions_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
