@@ -35,8 +35,9 @@ def histogram(df: DataFrame, column: str, bins: int | None = None, log10: bool =
       logarithm for 0 or less); the bin count still comes from n;
     * edges are min..max; if they are equal the range is widened by 0.5 on
       each side; the last bin is closed; bin placement and edges follow
-      numpy's ``histogram`` (edge i = i * (hi - lo) / k + lo, with the same
-      correction for values that sit on an edge).
+      numpy's ``histogram``: index floor((x - lo) / (hi - lo) * k), edge
+      i = i * ((hi - lo) / k) + lo, and the same one-step correction for
+      values that sit on an edge.
 
     Plan: one global aggregate (count/min/max, a single row of numbers to
     the driver), then one grouped count over k bins with partial
@@ -62,13 +63,13 @@ def histogram(df: DataFrame, column: str, bins: int | None = None, log10: bool =
     if first == last:
         first, last = first - 0.5, last + 0.5
     step = (last - first) / k
-    norm = k / (last - first)
+    denom = last - first
 
     def edge(i):  # i: bigint column
         return F.when(i >= F.lit(k), F.lit(last)).otherwise(i.cast("double") * F.lit(step) + F.lit(first))
 
     v = F.col("__x")
-    i0 = F.floor((v - F.lit(first)) * F.lit(norm))
+    i0 = F.floor((v - F.lit(first)) / F.lit(denom) * F.lit(float(k)))
     i0 = F.when(i0 >= F.lit(k), F.lit(k - 1)).otherwise(i0)
     i1 = F.when(v < edge(i0), i0 - F.lit(1)).otherwise(i0)
     i2 = F.when((v >= edge(i1 + F.lit(1))) & (i1 != F.lit(k - 1)), i1 + F.lit(1)).otherwise(i1)

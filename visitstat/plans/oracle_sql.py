@@ -175,8 +175,9 @@ def _histogram_body(column: str, log10: bool) -> str:
                 min(x) AS lo0, max(x) AS hi0, count(*) AS n FROM kv),
   p1 AS (SELECT k, n, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
                 CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM p0),
-  p AS (SELECT *, (hi - lo) / k AS step, k / (hi - lo) AS norm FROM p1),
-  b0 AS (SELECT kv.x, LEAST(CAST(floor((kv.x - p.lo) * p.norm) AS BIGINT), p.k - 1) AS i0 FROM kv, p),
+  p AS (SELECT *, (hi - lo) / k AS step, hi - lo AS denom FROM p1),
+  b0 AS (SELECT kv.x, LEAST(CAST(floor((kv.x - p.lo) / p.denom * CAST(p.k AS DOUBLE)) AS BIGINT), p.k - 1)
+                AS i0 FROM kv, p),
   b1 AS (SELECT b0.x, CASE WHEN b0.x < {edge("b0.i0")} THEN b0.i0 - 1 ELSE b0.i0 END AS i1 FROM b0, p),
   b2 AS (SELECT CASE WHEN b1.x >= {edge("(b1.i1 + 1)")} AND b1.i1 <> p.k - 1 THEN b1.i1 + 1 ELSE b1.i1 END
                 AS bin FROM b1, p),
