@@ -43,7 +43,8 @@ def test_quantiles_on_hot_group_match_numpy(spark):
 def test_profile_methods_agree(spark):
     rnd = random.Random(5)
     df = spark.createDataFrame([(rnd.choice("xyz"), rnd.random()) for _ in range(3000)], "g string, v double")
-    a = {r["g"]: r["median"] for r in group_profile(df, ["g"], "v", ["median"]).collect()}
+    a = {r["g"]: r["median"] for r in group_profile(df, ["g"], "v", ["median"],
+                                                     median_method="distributed").collect()}
     b = {r["g"]: r["median"] for r in group_profile(df, ["g"], "v", ["median"], median_method="builtin").collect()}
     assert a.keys() == b.keys() and all(np.isclose(a[k], b[k], rtol=1e-12) for k in a)
 
@@ -64,3 +65,23 @@ def test_frequency_keeps_null_key(spark):
     df = spark.createDataFrame([(1, "v"), (None, "w"), (None, "x"), (1, None)], "h long, id string")
     got = {r["h"]: r["count"] for r in frequency(df, "h", count_of="id").collect()}
     assert got == {1: 1, None: 2}
+
+
+def test_auto_switches_to_distributed_above_bound(spark, monkeypatch):
+    import visitstat.operators.profile as P
+    rnd = random.Random(8)
+    data = [(rnd.choice("pq"), rnd.random(), rnd.randint(0, 5)) for _ in range(500)]
+    df = spark.createDataFrame(data, "g string, v double, w long")
+    small = {r["g"]: r for r in group_profile(df, ["g"], "v").collect()}
+    monkeypatch.setattr(P, "BUILTIN_MAX_ROWS", 100)  # 500 rows > bound: distributed path
+    large = {r["g"]: r for r in group_profile(df, ["g"], "v").collect()}
+    assert small.keys() == large.keys()
+    for g in small:  # quantiles bit for bit; moments up to summation order
+        assert small[g]["median"] == large[g]["median"] and small[g]["count"] == large[g]["count"]
+        assert all(np.isclose(small[g][m], large[g][m], rtol=1e-12) for m in ("avg", "sko", "koef_var"))
+    d1 = {r["column"]: r for r in describe(df, ["v", "w"]).collect()}
+    monkeypatch.setattr(P, "BUILTIN_MAX_ROWS", 10 ** 9)
+    d2 = {r["column"]: r for r in describe(df, ["v", "w"]).collect()}
+    for c in ("v", "w"):
+        assert [d1[c][k] for k in ("p25", "p50", "p75", "min", "max", "count")] == \
+            [d2[c][k] for k in ("p25", "p50", "p75", "min", "max", "count")]

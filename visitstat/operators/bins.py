@@ -90,7 +90,7 @@ BIN_PLAN_COLUMNS = ("count", "avg", "median", "sko", "over_test_min", "over_test
                     "step", "ceil", "sum_another_teor")
 
 
-def bin_plan(df: DataFrame, by: Sequence[str], value: str, median_method: str = "distributed",
+def bin_plan(df: DataFrame, by: Sequence[str], value: str, median_method: str = "auto",
              max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Per-group bin plan of ``value``: profile plus ``step`` = range / (1 + 3.5 ln N),
     ``ceil`` = ceil(1 + 3.5 ln N) bins (1 when the range is 0, step 0 then),

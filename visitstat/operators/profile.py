@@ -1,10 +1,18 @@
 """Group profiles, numeric summaries and frequency tables.
 
 All statistics are partial aggregates (map-side combine, one shuffle of
-per-task partial rows). Exact medians and quartiles come from the
-distributed quantile operator, which never gathers a group into one task;
-``median_method='builtin'`` uses Spark's exact ``percentile`` (per-group
-buffer of distinct values) and ``'approx'`` uses ``percentile_approx``.
+per-task partial rows). Exact medians and quartiles (``PERCENTILE_CONT``):
+
+* ``'distributed'``: the quantile operator of ``quantile.py``, which never
+  gathers a group into one task (for inputs of any size);
+* ``'builtin'``: Spark's exact ``percentile`` in the same aggregate; its
+  buffer holds the distinct values of a group, so it needs groups that fit
+  one task;
+* ``'auto'`` (default): the input rows are written once and counted during
+  that write; with at most ``BUILTIN_MAX_ROWS`` rows in *total* no group can
+  hold more, so ``'builtin'`` is safe and used; otherwise ``'distributed'``.
+  Both give identical values (same interpolation).
+* ``'approx'``: ``percentile_approx`` (not exact; opt-in).
 """
 
 from __future__ import annotations
@@ -16,11 +24,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitstat.functions import ratio
-from visitstat.operators.attach import BROADCAST_MAX_ROWS, materialize, null_safe_on
+from visitstat.operators.attach import BROADCAST_MAX_ROWS, null_safe_on
+from visitstat.session import write_table
 from visitstat.operators.quantile import exact_quantiles, quantiles_long
 
 _ALL = "__all"
-MEDIAN_METHODS = ("distributed", "builtin", "approx")
+MEDIAN_METHODS = ("auto", "distributed", "builtin", "approx")
+# Largest total input for which Spark's exact percentile is used by 'auto':
+# a group buffer then holds at most this many distinct values (tens of MB).
+BUILTIN_MAX_ROWS = 1_000_000
+
+
+def _resolve(df: DataFrame, method: str, name: str) -> tuple[DataFrame, str]:
+    """Write the rows once (they are read by more than one pass) and pick the
+    quantile method; 'auto' decides on the row count observed in the write."""
+    if method not in MEDIAN_METHODS:
+        raise ValueError(f"median_method must be one of {MEDIAN_METHODS}")
+    rows, n = write_table(df, name, count_rows=True)
+    if method == "auto":
+        method = "builtin" if n <= BUILTIN_MAX_ROWS else "distributed"
+    return rows, method
 
 
 def _quantile_agg(c: str, q: float, method: str) -> Column:
@@ -30,7 +53,7 @@ def _quantile_agg(c: str, q: float, method: str) -> Column:
 
 
 def summarize(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
-              medians: Mapping[str, str] | None = None, median_method: str = "distributed",
+              medians: Mapping[str, str] | None = None, median_method: str = "auto",
               inputs: Sequence[str] | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``groupBy(by).agg(aggs)`` plus exact medians, one row per group.
 
@@ -46,15 +69,16 @@ def summarize(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
     if keyless:  # one group: give it a constant key so the join below has one
         df, by = df.withColumn(_ALL, F.lit(0)), [_ALL]
 
+    cols = sorted(set(medians.values()))
+    if medians and median_method in ("auto", "distributed"):
+        needed = list(dict.fromkeys([*by, *cols, *(df.columns if inputs is None else inputs)]))
+        df, median_method = _resolve(df.select(*needed), median_method, "profiled")
     if median_method != "distributed" or not medians:
         extra = [_quantile_agg(c, 0.5, median_method).alias(n) for n, c in medians.items()]
         out = df.groupBy(*by).agg(*[e.alias(n) for n, e in aggs.items()], *extra)
     else:
-        # The rows feed two jobs (moments and quantiles): write them once so the
-        # plan that produced them runs once.
-        cols = sorted(set(medians.values()))
-        needed = list(dict.fromkeys([*by, *cols, *(df.columns if inputs is None else inputs)]))
-        rows = materialize(df.select(*needed), "profiled")
+        # The written rows feed two passes (moments and quantiles).
+        rows = df
         base = rows.groupBy(*by).agg(*[e.alias(n) for n, e in aggs.items()]) if aggs else \
             rows.select(*by).distinct()
         med = exact_quantiles(rows, by, cols, (0.5,), name=lambda c, q: f"__med_{c}", max_rows=max_rows)
@@ -73,7 +97,7 @@ PROFILE_METRICS = ("count", "avg", "median", "min", "max", "sko", "koef_var")
 
 
 def group_profile(df: DataFrame, by: Sequence[str], value: str,
-                  metrics: Sequence[str] = PROFILE_METRICS, median_method: str = "distributed",
+                  metrics: Sequence[str] = PROFILE_METRICS, median_method: str = "auto",
                   max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Per-group profile of ``value``: count (non-null), avg, exact median, min,
     max, sample stddev (``sko``), coefficient of variation ``sko/avg``
@@ -95,7 +119,7 @@ def group_profile(df: DataFrame, by: Sequence[str], value: str,
 DESCRIBE_COLUMNS = ("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
-def describe(df: DataFrame, cols: Sequence[str] | None = None, median_method: str = "distributed",
+def describe(df: DataFrame, cols: Sequence[str] | None = None, median_method: str = "auto",
              max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Numeric summary, one row per column: count, mean, std (sample), min,
     exact 25/50/75 % (linear interpolation), max. Nulls and NaN are missing
@@ -116,6 +140,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, median_method: st
         return F.nanvl(x, F.lit(None).cast("double")) if isinstance(kinds[c], (T.FloatType, T.DoubleType)) else x
 
     xs = df.select(*[clean(c).alias(c) for c in cols])
+    if median_method in ("auto", "distributed"):
+        xs, median_method = _resolve(xs, median_method, "described")
     wide = xs.agg(*[e for c in cols for e in (
         F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
         F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"))])

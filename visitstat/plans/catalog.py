@@ -19,7 +19,7 @@ from visitstat.operators.sessions import flatten_sessions, revenue_sessions, ses
 from visitstat.plans import reports as R
 from visitstat.session import scratch_path
 from visitstat.sources.shards import read_shards, write_shards, preview_rows
-from visitstat.sources.testdata import sessions_from_testdata
+from visitstat.sources.testdata import sessions_from_testdata, sessions_table
 
 # Fixed parameters of the registered queries.
 SHARD_LO, SHARD_HI = "19970601", "19970631"   # a one-month suffix range (June 31 is no day)
@@ -81,12 +81,12 @@ def shaped(df: DataFrame, spec: list[tuple[str, int | None]]) -> DataFrame:
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions_from_testdata(spark, sf_dir)
+    return sessions_table(spark, sf_dir)
 
 
 def _shard_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "shards")
-    write_shards(_sessions(spark, sf_dir), root)
+    write_shards(sessions_from_testdata(spark, sf_dir), root)
     days = read_shards(spark, root, SHARD_LO, SHARD_HI)
     return flatten_sessions(days).select("unique_session_id", "total_revenue", "date", "table_suffix")
 

@@ -43,7 +43,7 @@ def trimmed_revenue(df: DataFrame, lo: str | None = None, hi: str | None = None,
 def daily_profile(df: DataFrame, lo: str | None = None, hi: str | None = None,
                   country: str | None = None, trim_by: Sequence[str] = ("country",),
                   by: Sequence[str] = ("date",), k: float = LOG_SIGMA_K,
-                  median_method: str = "distributed") -> DataFrame:
+                  median_method: str = "auto") -> DataFrame:
     """Outlier-trimmed profile of revenue per day (trim per country, profile per date):
     ``date, count, avg, median, min, max, sko, koef_var`` ordered by date."""
     t = trimmed_revenue(df, lo, hi, country, trim_by, k)
@@ -74,7 +74,7 @@ SEGMENT_BASE_COLUMNS = (
 def segment_report(df: DataFrame, lo: str | None = None, hi: str | None = None,
                    country: str | None = None, by: Sequence[str] = ("channelGrouping", "operatingSystem"),
                    min_count: int = SEGMENT_MIN_COUNT, columns: Sequence[str] = SEGMENT_COLUMNS,
-                   median_method: str = "distributed") -> DataFrame:
+                   median_method: str = "auto") -> DataFrame:
     """Segment report: 17 metrics per segment, share of all sessions, kept when
     ``count_parted >= min_count``, ordered by revenue (largest first).
 
@@ -141,7 +141,7 @@ def weekly_revenue(df: DataFrame, lo: str | None = None, hi: str | None = None,
 
 def country_profile(df: DataFrame, lo: str | None = None, hi: str | None = None,
                     country: str | None = None, min_count: int = COUNTRY_MIN_COUNT,
-                    k: float = LOG_SIGMA_K, median_method: str = "distributed") -> DataFrame:
+                    k: float = LOG_SIGMA_K, median_method: str = "auto") -> DataFrame:
     """Trimmed revenue profile per country, groups with more than ``min_count``
     sessions: ``country, count, avg, median, sko`` ordered by count."""
     t = trimmed_revenue(df, lo, hi, country, ("country",), k)
@@ -152,7 +152,7 @@ def country_profile(df: DataFrame, lo: str | None = None, hi: str | None = None,
 
 def country_bin_plan(df: DataFrame, lo: str | None = None, hi: str | None = None,
                      country: str | None = None, k: float = LOG_SIGMA_K,
-                     median_method: str = "distributed") -> DataFrame:
+                     median_method: str = "auto") -> DataFrame:
     """Bin plan of trimmed revenue per country (see ``bin_plan``)."""
     t = trimmed_revenue(df, lo, hi, country, ("country",), k)
     return bin_plan(t, ["country"], "total_revenue", median_method=median_method).orderBy("country")
@@ -175,7 +175,7 @@ DESCRIBE_NUMERIC = ("total_revenue", "visits", "hits", "pageviews", "timeOnSite"
 
 
 def distributions_describe(df: DataFrame, lo: str | None = None, hi: str | None = None,
-                           country: str | None = None, median_method: str = "distributed") -> DataFrame:
+                           country: str | None = None, median_method: str = "auto") -> DataFrame:
     """``describe`` of the numeric columns of the session extract."""
     ext = session_extract(where_sessions(df, lo, hi, country))
     return describe(ext, DESCRIBE_NUMERIC, median_method=median_method).orderBy("column")

@@ -4,10 +4,10 @@ from visitstat.sources.shards import (
     SUFFIX, SESSION_SCHEMA, SHARDED_SCHEMA,
     suffix_range, read_shards, write_shards, preview_rows, number_series,
 )
-from visitstat.sources.testdata import sessions_from_testdata, table
+from visitstat.sources.testdata import sessions_from_testdata, sessions_table, table
 
 __all__ = [
     "SUFFIX", "SESSION_SCHEMA", "SHARDED_SCHEMA",
     "suffix_range", "read_shards", "write_shards", "preview_rows", "number_series",
-    "sessions_from_testdata", "table",
+    "sessions_from_testdata", "sessions_table", "table",
 ]

@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitstat.session import write_table
+
 # Fixed values of the mapping.
 CONVERTED_STATUS = "F"     # order status that carries revenue
 RETURNED_FLAG = "R"        # line return flag left out of time on site
@@ -98,3 +100,21 @@ def sessions_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("n_name").alias("country")).alias("geoNetwork"),
         day.alias("table_suffix"),
     )
+
+
+_SESSIONS: dict[tuple[str, str], DataFrame] = {}
+
+
+def sessions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in session table, built once per application and scale
+    directory and written to the shared checkpoint folder.
+
+    The real input is a stored table; writing the stand-in once gives every
+    report the same situation: a parquet scan with pruned struct fields and
+    pushed filters, instead of re-running the joins that build it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    df = _SESSIONS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _SESSIONS[key] = write_table(sessions_from_testdata(spark, sf_dir), "sessions")
+    return df
