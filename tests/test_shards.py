@@ -42,3 +42,11 @@ def test_single_day_and_preview(spark):
     assert one.count() == 1
     prev = preview_rows(read_shards(spark, root), ["visitId"], ["visitId", "date"], start=1, n=1).collect()
     assert [tuple(r) for r in prev] == [(1, "20170802")]
+
+
+def test_schema_listing_and_tables(spark):
+    from visitstat.sources.shards import list_tables, schema_fields
+    fields = dict((p, t) for p, t, _ in schema_fields(spark.createDataFrame([], SHARDED_SCHEMA)))
+    assert fields["totals.totalTransactionRevenue"] == "bigint" and fields["geoNetwork.country"] == "string"
+    spark.createDataFrame([], SHARDED_SCHEMA).createOrReplaceTempView("ga_sessions_20170801")
+    assert "ga_sessions_20170801" in list_tables(spark)

@@ -86,3 +86,28 @@ def preview_rows(df: DataFrame, key: list[str], fields: list[str] | None = None,
 def number_series(spark: SparkSession, a: int, b: int, step: int = 1, name: str = "num") -> DataFrame:
     """Integers a, a+step, ..., up to b inclusive, generated in parallel."""
     return spark.range(a, b + 1, step).withColumnRenamed("id", name)
+
+
+def schema_fields(df: DataFrame) -> list[tuple[str, str, bool]]:
+    """Flattened schema of a session table: (dotted field path, type, nullable).
+
+    The listing of a table's schema (nested records included); it reads
+    metadata only, so nothing is scanned.
+    """
+    out: list[tuple[str, str, bool]] = []
+
+    def walk(prefix: str, st: T.StructType) -> None:
+        for f in st.fields:
+            path = f"{prefix}{f.name}"
+            if isinstance(f.dataType, T.StructType):
+                walk(path + ".", f.dataType)
+            else:
+                out.append((path, f.dataType.simpleString(), f.nullable))
+
+    walk("", df.schema)
+    return out
+
+
+def list_tables(spark: SparkSession, database: str | None = None) -> list[str]:
+    """Names of the tables and views of a database in the session catalog."""
+    return [t.name for t in spark.catalog.listTables(database)]

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analyses this library reproduces are batch reports over day tables
+(suffix range scans); they have no watermark, time window, late data or
+state, so nothing here is streaming. New days arrive as new
+``table_suffix=yyyyMMdd`` folders and are picked up by ``read_shards``.
+"""
