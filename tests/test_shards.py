@@ -50,3 +50,15 @@ def test_schema_listing_and_tables(spark):
     assert fields["totals.totalTransactionRevenue"] == "bigint" and fields["geoNetwork.country"] == "string"
     spark.createDataFrame([], SHARDED_SCHEMA).createOrReplaceTempView("ga_sessions_20170801")
     assert "ga_sessions_20170801" in list_tables(spark)
+
+
+def test_runner_writes_report(spark):
+    from visitstat.plans.run import run
+    from visitstat.sources.testdata import sessions_from_testdata
+    root = scratch_path(spark, "shards-test")
+    write_shards(sessions_from_testdata(spark, "/root/testdata/sf0.001").where(
+        F.col("table_suffix").between("19970101", "19970331")), root)
+    out = scratch_path(spark, "report-test")
+    got = run(spark, ["weekly_dynamics", "--source", root, "--lo", "19970201", "--hi", "19970231", "--out", out])
+    assert got.count() == 5  # weeks starting 1997-01-26 .. 1997-02-23
+    assert {r["date"].month for r in got.collect()} <= {1, 2}
