@@ -62,3 +62,29 @@ def test_runner_writes_report(spark):
     got = run(spark, ["weekly_dynamics", "--source", root, "--lo", "19970201", "--hi", "19970231", "--out", out])
     assert got.count() == 5  # weeks starting 1997-01-26 .. 1997-02-23
     assert {r["date"].month for r in got.collect()} <= {1, 2}
+
+
+def test_digit_range_globs_are_exact():
+    import fnmatch
+    import random
+    from visitstat.sources.shards import digit_range_globs
+    universe = [f"{i:04d}" for i in range(10000)]
+    rnd = random.Random(1)
+    cases = [("0601", "0631"), ("0000", "9999"), ("1234", "1234"), ("0999", "1000"), ("0100", "0199")]
+    cases += [tuple(sorted(rnd.sample(universe, 2))) for _ in range(60)]
+    for lo, hi in cases:
+        pats = digit_range_globs(lo, hi)
+        got = {s for s in universe if any(fnmatch.fnmatchcase(s, p) for p in pats)}
+        assert got == {s for s in universe if lo <= s <= hi}, (lo, hi, pats)
+
+
+def test_range_read_lists_only_range_and_handles_empty(spark):
+    days = [(dt.date(2017, 5, 28) + dt.timedelta(days=i)).strftime("%Y%m%d") for i in range(40)]
+    root = scratch_path(spark, "shards-test")
+    write_shards(sample_sessions(spark, days), root)
+    df = read_shards(spark, root, "20170601", "20170631")
+    assert df.count() == 30
+    files = df.inputFiles()
+    assert files and all("table_suffix=201706" in f for f in files)
+    assert read_shards(spark, root, "20180101", "20180131").count() == 0
+    assert read_shards(spark, root, "20170602", "20170601").count() == 0

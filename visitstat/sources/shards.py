@@ -50,14 +50,66 @@ def suffix_range(df: DataFrame, lo: str | None = None, hi: str | None = None) ->
     return df
 
 
+def digit_range_globs(lo: str, hi: str) -> list[str]:
+    """Glob patterns matching exactly the digit strings s, len(s) == len(lo),
+    with lo <= s <= hi (text order, which is numeric order at equal length).
+
+    E.g. ('20170601', '20170631') -> ['2017060[1-9]', '201706[1-2][0-9]', '2017063[0-1]'].
+    """
+    if len(lo) != len(hi) or not (lo + hi).isdigit() or lo > hi:
+        raise ValueError("bounds must be digit strings of equal length, lo <= hi")
+
+    def cls(a: str, b: str) -> str:
+        return a if a == b else f"[{a}-{b}]"
+
+    def split(a: str, b: str) -> list[str]:
+        if a == b:
+            return [a]
+        i = next(k for k in range(len(a)) if a[k] != b[k])
+        p, r = a[:i], len(a) - i - 1
+        x, y = a[i], b[i]
+        if a[i + 1:] == "0" * r and b[i + 1:] == "9" * r:
+            return [p + cls(x, y) + "[0-9]" * r]
+        out = []
+        if a[i + 1:] == "0" * r:
+            first = x
+        else:
+            out += split(a, p + x + "9" * r)
+            first = chr(ord(x) + 1)
+        if b[i + 1:] == "9" * r:
+            last = y
+        else:
+            last = chr(ord(y) - 1)
+        if first <= last:
+            out.append(p + cls(first, last) + "[0-9]" * r)
+        if b[i + 1:] != "9" * r:
+            out += split(p + y + "0" * r, b)
+        return out
+
+    return split(lo, hi)
+
+
 def read_shards(spark: SparkSession, root: str, lo: str | None = None, hi: str | None = None,
                 schema: T.StructType = SHARDED_SCHEMA) -> DataFrame:
     """Scan the day shards under ``root`` (``table_suffix=yyyyMMdd`` folders) in [lo, hi].
 
     The explicit schema keeps the suffix a string whatever the session's
-    partition-type inference says.
+    partition-type inference says. With two equal-length digit bounds only
+    the folders in range are listed (one glob path); the range predicate is
+    applied as a partition filter in every case, so results are exact.
     """
-    df = spark.read.schema(schema).option("basePath", root).parquet(root)
+    reader = spark.read.schema(schema).option("basePath", root)
+    path = root
+    if lo is not None and hi is not None and len(lo) == len(hi) and (lo + hi).isdigit():
+        if lo > hi:
+            return spark.createDataFrame([], schema)
+        path = f"{root.rstrip('/')}/{SUFFIX}={{{','.join(digit_range_globs(lo, hi))}}}"
+    try:
+        df = reader.parquet(path)
+    except Exception as e:  # no folder in range
+        if path != root and "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
     return suffix_range(df, lo, hi)
 
 
