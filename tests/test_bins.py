@@ -66,3 +66,24 @@ def test_bin_plan_and_expansion(spark):
     assert rows.count() == 100 * ka + 2 + 1
     per = {r["g"]: r["m"] for r in rows.groupBy("g").agg(F.max("another_unnest").alias("m")).collect()}
     assert per == {"a": ka, "b": 1, "c": 1}
+
+
+def test_histograms_many_columns_match_numpy(spark):
+    from visitstat.operators.bins import histograms
+    rnd = random.Random(21)
+    rows = [(rnd.lognormvariate(2, 1), None if rnd.random() < 0.3 else float(rnd.randint(0, 40)), 7.0)
+            for _ in range(2000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    specs = [("a", False), ("a", True), ("b", False), ("b", True), ("c", False)]
+    out = histograms(df, specs).collect()
+    for col, lg in specs:
+        got = [r for r in out if r["column"] == col and r["scale"] == ("log10" if lg else "raw")]
+        vals = np.array([getattr(r, col) for r in df.select(col).collect() if getattr(r, col) is not None])
+        k = math.ceil(1 + 3.32 * np.log10(len(vals)))
+        sample = np.log10(vals[vals > 0]) if lg else vals
+        counts, edges = np.histogram(sample, bins=k)
+        dens, _ = np.histogram(sample, bins=k, density=True)
+        assert [r["bin"] for r in got] == list(range(k))
+        assert [r["count"] for r in got] == counts.tolist(), (col, lg)
+        assert np.array_equal([r["bin_lo"] for r in got], edges[:-1])
+        assert np.allclose([r["density"] for r in got], dens, rtol=1e-12)

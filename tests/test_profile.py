@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 from visitstat.operators.profile import describe, frequency, group_profile
 from visitstat.operators.quantile import exact_quantiles

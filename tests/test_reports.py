@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from visitstat.plans import reports as R
 from visitstat.sources.shards import SHARDED_SCHEMA

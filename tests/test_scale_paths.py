@@ -5,7 +5,6 @@ per-group tables are broadcast; these tests force the distributed quantile
 operator and the shuffle-join fallback and compare.
 """
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from visitstat.operators.attach import attach

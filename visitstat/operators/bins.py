@@ -23,67 +23,104 @@ def sturges(n: int) -> int:
     return math.ceil(STURGES_A + STURGES_B * math.log10(n))
 
 
-def histogram(df: DataFrame, column: str, bins: int | None = None, log10: bool = False) -> DataFrame:
-    """Equal-width histogram of one column, ``density=True`` style, as a bin table.
+def histograms(df: DataFrame, specs: Sequence[tuple[str, bool]], bins: int | None = None) -> DataFrame:
+    """Equal-width histograms, ``density=True`` style, of several columns at once.
 
-    Rows ``bin`` 0..k-1 with edges ``bin_lo``/``bin_hi``, ``count`` and
-    ``density = count / width / total`` (empty bins are kept with count 0).
+    ``specs`` lists (column, log10) pairs. Rows: ``column``, ``scale``
+    ('raw' or 'log10'), ``bin`` 0..k-1, edges ``bin_lo``/``bin_hi``,
+    ``count`` and ``density = count / width / total`` (empty bins kept).
 
     * missing values (null, NaN) are left out per column;
-    * ``bins`` defaults to ceil(1 + 3.32 * log10(n)), n = values present;
-    * with ``log10`` the histogram is of log10(x) over x > 0 only (no
-      logarithm for 0 or less); the bin count still comes from n;
+    * ``bins`` defaults to ceil(1 + 3.32 * log10(n)), n = values present in
+      the column;
+    * with log10 the histogram is of log10(x) over x > 0 only (no logarithm
+      for 0 or less); the bin count still comes from n;
     * edges are min..max; if they are equal the range is widened by 0.5 on
       each side; the last bin is closed; bin placement and edges follow
       numpy's ``histogram``: index floor((x - lo) / (hi - lo) * k), edge
       i = i * ((hi - lo) / k) + lo, and the same one-step correction for
       values that sit on an edge.
 
-    Plan: one global aggregate (count/min/max, a single row of numbers to
-    the driver), then one grouped count over k bins with partial
-    aggregation; only k rows are ever shuffled after the map side.
+    Plan, whatever the number of histograms: one global aggregate (counts,
+    minima, maxima: one row of numbers to the driver), then one pass that
+    unpivots the values to (histogram, value), bins them and counts per
+    (histogram, bin) with partial aggregation; only bin counts are shuffled.
     """
-    raw = F.col(column).cast("double")
-    present = raw.isNotNull() & ~F.isnan(raw)
-    xs = df.select(raw.alias("__v")).where(present)
-    x = F.log10("__v") if log10 else F.col("__v")
-    kept = (F.col("__v") > F.lit(0)) if log10 else F.lit(True)
-    st = xs.agg(F.count(F.lit(1)).alias("n_raw"),
-                F.count(F.when(kept, F.lit(1))).alias("n"),
-                F.min(F.when(kept, x)).alias("lo"), F.max(F.when(kept, x)).alias("hi")).first()
-    n_raw, n, lo, hi = st["n_raw"], st["n"], st["lo"], st["hi"]
     spark = df.sparkSession
-    schema = T.StructType([T.StructField("bin", T.LongType()), T.StructField("bin_lo", T.DoubleType()),
-                           T.StructField("bin_hi", T.DoubleType()), T.StructField("count", T.LongType()),
-                           T.StructField("density", T.DoubleType())])
-    if n_raw == 0 or n == 0:
+    schema = T.StructType([
+        T.StructField("column", T.StringType()), T.StructField("scale", T.StringType()),
+        T.StructField("bin", T.LongType()), T.StructField("bin_lo", T.DoubleType()),
+        T.StructField("bin_hi", T.DoubleType()), T.StructField("count", T.LongType()),
+        T.StructField("density", T.DoubleType())])
+    specs = [(c, bool(lg)) for c, lg in specs]
+    cols = list(dict.fromkeys(c for c, _ in specs))
+
+    def raw(c):
+        x = F.col(c).cast("double")
+        return F.when(x.isNotNull() & ~F.isnan(x), x)
+
+    def value(c, lg):
+        return F.when(raw(c) > F.lit(0), F.log10(raw(c))) if lg else raw(c)
+
+    aggs = [F.count(raw(c)).alias(f"n_raw_{j}") for j, c in enumerate(cols)]
+    for i, (c, lg) in enumerate(specs):
+        v = value(c, lg)
+        aggs += [F.count(v).alias(f"n_{i}"), F.min(v).alias(f"lo_{i}"), F.max(v).alias(f"hi_{i}")]
+    st = df.agg(*aggs).first()
+
+    params = {}  # histogram index -> (k, first, last, step, denom, n)
+    for i, (c, lg) in enumerate(specs):
+        n_raw, n = st[f"n_raw_{cols.index(c)}"], st[f"n_{i}"]
+        if n_raw == 0 or n == 0:
+            continue
+        k = int(bins) if bins is not None else sturges(n_raw)
+        first, last = float(st[f"lo_{i}"]), float(st[f"hi_{i}"])
+        if first == last:
+            first, last = first - 0.5, last + 0.5
+        params[i] = (k, first, last, (last - first) / k, last - first, n)
+    if not params:
         return spark.createDataFrame([], schema)
-    k = int(bins) if bins is not None else sturges(n_raw)
-    first, last = float(lo), float(hi)
-    if first == last:
-        first, last = first - 0.5, last + 0.5
-    step = (last - first) / k
-    denom = last - first
-
-    def edge(i):  # i: bigint column
-        return F.when(i >= F.lit(k), F.lit(last)).otherwise(i.cast("double") * F.lit(step) + F.lit(first))
-
-    v = F.col("__x")
-    i0 = F.floor((v - F.lit(first)) / F.lit(denom) * F.lit(float(k)))
-    i0 = F.when(i0 >= F.lit(k), F.lit(k - 1)).otherwise(i0)
-    i1 = F.when(v < edge(i0), i0 - F.lit(1)).otherwise(i0)
-    i2 = F.when((v >= edge(i1 + F.lit(1))) & (i1 != F.lit(k - 1)), i1 + F.lit(1)).otherwise(i1)
-
-    counts = (xs.where(kept).select(x.alias("__x"))
-              .select(i2.cast("bigint").alias("bin"))
-              .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
-    # k bins (k grows with log n): a bounded table on both sides of the join.
-    grid = spark.range(0, k).withColumnRenamed("id", "bin")
-    out = grid.join(F.broadcast(counts), "bin", "left").select(
-        "bin", edge(F.col("bin")).alias("bin_lo"), edge(F.col("bin") + F.lit(1)).alias("bin_hi"),
-        F.coalesce(F.col("count"), F.lit(0).cast("bigint")).alias("count"))
+
+    # One row of parameters per histogram (a table bounded by len(specs)).
+    par = spark.createDataFrame(
+        [(i, p[0], p[1], p[2], p[3], p[4], float(p[5]), c, "log10" if lg else "raw")
+         for i, p in params.items() for c, lg in [specs[i]]],
+        "__h int, __k bigint, __first double, __last double, __step double, __denom double, __n double, "
+        "column string, scale string")
+
+    def edge(i):  # i: bigint column; the last edge is the maximum itself
+        return F.when(i >= F.col("__k"), F.col("__last")).otherwise(
+            i.cast("double") * F.col("__step") + F.col("__first"))
+
+    x = F.col("__x")
+    pairs = F.array(*[F.struct(F.lit(i).alias("__h"), value(c, lg).alias("__x"))
+                      for i, (c, lg) in enumerate(specs) if i in params])
+    vals = (df.select(F.inline(pairs)).where(x.isNotNull())
+            .join(F.broadcast(par.select("__h", "__k", "__first", "__last", "__step", "__denom")), "__h"))
+    # Bin index in steps (each step reads the previous column, nothing is repeated).
+    i0 = F.floor((x - F.col("__first")) / F.col("__denom") * F.col("__k").cast("double"))
+    vals = vals.withColumn("__i0", F.least(i0, F.col("__k") - F.lit(1)))
+    vals = vals.withColumn("__i1", F.when(x < edge(F.col("__i0")), F.col("__i0") - F.lit(1))
+                           .otherwise(F.col("__i0")))
+    vals = vals.withColumn("bin", F.when((x >= edge(F.col("__i1") + F.lit(1)))
+                                         & (F.col("__i1") != F.col("__k") - F.lit(1)),
+                                         F.col("__i1") + F.lit(1)).otherwise(F.col("__i1")).cast("bigint"))
+    counts = vals.groupBy("__h", "bin").agg(F.count(F.lit(1)).alias("count"))
+    # sum of k over the histograms (k grows with log n): bounded on both sides.
+    grid = spark.createDataFrame([(i, b) for i, p in params.items() for b in range(p[0])], "__h int, bin long")
+    out = (grid.join(F.broadcast(par), "__h").join(F.broadcast(counts), ["__h", "bin"], "left")
+               .select("__h", "column", "scale", "bin",
+                       edge(F.col("bin")).alias("bin_lo"), edge(F.col("bin") + F.lit(1)).alias("bin_hi"),
+                       F.coalesce(F.col("count"), F.lit(0).cast("bigint")).alias("count"), "__n"))
     width = F.col("bin_hi") - F.col("bin_lo")
-    return out.withColumn("density", F.col("count").cast("double") / width / F.lit(float(n))).orderBy("bin")
+    return (out.select("column", "scale", "bin", "bin_lo", "bin_hi", "count",
+                       (F.col("count").cast("double") / width / F.col("__n")).alias("density"), "__h")
+               .orderBy("__h", "bin").drop("__h"))
+
+
+def histogram(df: DataFrame, column: str, bins: int | None = None, log10: bool = False) -> DataFrame:
+    """Histogram of one column (see ``histograms``): ``bin, bin_lo, bin_hi, count, density``."""
+    return histograms(df, [(column, log10)], bins).select(*HISTOGRAM_COLUMNS)
 
 
 BIN_PLAN_COLUMNS = ("count", "avg", "median", "sko", "over_test_min", "over_test_max", "over_test",

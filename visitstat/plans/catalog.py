@@ -70,6 +70,7 @@ OUTPUT["segment_report_base"] = [OUTPUT["segment_report"][0], OUTPUT["segment_re
     next(x for x in OUTPUT["segment_report"] if x[0] == c) for c in R.SEGMENT_BASE_COLUMNS]
 OUTPUT["segment_report_min600"] = list(OUTPUT["segment_report"])
 HIST_SPEC = [("bin", None), ("bin_lo", D6), ("bin_hi", D6), ("count", None), ("density", D12)]
+OUTPUT["distributions"] = [("column", None), ("scale", None)] + HIST_SPEC
 for _c in R.DISTRIBUTION_COLUMNS:
     OUTPUT[f"histogram_{_c}"] = HIST_SPEC
     OUTPUT[f"histogram_log10_{_c}"] = HIST_SPEC
@@ -124,6 +125,7 @@ _BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "revenue_frequency": lambda s, d: R.revenue_frequency(_sessions(s, d)),
     "describe_numeric": lambda s, d: R.distributions_describe(_sessions(s, d)),
     "preview_rows": _preview,
+    "distributions": lambda s, d: R.distributions(_sessions(s, d)),
 }
 for _c in R.DISTRIBUTION_COLUMNS:
     _BUILDERS[f"histogram_{_c}"] = (lambda c: lambda s, d: R.distribution_histogram(_sessions(s, d), c))(_c)

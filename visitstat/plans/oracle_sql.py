@@ -236,6 +236,10 @@ SELECT revenue_micro / 1e6 AS total_revenue, count(fullVisitorId) AS count FROM
 SELECT unique_session_id, visitId, date, total_revenue FROM s ORDER BY visitId
 LIMIT {PREVIEW_ROWS} OFFSET {PREVIEW_START}"""),
     }
+    union = "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS "column", '{'log10' if lg else 'raw'}' AS scale, h.* FROM ({_histogram_body(c, lg)}) h"""
+        for c in DISTRIBUTION_COLUMNS for lg in (False, True))
+    out["distributions"] = wrap("distributions", union, ext)
     for c in DISTRIBUTION_COLUMNS:
         out[f"histogram_{c}"] = wrap(f"histogram_{c}", _histogram_body(c, False), ext)
         out[f"histogram_log10_{c}"] = wrap(f"histogram_log10_{c}", _histogram_body(c, True), ext)

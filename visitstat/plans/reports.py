@@ -19,7 +19,7 @@ from visitstat.functions import (
     parse_day, ratio, round_half_up, week_start_sunday,
 )
 from visitstat.operators.attach import BROADCAST_MAX_ROWS, materialize
-from visitstat.operators.bins import bin_plan, expand_bins, histogram
+from visitstat.operators.bins import bin_plan, expand_bins, histogram, histograms
 from visitstat.operators.profile import describe, frequency, group_profile, summarize
 from visitstat.operators.sessions import flatten_sessions, session_extract, where_sessions
 from visitstat.operators.trim import log_trim
@@ -188,6 +188,15 @@ def distribution_histogram(df: DataFrame, column: str, log10: bool = False, lo:
     return histogram(ext, column, log10=log10)
 
 
+def distributions(df: DataFrame, lo: str | None = None, hi: str | None = None,
+                  country: str | None = None, columns: Sequence[str] = DISTRIBUTION_COLUMNS) -> DataFrame:
+    """Raw and log10 histograms of the extract's distribution columns, all in
+    one table (``column, scale, bin, bin_lo, bin_hi, count, density``) and
+    from two passes over the data whatever the number of columns."""
+    ext = session_extract(where_sessions(df, lo, hi, country))
+    return histograms(ext, [(c, lg) for c in columns for lg in (False, True)])
+
+
 def hits_frequency(df: DataFrame, lo=None, hi=None) -> DataFrame:
     """Sessions per hit count (null hit count is a group), ordered by hits."""
     return frequency(_with_visitor(df, lo, hi), "hits", count_of="fullVisitorId") \
