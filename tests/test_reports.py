@@ -53,3 +53,12 @@ def test_daily_profile_order_and_trim(spark):
     prof = R.daily_profile(sessions(spark, rows), trim_by=()).collect()
     assert [r["date"] for r in prof] == ["20170601", "20170602"]  # the far outlier day is trimmed away
     assert prof[1]["median"] == 11.5 and prof[1]["count"] == 24 and prof[0]["count"] == 2
+
+
+def test_session_key_collisions_are_counted_twice(spark):
+    # visitor "1" visit 23 and visitor "12" visit 3 share the key "123": count is a row count
+    data = [("1", 23, "20170601", "a", (None, 1, 1, 1, 1, None), ("s",), ("b", "x", "d"), ("US",), "20170601"),
+            ("12", 3, "20170601", "a", (None, 1, 1, 1, 1, None), ("s",), ("b", "x", "d"), ("US",), "20170601")]
+    df = spark.createDataFrame(data, SHARDED_SCHEMA)
+    r = R.segment_report(df, min_count=1).first()
+    assert r["count_parted"] == 2 and r["count_parted_to_all"] == 1.0
