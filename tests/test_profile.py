@@ -84,3 +84,18 @@ def test_auto_switches_to_distributed_above_bound(spark, monkeypatch):
     for c in ("v", "w"):
         assert [d1[c][k] for k in ("p25", "p50", "p75", "min", "max", "count")] == \
             [d2[c][k] for k in ("p25", "p50", "p75", "min", "max", "count")]
+
+
+def test_auto_routes_only_large_groups_to_distributed(spark, monkeypatch):
+    import visitstat.operators.profile as P
+    rnd = random.Random(12)
+    data = [("hot", rnd.lognormvariate(1, 1)) for _ in range(600)]
+    data += [(f"g{i % 10}", float(rnd.randint(0, 50))) for i in range(300)]
+    data += [(None, float(v)) for v in (5, 1, 4, 2, 3)]
+    df = spark.createDataFrame(data, "g string, v double")
+    want = {r["g"]: r["median"] for r in group_profile(df, ["g"], "v", ["count", "median"],
+                                                        median_method="builtin").collect()}
+    monkeypatch.setattr(P, "BUILTIN_MAX_ROWS", 100)  # 905 rows in total; only "hot" is over the bound
+    got = {r["g"]: (r["count"], r["median"]) for r in group_profile(df, ["g"], "v", ["count", "median"]).collect()}
+    assert {g: m for g, (_, m) in got.items()} == want
+    assert got["hot"][0] == 600 and got[None] == (5, 3.0)

@@ -30,14 +30,15 @@ from visitstat.operators.quantile import exact_quantiles, quantiles_long
 
 _ALL = "__all"
 MEDIAN_METHODS = ("auto", "distributed", "builtin", "approx")
-# Largest total input for which Spark's exact percentile is used by 'auto':
-# a group buffer then holds at most this many distinct values (tens of MB).
+# Largest group (in rows) whose exact median 'auto' leaves to Spark's
+# percentile: its buffer then holds at most this many distinct values (tens of MB).
 BUILTIN_MAX_ROWS = 1_000_000
 
 
 def _resolve(df: DataFrame, method: str, name: str) -> tuple[DataFrame, str]:
     """Write the rows once (they are read by more than one pass) and pick the
-    quantile method; 'auto' decides on the row count observed in the write."""
+    quantile method; 'auto' decides on the row count observed in the write
+    (for ``describe``, where each column is one group holding all rows)."""
     if method not in MEDIAN_METHODS:
         raise ValueError(f"median_method must be one of {MEDIAN_METHODS}")
     rows, n = write_table(df, name, count_rows=True)
@@ -52,6 +53,23 @@ def _quantile_agg(c: str, q: float, method: str) -> Column:
     return F.percentile_approx(F.col(c), F.lit(q), F.lit(10_000)).cast("double")
 
 
+def _builtin_medians(rows: DataFrame, by: list[str], medians: dict[str, str]) -> DataFrame:
+    return rows.groupBy(*by).agg(*[_quantile_agg(c, 0.5, "builtin").alias(n) for n, c in medians.items()])
+
+
+def _distributed_medians(rows: DataFrame, by: list[str], medians: dict[str, str], max_rows: int) -> DataFrame:
+    cols = sorted(set(medians.values()))
+    med = exact_quantiles(rows, by, cols, (0.5,), name=lambda c, q: f"__med_{c}", max_rows=max_rows)
+    return med.select(*by, *[F.col(f"__med_{c}").alias(n) for n, c in medians.items()])
+
+
+def _keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``df`` with its key columns renamed apart, for a null-safe join on them."""
+    names = [f"__k_{i}" for i in range(len(by))]
+    return df.select(*[F.col(k).alias(n) for k, n in zip(by, names)],
+                     *[c for c in df.columns if c not in by]), list(zip(by, names))
+
+
 def summarize(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
               medians: Mapping[str, str] | None = None, median_method: str = "auto",
               inputs: Sequence[str] | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -59,37 +77,55 @@ def summarize(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
 
     ``medians`` maps an output name to the input column whose median it is.
     ``inputs`` names the columns the aggregates read (default: all columns);
-    only these are kept when the rows are written for the two passes.
+    only these are kept when the rows are written for the later passes.
     Output columns: ``by``, then ``aggs`` in order, then ``medians`` in order.
+
+    With ``median_method='auto'`` the rows are written once and counted in
+    that write. If there are at most ``BUILTIN_MAX_ROWS`` of them, moments
+    and Spark's ``percentile`` run in one aggregate. Otherwise the moments
+    aggregate also counts rows per group; groups within the bound take
+    ``percentile`` (its buffer holds at most that many values), and only the
+    larger groups - at most total / bound of them, so the table naming them
+    has a proven size - go through the distributed quantile operator.
     """
     if median_method not in MEDIAN_METHODS:
         raise ValueError(f"median_method must be one of {MEDIAN_METHODS}")
     by, medians = list(by), dict(medians or {})
     keyless = not by
-    if keyless:  # one group: give it a constant key so the join below has one
+    if keyless:  # one group: give it a constant key so the joins below have one
         df, by = df.withColumn(_ALL, F.lit(0)), [_ALL]
+    agg_exprs = [e.alias(n) for n, e in aggs.items()]
 
-    cols = sorted(set(medians.values()))
-    if medians and median_method in ("auto", "distributed"):
-        needed = list(dict.fromkeys([*by, *cols, *(df.columns if inputs is None else inputs)]))
-        df, median_method = _resolve(df.select(*needed), median_method, "profiled")
-    if median_method != "distributed" or not medians:
+    if not medians or median_method in ("builtin", "approx"):
         extra = [_quantile_agg(c, 0.5, median_method).alias(n) for n, c in medians.items()]
-        out = df.groupBy(*by).agg(*[e.alias(n) for n, e in aggs.items()], *extra)
+        out = df.groupBy(*by).agg(*agg_exprs, *extra)
     else:
-        # The written rows feed two passes (moments and quantiles).
-        rows = df
-        base = rows.groupBy(*by).agg(*[e.alias(n) for n, e in aggs.items()]) if aggs else \
-            rows.select(*by).distinct()
-        med = exact_quantiles(rows, by, cols, (0.5,), name=lambda c, q: f"__med_{c}", max_rows=max_rows)
-        med = med.select(*[F.col(k).alias(f"__k_{i}") for i, k in enumerate(by)],
-                         *[F.col(f"__med_{c}").alias(n) for n, c in medians.items()])
-        # Both sides hold one row per group: a shuffle join on the group key,
-        # turned into a broadcast by AQE when the measured side is small.
-        on = null_safe_on(base, med, [(k, f"__k_{i}") for i, k in enumerate(by)])
-        out = base.join(med, on, "left").drop(*[f"__k_{i}" for i in range(len(by))])
-    cols_out = [*by, *aggs.keys(), *medians.keys()]
-    out = out.select(*cols_out)
+        cols = sorted(set(medians.values()))
+        needed = list(dict.fromkeys([*by, *cols, *(df.columns if inputs is None else inputs)]))
+        rows, n_rows = write_table(df.select(*needed), "profiled", count_rows=True)
+        if median_method == "auto" and n_rows <= BUILTIN_MAX_ROWS:
+            out = rows.groupBy(*by).agg(*agg_exprs, *[_quantile_agg(c, 0.5, "builtin").alias(n)
+                                                      for n, c in medians.items()])
+        else:
+            base = write_table(rows.groupBy(*by).agg(*agg_exprs, F.count(F.lit(1)).alias("__rows")), "groups")
+            if median_method == "distributed":
+                med = _distributed_medians(rows, by, medians, max_rows)
+            else:
+                big, n_big = write_table(base.where(F.col("__rows") > F.lit(BUILTIN_MAX_ROWS)).select(*by),
+                                         "large_groups", count_rows=True)
+                if n_big == 0:
+                    med = _builtin_medians(rows, by, medians)
+                else:
+                    big_k, pairs = _keyed(big, by)
+                    big_k = F.broadcast(big_k) if n_big <= max_rows else big_k
+                    on = null_safe_on(rows, big_k, pairs)
+                    med = _builtin_medians(rows.join(big_k, on, "left_anti"), by, medians).unionByName(
+                        _distributed_medians(rows.join(big_k, on, "left_semi"), by, medians, max_rows))
+            # Both sides hold one row per group: a shuffle join on the group key,
+            # turned into a broadcast by AQE when the measured side is small.
+            med_k, pairs = _keyed(med, by)
+            out = base.join(med_k, null_safe_on(base, med_k, pairs), "left").drop(*[p[1] for p in pairs])
+    out = out.select(*by, *aggs.keys(), *medians.keys())
     return out.drop(_ALL) if keyless else out
 
 
