@@ -161,7 +161,7 @@ def country_bin_plan(df: DataFrame, lo: str | None = None, hi: str | None = None
 def country_bin_rows(df: DataFrame, lo: str | None = None, hi: str | None = None,
                      country: str | None = None, k: float = LOG_SIGMA_K) -> DataFrame:
     """Each trimmed revenue session once per bin index 1..ceil of its country:
-    ``unique_session_id, country, total_revenue, ceil, another_unnest``."""
+    ``unique_session_id, country, total_revenue, another_unnest``."""
     t = materialize(trimmed_revenue(df, lo, hi, country, ("country",), k)
                     .select("unique_session_id", "country", "total_revenue"), "trimmed")
     plan = bin_plan(t, ["country"], "total_revenue")
