@@ -59,6 +59,7 @@ OUTPUT: dict[str, list[tuple[str, int | None]]] = {
                  ("ceil", None), ("sum_another_teor", None)],
     "expand_bins": [("unique_session_id", None), ("country", None), ("total_revenue", None),
                     ("another_unnest", None)],
+    "bin_index_series": [("country", None), ("num", None)],
     "hits_frequency": [("hits", None), ("count", None)],
     "country_frequency": [("country", None), ("count", None)],
     "revenue_frequency": [("total_revenue", None), ("count", None)],
@@ -120,6 +121,7 @@ _BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "country_profile_trimmed": lambda s, d: R.country_profile(_sessions(s, d)),
     "bin_plan": lambda s, d: R.country_bin_plan(_sessions(s, d)),
     "expand_bins": lambda s, d: R.country_bin_rows(_sessions(s, d)),
+    "bin_index_series": lambda s, d: R.country_bin_series(_sessions(s, d)),
     "hits_frequency": lambda s, d: R.hits_frequency(_sessions(s, d)),
     "country_frequency": lambda s, d: R.country_frequency(_sessions(s, d)),
     "revenue_frequency": lambda s, d: R.revenue_frequency(_sessions(s, d)),

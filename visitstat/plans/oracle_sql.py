@@ -226,6 +226,8 @@ SELECT * FROM (
         "expand_bins": wrap("expand_bins", """
 SELECT t.unique_session_id, t.country, t.total_revenue, unnest(generate_series(1, plan.ceil)) AS another_unnest
 FROM t JOIN plan ON t.country IS NOT DISTINCT FROM plan.country""", (SESSIONS, TRIMMED, _PLAN)),
+        "bin_index_series": wrap("bin_index_series", "SELECT country, unnest(generate_series(1, ceil)) AS num FROM plan",
+                                 (SESSIONS, TRIMMED, _PLAN)),
         "hits_frequency": wrap("hits_frequency", "SELECT hits, count(fullVisitorId) AS count FROM s GROUP BY hits"),
         "country_frequency": wrap("country_frequency",
                                   "SELECT country, count(fullVisitorId) AS count FROM s GROUP BY country"),

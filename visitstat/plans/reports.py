@@ -158,6 +158,16 @@ def country_bin_plan(df: DataFrame, lo: str | None = None, hi: str | None = None
     return bin_plan(t, ["country"], "total_revenue", median_method=median_method).orderBy("country")
 
 
+def country_bin_series(df: DataFrame, lo: str | None = None, hi: str | None = None,
+                       country: str | None = None, k: float = LOG_SIGMA_K) -> DataFrame:
+    """The bin-index series of each country, 1..ceil (``GENERATE_ARRAY(1, ceil)``
+    numbered as by ``ROW_NUMBER``): ``country, num``. The per-country plan
+    has one row per country; each row is expanded in place."""
+    plan = country_bin_plan(df, lo, hi, country, k)
+    return (plan.select("country", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("ceil"))).alias("num"))
+                .orderBy("country", "num"))
+
+
 def country_bin_rows(df: DataFrame, lo: str | None = None, hi: str | None = None,
                      country: str | None = None, k: float = LOG_SIGMA_K) -> DataFrame:
     """Each trimmed revenue session once per bin index 1..ceil of its country:
