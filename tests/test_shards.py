@@ -9,7 +9,7 @@ from visitstat.sources.shards import SHARDED_SCHEMA, read_shards, write_shards,
 def sample_sessions(spark, days):
     rows = []
     for i, d in enumerate(days):
-        rows.append((f"v{i}", i, d, "Direct", (1000000 * (i + 1), 1, 3, 2, 60, 1), ("google",),
+        rows.append((f"v{i}", i, d, "Direct", (1000000 * (i + 1), 1, 3, 2, 60, 1), ("search",),
                      ("Chrome", "Windows", "desktop"), ("United States" if i % 2 else "Canada",), d))
     return spark.createDataFrame(rows, SHARDED_SCHEMA)
 
@@ -48,8 +48,8 @@ def test_schema_listing_and_tables(spark):
     from visitstat.sources.shards import list_tables, schema_fields
     fields = dict((p, t) for p, t, _ in schema_fields(spark.createDataFrame([], SHARDED_SCHEMA)))
     assert fields["totals.totalTransactionRevenue"] == "bigint" and fields["geoNetwork.country"] == "string"
-    spark.createDataFrame([], SHARDED_SCHEMA).createOrReplaceTempView("ga_sessions_20170801")
-    assert "ga_sessions_20170801" in list_tables(spark)
+    spark.createDataFrame([], SHARDED_SCHEMA).createOrReplaceTempView("sessions_20170801")
+    assert "sessions_20170801" in list_tables(spark)
 
 
 def test_runner_writes_report(spark):
