@@ -56,12 +56,12 @@ TRIMMED = """
 pos AS (
   SELECT unique_session_id, total_revenue, date, country, ln(total_revenue) AS logtar
   FROM s WHERE revenue_micro IS NOT NULL AND total_revenue > 0
-), before_cut AS (
+), with_log_stats AS (
   SELECT *, avg(logtar) OVER (PARTITION BY country) AS log_avg,
             stddev_samp(logtar) OVER (PARTITION BY country) AS log_sko
   FROM pos
 ), t AS (
-  SELECT * FROM before_cut WHERE abs(logtar - log_avg) < 3.09 * log_sko
+  SELECT * FROM with_log_stats WHERE abs(logtar - log_avg) < 3.09 * log_sko
 )"""
 
 
@@ -146,7 +146,7 @@ plan AS (
       max(total_revenue) OVER (PARTITION BY country) AS over_test_max,
       count(total_revenue) OVER (PARTITION BY country) AS over_test
     FROM t
-  ) first_analyze
+  ) per_country
 )"""
 
 
