@@ -88,3 +88,13 @@ def test_range_read_lists_only_range_and_handles_empty(spark):
     assert files and all("table_suffix=201706" in f for f in files)
     assert read_shards(spark, root, "20180101", "20180131").count() == 0
     assert read_shards(spark, root, "20170602", "20170601").count() == 0
+
+
+def test_text_range_with_non_digit_names(spark):
+    root = scratch_path(spark, "shards-test")
+    write_shards(sample_sessions(spark, ["20170601", "2017060A", "201706011", "20170701"]), root)
+    every = sorted(r[0] for r in read_shards(spark, root, "20170601", "20170631", digit_suffixes=False)
+                   .select("table_suffix").collect())
+    assert every == sorted(["20170601", "2017060A", "201706011"])  # text order, like BETWEEN
+    days = sorted(r[0] for r in read_shards(spark, root, "20170601", "20170631").select("table_suffix").collect())
+    assert days == ["20170601"]  # digit day shards only

@@ -90,17 +90,23 @@ def digit_range_globs(lo: str, hi: str) -> list[str]:
 
 
 def read_shards(spark: SparkSession, root: str, lo: str | None = None, hi: str | None = None,
-                schema: T.StructType = SHARDED_SCHEMA) -> DataFrame:
+                schema: T.StructType = SHARDED_SCHEMA, digit_suffixes: bool = True) -> DataFrame:
     """Scan the day shards under ``root`` (``table_suffix=yyyyMMdd`` folders) in [lo, hi].
 
     The explicit schema keeps the suffix a string whatever the session's
-    partition-type inference says. With two equal-length digit bounds only
-    the folders in range are listed (one glob path); the range predicate is
-    applied as a partition filter in every case, so results are exact.
+    partition-type inference says. The range predicate is always applied as
+    a partition filter (text order, both ends included).
+
+    ``digit_suffixes`` (default): the folders are named by digit suffixes of
+    the bounds' length (day shards), so with two such bounds only the folders
+    in range are listed, through one glob path. Set it to False when other
+    names may fall inside the text range (e.g. '2017060A' or a longer
+    suffix); then every folder is listed and the filter alone decides.
     """
     reader = spark.read.schema(schema).option("basePath", root)
     path = root
-    if lo is not None and hi is not None and len(lo) == len(hi) and (lo + hi).isdigit():
+    if (digit_suffixes and lo is not None and hi is not None and len(lo) == len(hi)
+            and (lo + hi).isdigit()):
         if lo > hi:
             return spark.createDataFrame([], schema)
         path = f"{root.rstrip('/')}/{SUFFIX}={{{','.join(digit_range_globs(lo, hi))}}}"
