@@ -33,8 +33,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", "8g")
-         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
+         .config("spark.driver.memory", "8g"))
     for k, v in {**SESSION_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
