@@ -19,6 +19,7 @@ from visitstat.functions import (
     parse_day, ratio, round_half_up, week_start_sunday,
 )
 from visitstat.operators.attach import BROADCAST_MAX_ROWS, materialize
+from visitstat.session import write_table
 from visitstat.operators.bins import bin_plan, expand_bins, histogram, histograms
 from visitstat.operators.profile import describe, frequency, group_profile, summarize
 from visitstat.operators.sessions import flatten_sessions, session_extract, where_sessions
@@ -80,9 +81,9 @@ def segment_report(df: DataFrame, lo: str | None = None, hi: str | None = None,
 
     The share is taken over *all* segments before the threshold. Plan: one
     grouped aggregate with partial aggregation for all sums/counts/moments,
-    the exact medians of five columns from one run of the quantile operator,
-    the per-segment table written once; the grand total is a single number
-    summed from that table. Revenue sums are exact (integer micro-units).
+    the exact medians of five columns, the per-segment table written once
+    with the grand total (a single number) summed during that write.
+    Revenue sums are exact (integer micro-units).
     """
     by = list(by)
     flat = _flat(df, lo, hi, country)
@@ -105,8 +106,9 @@ def segment_report(df: DataFrame, lo: str | None = None, hi: str | None = None,
             "median_pageviews": "pageviews", "median_timeonsite": "timeOnSite"}
     inputs = ["unique_session_id", "newvisits", "revenue_micro", "revenue_from_new_micro", "total_revenue",
               "visits", "hits", "pageviews", "timeOnSite"]
-    seg = materialize(summarize(flat, by, aggs, meds, median_method=median_method, inputs=inputs), "segments")
-    total = seg.agg(F.sum("count_parted")).first()[0] or 0
+    seg, seen = write_table(summarize(flat, by, aggs, meds, median_method=median_method, inputs=inputs),
+                            "segments", observe={"total": F.sum("count_parted")})
+    total = seen["total"] or 0
     out = seg.select(
         *by, *[F.col(c) for c in aggs if c not in ("sum_revenue_micro", "sum_new_micro", "count_revenue")],
         *[F.col(c) for c in meds],

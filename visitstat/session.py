@@ -73,25 +73,38 @@ def scratch_path(spark: SparkSession, name: str = "table") -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/visitstat/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df, name: str = "table", count_rows: bool = False):
+def write_table(df, name: str = "table", count_rows: bool = False, observe: dict | None = None):
     """Write ``df`` as parquet into the shared checkpoint folder and read it back.
 
     This is how the library cuts lineage: one pass writes the table, later
     steps read the files. A lost executor then costs a re-read of the files,
     not a recomputation of the plan that produced them. The table is read
-    back with the schema it was written with (no footer scan). With
-    ``count_rows`` the row count is observed during the write itself and
-    returned as well: ``(table, rows)``.
+    back with the schema it was written with (no footer scan).
+
+    Aggregates over the written rows can be observed during the write itself
+    (no second pass): with ``count_rows`` the result is ``(table, rows)``;
+    with ``observe`` (name -> aggregate column) it is ``(table, {name: value})``.
     """
     from pyspark.sql import Observation
     from pyspark.sql import functions as F
 
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    obs = None
+    metrics = dict(observe or {})
     if count_rows:
-        obs = Observation(f"rows_{uuid.uuid4().hex}")
-        df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+        metrics["__rows"] = F.count(F.lit(1))
+    obs = None
+    if metrics:
+        obs = Observation(f"obs_{uuid.uuid4().hex}")
+        df = df.observe(obs, *[c.alias(n) for n, c in metrics.items()])
     df.write.mode("errorifexists").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    return (table, int(obs.get["rows"])) if count_rows else table
+    if not metrics:
+        return table
+    got = obs.get
+    if count_rows and not observe:
+        return table, int(got["__rows"])
+    values = {n: got[n] for n in (observe or {})}
+    if count_rows:
+        values["rows"] = int(got["__rows"])
+    return table, values
