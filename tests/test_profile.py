@@ -99,3 +99,14 @@ def test_auto_routes_only_large_groups_to_distributed(spark, monkeypatch):
     got = {r["g"]: (r["count"], r["median"]) for r in group_profile(df, ["g"], "v", ["count", "median"]).collect()}
     assert {g: m for g, (_, m) in got.items()} == want
     assert got["hot"][0] == 600 and got[None] == (5, 3.0)
+
+
+def test_approx_method_is_close(spark):
+    rnd = random.Random(31)
+    data = [(rnd.choice("xy"), rnd.gauss(100, 15)) for _ in range(4000)]
+    df = spark.createDataFrame(data, "g string, v double")
+    exact = {r["g"]: r["median"] for r in group_profile(df, ["g"], "v", ["median"]).collect()}
+    approx = {r["g"]: r["median"] for r in group_profile(df, ["g"], "v", ["median"], median_method="approx").collect()}
+    assert exact.keys() == approx.keys() and all(abs(exact[k] - approx[k]) < 1.0 for k in exact)
+    d = {r["column"]: r for r in describe(df, ["v"], median_method="approx").collect()}
+    assert abs(d["v"]["p50"] - np.median([v for _, v in data])) < 1.0
