@@ -132,23 +132,37 @@ def summarize(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
 PROFILE_METRICS = ("count", "avg", "median", "min", "max", "sko", "koef_var")
 
 
+def exact_sum_avg(units: str, scale: float) -> tuple[Column, Column]:
+    """Sum and average of ``units / scale`` from an integer column: the integer
+    sum is exact, so both results are independent of row order (money kept
+    in integer micro-units)."""
+    u = F.col(units)
+    return F.sum(u) / F.lit(scale), F.sum(u) / F.count(u) / F.lit(scale)
+
+
 def group_profile(df: DataFrame, by: Sequence[str], value: str,
                   metrics: Sequence[str] = PROFILE_METRICS, median_method: str = "auto",
-                  max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                  max_rows: int = BROADCAST_MAX_ROWS, exact: tuple[str, float] | None = None) -> DataFrame:
     """Per-group profile of ``value``: count (non-null), avg, exact median, min,
     max, sample stddev (``sko``), coefficient of variation ``sko/avg``
-    (null when avg is 0), ``sum``. Output in ``by`` + ``metrics`` order."""
+    (null when avg is 0), ``sum``. Output in ``by`` + ``metrics`` order.
+
+    ``exact=(integer column, scale)`` says ``value`` is that column divided by
+    ``scale``; ``sum`` and ``avg`` are then taken from the integer sum, exact
+    and independent of row order."""
     v = F.col(value)
+    total, mean = exact_sum_avg(*exact) if exact else (F.sum(v), F.avg(v))
     exprs = {
-        "count": F.count(v), "avg": F.avg(v), "min": F.min(v), "max": F.max(v),
-        "sko": F.stddev_samp(v), "koef_var": ratio(F.stddev_samp(v), F.avg(v)), "sum": F.sum(v),
+        "count": F.count(v), "avg": mean, "min": F.min(v), "max": F.max(v),
+        "sko": F.stddev_samp(v), "koef_var": ratio(F.stddev_samp(v), mean), "sum": total,
     }
     unknown = set(metrics) - set(exprs) - {"median"}
     if unknown:
         raise ValueError(f"unknown metrics {sorted(unknown)}")
     aggs = {m: exprs[m] for m in metrics if m != "median"}
     meds = {"median": value} if "median" in metrics else {}
-    out = summarize(df, by, aggs, meds, median_method=median_method, inputs=[value], max_rows=max_rows)
+    inputs = [value] + ([exact[0]] if exact else [])
+    out = summarize(df, by, aggs, meds, median_method=median_method, inputs=inputs, max_rows=max_rows)
     return out.select(*by, *metrics)
 
 

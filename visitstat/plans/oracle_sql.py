@@ -4,7 +4,8 @@ Each oracle rebuilds the session rows from the test tables with the same
 mapping as ``sources.testdata`` and states the report the way the original
 SQL does where that differs from our plan (window aggregates plus DISTINCT,
 per-row attached statistics), so the check also covers the rewrite to
-grouped aggregates and joins. Rounding follows ``catalog.OUTPUT``.
+grouped aggregates and joins. Rounding follows ``catalog.OUTPUT``. Revenue
+sums and averages are taken from integer micro-unit sums on both sides.
 DuckDB notes: ``ln`` is the natural log (``log`` is base 10 there),
 ``dayofweek`` is 0 on Sunday, ``%U`` is the Sunday-based week number.
 """
@@ -54,7 +55,7 @@ li AS (
 # attached to every row by a window over the country, then the strict test.
 TRIMMED = """
 pos AS (
-  SELECT unique_session_id, total_revenue, date, country, ln(total_revenue) AS logtar
+  SELECT unique_session_id, total_revenue, revenue_micro, date, country, ln(total_revenue) AS logtar
   FROM s WHERE revenue_micro IS NOT NULL AND total_revenue > 0
 ), with_log_stats AS (
   SELECT *, avg(logtar) OVER (PARTITION BY country) AS log_avg,
@@ -106,19 +107,20 @@ SELECT * FROM (
 _DAILY = """
 SELECT DISTINCT date,
   count(total_revenue) OVER (PARTITION BY date) AS count,
-  avg(total_revenue) OVER (PARTITION BY date) AS avg,
+  sum(revenue_micro) OVER (PARTITION BY date) / count(revenue_micro) OVER (PARTITION BY date) / 1e6 AS avg,
   quantile_cont(total_revenue, 0.5) OVER (PARTITION BY date) AS median,
   min(total_revenue) OVER (PARTITION BY date) AS min,
   max(total_revenue) OVER (PARTITION BY date) AS max,
   stddev_samp(total_revenue) OVER (PARTITION BY date) AS sko,
-  stddev_samp(total_revenue) OVER (PARTITION BY date)
-    / nullif(avg(total_revenue) OVER (PARTITION BY date), 0) AS koef_var
+  stddev_samp(total_revenue) OVER (PARTITION BY date) / nullif(
+    sum(revenue_micro) OVER (PARTITION BY date) / count(revenue_micro) OVER (PARTITION BY date) / 1e6, 0)
+    AS koef_var
 FROM t"""
 
 _WEEKLY = """
 SELECT day - CAST(dayofweek(day) AS INTEGER) AS date,
   sum(revenue_micro) / 1e6 AS revenue_sum,
-  avg(total_revenue) AS revenue_avg,
+  sum(revenue_micro) / count(revenue_micro) / 1e6 AS revenue_avg,
   CAST(sum(timeOnSite) AS BIGINT) AS sum_timeOnSite
 FROM s {where} GROUP BY 1"""
 
@@ -139,7 +141,8 @@ plan AS (
   FROM (
     SELECT DISTINCT country,
       count(total_revenue) OVER (PARTITION BY country) AS count,
-      avg(total_revenue) OVER (PARTITION BY country) AS avg,
+      sum(revenue_micro) OVER (PARTITION BY country) / count(revenue_micro) OVER (PARTITION BY country) / 1e6
+        AS avg,
       quantile_cont(total_revenue, 0.5) OVER (PARTITION BY country) AS median,
       stddev_samp(total_revenue) OVER (PARTITION BY country) AS sko,
       min(total_revenue) OVER (PARTITION BY country) AS over_test_min,
@@ -216,7 +219,8 @@ WHERE date BETWEEN '{SHARD_LO}' AND '{SHARD_HI}'"""),
 SELECT * FROM (
   SELECT DISTINCT country,
     count(total_revenue) OVER (PARTITION BY country) AS count,
-    avg(total_revenue) OVER (PARTITION BY country) AS avg,
+    sum(revenue_micro) OVER (PARTITION BY country) / count(revenue_micro) OVER (PARTITION BY country) / 1e6
+      AS avg,
     quantile_cont(total_revenue, 0.5) OVER (PARTITION BY country) AS median,
     stddev_samp(total_revenue) OVER (PARTITION BY country) AS sko
   FROM t

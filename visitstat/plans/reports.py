@@ -34,11 +34,13 @@ def trimmed_revenue(df: DataFrame, lo: str | None = None, hi: str | None = None,
                     country: str | None = None, trim_by: Sequence[str] = ("country",),
                     k: float = LOG_SIGMA_K, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Revenue sessions after the log-sigma trim (per ``trim_by`` group):
-    ``unique_session_id, total_revenue, logtar, date, country, log_avg, log_sko``."""
+    ``unique_session_id, total_revenue, logtar, date, country, log_avg, log_sko``
+    (and ``revenue_micro``, the same revenue in integer micro-units)."""
     flat = _flat(df, lo, hi, country, revenue_only=True)
-    rows = flat.select("unique_session_id", "total_revenue", "date", "country")
+    rows = flat.select("unique_session_id", "total_revenue", "revenue_micro", "date", "country")
     t = log_trim(rows, "total_revenue", trim_by, k=k, max_rows=max_rows)
-    return t.select("unique_session_id", "total_revenue", "logtar", "date", "country", "log_avg", "log_sko")
+    return t.select("unique_session_id", "total_revenue", "logtar", "date", "country", "log_avg", "log_sko",
+                    "revenue_micro")
 
 
 def daily_profile(df: DataFrame, lo: str | None = None, hi: str | None = None,
@@ -48,7 +50,8 @@ def daily_profile(df: DataFrame, lo: str | None = None, hi: str | None = None,
     """Outlier-trimmed profile of revenue per day (trim per country, profile per date):
     ``date, count, avg, median, min, max, sko, koef_var`` ordered by date."""
     t = trimmed_revenue(df, lo, hi, country, trim_by, k)
-    prof = group_profile(t, list(by), "total_revenue", median_method=median_method)
+    prof = group_profile(t, list(by), "total_revenue", median_method=median_method,
+                         exact=("revenue_micro", MICRO))
     return prof.orderBy(*by)
 
 
@@ -125,12 +128,13 @@ def segment_report(df: DataFrame, lo: str | None = None, hi: str | None = None,
 def weekly_dynamics(df: DataFrame, lo: str | None = None, hi: str | None = None,
                     country: str | None = None) -> DataFrame:
     """Per week (weeks start on Sunday, UTC): ``date`` (the Sunday), revenue sum
-    (exact), revenue average, time-on-site sum; ordered by date."""
+    and average (both from exact integer micro-unit sums), time-on-site sum;
+    ordered by date."""
     flat = _flat(df, lo, hi, country)
     wk = flat.withColumn("week", week_start_sunday(parse_day("date")))
     out = wk.groupBy("week").agg(
         (F.sum("revenue_micro") / F.lit(MICRO)).alias("revenue_sum"),
-        F.avg("total_revenue").alias("revenue_avg"),
+        (F.sum("revenue_micro") / F.count("revenue_micro") / F.lit(MICRO)).alias("revenue_avg"),
         F.sum("timeOnSite").alias("sum_timeOnSite"))
     return out.withColumnRenamed("week", "date").orderBy("date")
 
@@ -148,7 +152,7 @@ def country_profile(df: DataFrame, lo: str | None = None, hi: str | None = None,
     sessions: ``country, count, avg, median, sko`` ordered by count."""
     t = trimmed_revenue(df, lo, hi, country, ("country",), k)
     prof = group_profile(t, ["country"], "total_revenue", ("count", "avg", "median", "sko"),
-                         median_method=median_method)
+                         median_method=median_method, exact=("revenue_micro", MICRO))
     return prof.where(F.col("count") > F.lit(min_count)).orderBy("count", "country")
 
 
@@ -157,7 +161,8 @@ def country_bin_plan(df: DataFrame, lo: str | None = None, hi: str | None = None
                      median_method: str = "auto") -> DataFrame:
     """Bin plan of trimmed revenue per country (see ``bin_plan``)."""
     t = trimmed_revenue(df, lo, hi, country, ("country",), k)
-    return bin_plan(t, ["country"], "total_revenue", median_method=median_method).orderBy("country")
+    return bin_plan(t, ["country"], "total_revenue", median_method=median_method,
+                    exact=("revenue_micro", MICRO)).orderBy("country")
 
 
 def country_bin_series(df: DataFrame, lo: str | None = None, hi: str | None = None,
