@@ -41,8 +41,8 @@ def quantiles_long(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
         if not 0.0 <= q <= 1.0:
             raise ValueError(f"quantile {q} outside [0, 1]")
 
-    pairs = F.array(*[F.struct(F.lit(c).alias(_M), F.col(c).cast("double").alias(_X)) for c in cols])
-    long = (df.select(*keys, F.inline(pairs))
+    long = (df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+              .unpivot(keys, cols, _M, _X)
               .where(F.col(_X).isNotNull() & ~F.isnan(_X)))
 
     # 1-2: pre-aggregate equal values, then range-partition and pin the layout.
