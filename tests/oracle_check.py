@@ -45,6 +45,22 @@ def rows_key(rows):
     return sorted(tuple(norm(v) for v in r) for r in rows)
 
 
+SPARK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+               "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+def type_mismatches(sdf, res) -> list:
+    """Columns whose Spark type and DuckDB type differ (by family name)."""
+    duck_types = {d[0]: str(d[1]).upper() for d in res.description}
+    out = []
+    for f in sdf.schema.fields:
+        want = SPARK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
+        got = duck_types.get(f.name)
+        if got is not None and got != want:
+            out.append((f.name, f.dataType.simpleString(), got))
+    return out
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -53,6 +69,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     t1 = time.time()
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
+    types = type_mismatches(sdf, res)
     d_rows = res.fetchall()
     t2 = time.time()
     order = sorted(range(len(s_cols)), key=lambda i: s_cols[i])
@@ -62,8 +79,8 @@ def compare(spark, con, name, fn, sql, sf_dir):
     dk = rows_key([tuple(r[i] for i in dorder) for r in d_rows]) if same_cols else None
     ok = same_cols and sk == dk
     print(f"{'OK ' if ok else 'BAD'} {name:28s} spark={len(s_rows):7d} duck={len(d_rows):7d} "
-          f"cols={'same' if same_cols else (s_cols, d_cols)} t_spark={t1-t0:5.1f}s t_duck={t2-t1:4.1f}s",
-          flush=True)
+          f"cols={'same' if same_cols else (s_cols, d_cols)} t_spark={t1-t0:5.1f}s t_duck={t2-t1:4.1f}s"
+          + (f" TYPES {types}" if types else ""), flush=True)
     if not ok and same_cols:
         a, b = set(sk), set(dk)
         for x in list(a - b)[:3]:
