@@ -64,3 +64,11 @@ def test_log_trim_fallback_on_hot_key(spark):
     a = sorted(tuple(r) for r in log_trim(df, "v", ["g"]).select("g", "v").collect())
     b = sorted(tuple(r) for r in log_trim(df, "v", ["g"], max_rows=0).select("g", "v").collect())
     assert a == b and len(a) > 4000
+
+
+def test_broadcast_check_counts_bytes(spark):
+    from visitstat.operators.attach import fits_broadcast, row_bytes, sized
+    df = spark.createDataFrame([("x" * 100, 1), (None, 2)], "k string, v long")
+    assert df.agg(F.sum(row_bytes(df))).first()[0] == (100 + 8 + 8) + (0 + 8 + 8)
+    _, ok = sized(df)
+    assert ok and fits_broadcast(10, 10) and not fits_broadcast(10, 10 ** 12) and not fits_broadcast(10 ** 9, 1)

@@ -4,15 +4,37 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitstat.session import write_table
 
-# A per-group table is broadcast only when its row count, measured after it has
-# been written out, is at most this many rows; beyond it the join is a shuffle
-# join (AQE splits a skewed key on the large side).
+# A per-group table is broadcast only when its row count and data size,
+# measured while it is written out, are at most these; beyond them the join is
+# a shuffle join (AQE splits a skewed key on the large side).
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Data size of one row: string and binary lengths plus 8 bytes per other value
+    (nested values count 64). Summed during a write it bounds what a broadcast ships."""
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + F.lit(8))
+        elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            parts.append(F.lit(64))
+        else:
+            parts.append(F.lit(8))
+    return reduce(lambda a, b: a + b, parts, F.lit(0)).cast("bigint")
+
+
+def fits_broadcast(rows: int, size: int | None, max_rows: int = BROADCAST_MAX_ROWS,
+                   max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -21,9 +43,10 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Materialize a small derived table once and report whether it fits ``max_rows``."""
-    m, rows = write_table(df, "small", count_rows=True)
-    return m, rows <= max_rows
+    """Write a derived table once and report whether it may be broadcast: its
+    row count and data size are observed during that write (no extra pass)."""
+    m, seen = write_table(df, "small", count_rows=True, observe={"bytes": F.sum(row_bytes(df))})
+    return m, fits_broadcast(seen["rows"], seen["bytes"], max_rows)
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]):

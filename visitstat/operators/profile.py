@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitstat.functions import ratio
-from visitstat.operators.attach import BROADCAST_MAX_ROWS, null_safe_on
+from visitstat.operators.attach import BROADCAST_MAX_ROWS, fits_broadcast, null_safe_on, row_bytes
 from visitstat.session import write_table
 from visitstat.operators.quantile import exact_quantiles, quantiles_long
 
@@ -111,13 +111,15 @@ def summarize(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
             if median_method == "distributed":
                 med = _distributed_medians(rows, by, medians, max_rows)
             else:
-                big, n_big = write_table(base.where(F.col("__rows") > F.lit(BUILTIN_MAX_ROWS)).select(*by),
-                                         "large_groups", count_rows=True)
+                large = base.where(F.col("__rows") > F.lit(BUILTIN_MAX_ROWS)).select(*by)
+                big, seen = write_table(large, "large_groups", count_rows=True,
+                                        observe={"bytes": F.sum(row_bytes(large))})
+                n_big = seen["rows"]
                 if n_big == 0:
                     med = _builtin_medians(rows, by, medians)
                 else:
                     big_k, pairs = _keyed(big, by)
-                    big_k = F.broadcast(big_k) if n_big <= max_rows else big_k
+                    big_k = F.broadcast(big_k) if fits_broadcast(n_big, seen["bytes"], max_rows) else big_k
                     on = null_safe_on(rows, big_k, pairs)
                     med = _builtin_medians(rows.join(big_k, on, "left_anti"), by, medians).unionByName(
                         _distributed_medians(rows.join(big_k, on, "left_semi"), by, medians, max_rows))
