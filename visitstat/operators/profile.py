@@ -35,18 +35,6 @@ MEDIAN_METHODS = ("auto", "distributed", "builtin", "approx")
 BUILTIN_MAX_ROWS = 1_000_000
 
 
-def _resolve(df: DataFrame, method: str, name: str) -> tuple[DataFrame, str]:
-    """Write the rows once (they are read by more than one pass) and pick the
-    quantile method; 'auto' decides on the row count observed in the write
-    (for ``describe``, where each column is one group holding all rows)."""
-    if method not in MEDIAN_METHODS:
-        raise ValueError(f"median_method must be one of {MEDIAN_METHODS}")
-    rows, n = write_table(df, name, count_rows=True)
-    if method == "auto":
-        method = "builtin" if n <= BUILTIN_MAX_ROWS else "distributed"
-    return rows, method
-
-
 def _quantile_agg(c: str, q: float, method: str) -> Column:
     if method == "builtin":
         return F.percentile(F.col(c), F.lit(q))
@@ -177,8 +165,11 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, median_method: st
     exact 25/50/75 % (linear interpolation), max. Nulls and NaN are missing
     values, per column (columns may have different counts).
 
-    One pass computes all simple statistics as a single wide aggregate; the
-    quartiles of all columns come from one run of the quantile operator.
+    One pass computes all simple statistics as a single wide aggregate (one
+    row of numbers, returned to the driver); a second pass computes the
+    quartiles of all columns, with Spark's ``percentile`` when every column
+    has at most ``BUILTIN_MAX_ROWS`` values ('auto'), else with the
+    distributed quantile operator.
     """
     numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
     cols = list(cols) if cols is not None else [
@@ -191,18 +182,23 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, median_method: st
         x = F.col(c).cast("double")
         return F.nanvl(x, F.lit(None).cast("double")) if isinstance(kinds[c], (T.FloatType, T.DoubleType)) else x
 
+    if median_method not in MEDIAN_METHODS:
+        raise ValueError(f"median_method must be one of {MEDIAN_METHODS}")
     xs = df.select(*[clean(c).alias(c) for c in cols])
-    if median_method in ("auto", "distributed"):
-        xs, median_method = _resolve(xs, median_method, "described")
+    # Pass 1: all simple statistics in one aggregate, a row of 5 numbers per column.
     wide = xs.agg(*[e for c in cols for e in (
         F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
-        F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"))])
-    per_col = F.array(*[F.struct(F.lit(c).alias("column"),
-                                 F.col(f"{c}__count").alias("count"), F.col(f"{c}__mean").alias("mean"),
-                                 F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"),
-                                 F.col(f"{c}__max").alias("max")) for c in cols])
-    simple = wide.select(F.inline(per_col))
-
+        F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"))]).first()
+    simple = df.sparkSession.createDataFrame(
+        [(c, wide[f"{c}__count"], wide[f"{c}__mean"], wide[f"{c}__std"], wide[f"{c}__min"], wide[f"{c}__max"])
+         for c in cols],
+        "column string, count bigint, mean double, std double, min double, max double")
+    # Each column is one group of all its values: its count bounds the percentile buffer.
+    if median_method == "auto":
+        largest = max(wide[f"{c}__count"] for c in cols)
+        median_method = "builtin" if largest <= BUILTIN_MAX_ROWS else "distributed"
+
+    # Pass 2: the quartiles of all columns.
     if median_method == "distributed":
         qs = quantiles_long(xs, [], cols, (0.25, 0.5, 0.75), max_rows=max_rows)
         quart = qs.groupBy("column").agg(
