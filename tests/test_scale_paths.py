@@ -70,5 +70,6 @@ def test_broadcast_check_counts_bytes(spark):
     from visitstat.operators.attach import fits_broadcast, row_bytes, sized
     df = spark.createDataFrame([("x" * 100, 1), (None, 2)], "k string, v long")
     assert df.agg(F.sum(row_bytes(df))).first()[0] == (100 + 8 + 8) + (0 + 8 + 8)
-    _, ok = sized(df)
+    _, ok, seen = sized(df)
+    assert seen["rows"] == 2 and seen["bytes"] == 132
     assert ok and fits_broadcast(10, 10) and not fits_broadcast(10, 10 ** 12) and not fits_broadcast(10 ** 9, 1)

@@ -42,3 +42,16 @@ def test_matches_brute_force_and_is_subset(spark):
 def test_without_keys(spark):
     df = rows(spark, [("a", float(v)) for v in (1, 2, 3, 4, 1e12)])
     assert log_trim(df, "v", [], k=1.0).count() < 5
+
+
+def test_bound_covers_kept_rows(spark):
+    import random
+    from visitstat.operators.trim import log_trim_bounded
+    rnd = random.Random(3)
+    data = [(rnd.choice("abc"), math.exp(rnd.gauss(2, 1))) for _ in range(500)] + [("d", 1.0), ("e", -2.0)]
+    df = rows(spark, data)
+    kept, bound = log_trim_bounded(df, "v", ["g"])
+    n = kept.count()
+    assert n <= bound == 500  # groups d (one row, null stddev) and e (no positive value) keep nothing
+    kept0, bound0 = log_trim_bounded(df, "v", [])
+    assert kept0.count() <= bound0 == 501

@@ -42,11 +42,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return write_table(df, name)
 
 
-def sized(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
+def sized(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+          observe: dict | None = None) -> tuple[DataFrame, bool, dict]:
     """Write a derived table once and report whether it may be broadcast: its
-    row count and data size are observed during that write (no extra pass)."""
-    m, seen = write_table(df, "small", count_rows=True, observe={"bytes": F.sum(row_bytes(df))})
-    return m, fits_broadcast(seen["rows"], seen["bytes"], max_rows)
+    row count and data size are observed during that write (no extra pass),
+    with any further ``observe`` aggregates; returns (table, fits, observed)."""
+    m, seen = write_table(df, "small", count_rows=True,
+                          observe={"bytes": F.sum(row_bytes(df)), **(observe or {})})
+    return m, fits_broadcast(seen["rows"], seen["bytes"], max_rows), seen
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]):
@@ -60,16 +63,24 @@ def attach(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner
            max_rows: int = BROADCAST_MAX_ROWS, checked: bool = True) -> DataFrame:
     """Join a per-group table ``small`` onto ``rows`` by ``keys`` (null-safe).
 
-    With ``checked`` the small side is written out and counted first; it is
-    broadcast only under ``max_rows``. Otherwise (or unchecked) Spark chooses,
-    using its own runtime sizes under AQE.
+    With ``checked`` the small side is written out and measured first; it is
+    broadcast only under ``max_rows`` and ``BROADCAST_MAX_BYTES``. Otherwise
+    (or unchecked) Spark chooses, using its own runtime sizes under AQE.
     """
+    return attach_observed(rows, small, keys, how, max_rows, checked)[0]
+
+
+def attach_observed(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
+                    max_rows: int = BROADCAST_MAX_ROWS, checked: bool = True,
+                    observe: dict | None = None) -> tuple[DataFrame, dict]:
+    """``attach``, also returning aggregates of ``small`` observed while it is written."""
     tmp = {k: f"__key_{i}" for i, k in enumerate(keys)}
     s = small.select(*[F.col(k).alias(tmp[k]) for k in keys],
                      *[c for c in small.columns if c not in tmp])
+    seen: dict = {}
     if checked:
-        s, fits = sized(s, max_rows)
+        s, fits, seen = sized(s, max_rows, observe)
         if fits:
             s = F.broadcast(s)
     out = rows.join(s, null_safe_on(rows, s, [(k, tmp[k]) for k in keys]), how)
-    return out.drop(*tmp.values())
+    return out.drop(*tmp.values()), seen

@@ -128,7 +128,8 @@ BIN_PLAN_COLUMNS = ("count", "avg", "median", "sko", "over_test_min", "over_test
 
 
 def bin_plan(df: DataFrame, by: Sequence[str], value: str, median_method: str = "auto",
-             max_rows: int = BROADCAST_MAX_ROWS, exact: tuple[str, float] | None = None) -> DataFrame:
+             max_rows: int = BROADCAST_MAX_ROWS, exact: tuple[str, float] | None = None,
+             rows_bound: int | None = None) -> DataFrame:
     """Per-group bin plan of ``value``: profile plus ``step`` = range / (1 + 3.5 ln N),
     ``ceil`` = ceil(1 + 3.5 ln N) bins (1 when the range is 0, step 0 then),
     ``sum_another_teor`` = 1 + 2 + ... + ceil. N = non-null values in the group.
@@ -139,8 +140,8 @@ def bin_plan(df: DataFrame, by: Sequence[str], value: str, median_method: str =
     prof = summarize(df, by, {
         "count": F.count(v), "avg": mean, "sko": F.stddev_samp(v),
         "over_test_min": F.min(v), "over_test_max": F.max(v), "over_test": F.count(v),
-    }, {"median": value}, median_method=median_method, inputs=inputs, max_rows=max_rows
-    ).where(F.col("over_test") > 0)
+    }, {"median": value}, median_method=median_method, inputs=inputs, max_rows=max_rows,
+        rows_bound=rows_bound).where(F.col("over_test") > 0)
     rng = F.col("over_test_max") - F.col("over_test_min")
     bins_f = F.lit(LN_BIN_A) + F.lit(LN_BIN_B) * F.ln(F.col("over_test").cast("double"))
     k = F.when(rng > F.lit(0), F.ceil(bins_f)).otherwise(F.lit(1)).cast("bigint")

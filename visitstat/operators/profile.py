@@ -60,7 +60,8 @@ def _keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[tuple[str, str
 
 def summarize(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
               medians: Mapping[str, str] | None = None, median_method: str = "auto",
-              inputs: Sequence[str] | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+              inputs: Sequence[str] | None = None, max_rows: int = BROADCAST_MAX_ROWS,
+              rows_bound: int | None = None) -> DataFrame:
     """``groupBy(by).agg(aggs)`` plus exact medians, one row per group.
 
     ``medians`` maps an output name to the input column whose median it is.
@@ -75,6 +76,8 @@ def summarize(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
     ``percentile`` (its buffer holds at most that many values), and only the
     larger groups - at most total / bound of them, so the table naming them
     has a proven size - go through the distributed quantile operator.
+    ``rows_bound``, a proven upper bound on the input rows known to the caller,
+    lets 'auto' skip the counting write when it is within the bound.
     """
     if median_method not in MEDIAN_METHODS:
         raise ValueError(f"median_method must be one of {MEDIAN_METHODS}")
@@ -84,6 +87,8 @@ def summarize(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
         df, by = df.withColumn(_ALL, F.lit(0)), [_ALL]
     agg_exprs = [e.alias(n) for n, e in aggs.items()]
 
+    if median_method == "auto" and rows_bound is not None and rows_bound <= BUILTIN_MAX_ROWS:
+        median_method = "builtin"  # no group can exceed the whole input
     if not medians or median_method in ("builtin", "approx"):
         extra = [_quantile_agg(c, 0.5, median_method).alias(n) for n, c in medians.items()]
         out = df.groupBy(*by).agg(*agg_exprs, *extra)
@@ -132,7 +137,8 @@ def exact_sum_avg(units: str, scale: float) -> tuple[Column, Column]:
 
 def group_profile(df: DataFrame, by: Sequence[str], value: str,
                   metrics: Sequence[str] = PROFILE_METRICS, median_method: str = "auto",
-                  max_rows: int = BROADCAST_MAX_ROWS, exact: tuple[str, float] | None = None) -> DataFrame:
+                  max_rows: int = BROADCAST_MAX_ROWS, exact: tuple[str, float] | None = None,
+                  rows_bound: int | None = None) -> DataFrame:
     """Per-group profile of ``value``: count (non-null), avg, exact median, min,
     max, sample stddev (``sko``), coefficient of variation ``sko/avg``
     (null when avg is 0), ``sum``. Output in ``by`` + ``metrics`` order.
@@ -152,7 +158,8 @@ def group_profile(df: DataFrame, by: Sequence[str], value: str,
     aggs = {m: exprs[m] for m in metrics if m != "median"}
     meds = {"median": value} if "median" in metrics else {}
     inputs = [value] + ([exact[0]] if exact else [])
-    out = summarize(df, by, aggs, meds, median_method=median_method, inputs=inputs, max_rows=max_rows)
+    out = summarize(df, by, aggs, meds, median_method=median_method, inputs=inputs, max_rows=max_rows,
+                    rows_bound=rows_bound)
     return out.select(*by, *metrics)
 
 

@@ -23,24 +23,29 @@ from visitstat.session import write_table
 from visitstat.operators.bins import bin_plan, expand_bins, histogram, histograms
 from visitstat.operators.profile import describe, frequency, group_profile, summarize
 from visitstat.operators.sessions import flatten_sessions, session_extract, where_sessions
-from visitstat.operators.trim import log_trim
+from visitstat.operators.trim import log_trim_bounded
 
 
 def _flat(df: DataFrame, lo=None, hi=None, country=None, revenue_only=False) -> DataFrame:
     return flatten_sessions(where_sessions(df, lo, hi, country, revenue_only))
 
 
+def _trimmed(df: DataFrame, lo=None, hi=None, country=None, trim_by: Sequence[str] = ("country",),
+             k: float = LOG_SIGMA_K, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, int]:
+    flat = _flat(df, lo, hi, country, revenue_only=True)
+    rows = flat.select("unique_session_id", "total_revenue", "revenue_micro", "date", "country")
+    t, bound = log_trim_bounded(rows, "total_revenue", trim_by, k=k, max_rows=max_rows)
+    return t.select("unique_session_id", "total_revenue", "logtar", "date", "country", "log_avg", "log_sko",
+                    "revenue_micro"), bound
+
+
 def trimmed_revenue(df: DataFrame, lo: str | None = None, hi: str | None = None,
                     country: str | None = None, trim_by: Sequence[str] = ("country",),
                     k: float = LOG_SIGMA_K, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Revenue sessions after the log-sigma trim (per ``trim_by`` group):
     ``unique_session_id, total_revenue, logtar, date, country, log_avg, log_sko``
     (and ``revenue_micro``, the same revenue in integer micro-units)."""
-    flat = _flat(df, lo, hi, country, revenue_only=True)
-    rows = flat.select("unique_session_id", "total_revenue", "revenue_micro", "date", "country")
-    t = log_trim(rows, "total_revenue", trim_by, k=k, max_rows=max_rows)
-    return t.select("unique_session_id", "total_revenue", "logtar", "date", "country", "log_avg", "log_sko",
-                    "revenue_micro")
+    return _trimmed(df, lo, hi, country, trim_by, k, max_rows)[0]
 
 
 def daily_profile(df: DataFrame, lo: str | None = None, hi: str | None = None,
@@ -49,9 +54,9 @@ def daily_profile(df: DataFrame, lo: str | None = None, hi: str | None = None,
                   median_method: str = "auto") -> DataFrame:
     """Outlier-trimmed profile of revenue per day (trim per country, profile per date):
     ``date, count, avg, median, min, max, sko, koef_var`` ordered by date."""
-    t = trimmed_revenue(df, lo, hi, country, trim_by, k)
+    t, bound = _trimmed(df, lo, hi, country, trim_by, k)
     prof = group_profile(t, list(by), "total_revenue", median_method=median_method,
-                         exact=("revenue_micro", MICRO))
+                         exact=("revenue_micro", MICRO), rows_bound=bound)
     return prof.orderBy(*by)
 
 
@@ -150,9 +155,9 @@ def country_profile(df: DataFrame, lo: str | None = None, hi: str | None = None,
                     k: float = LOG_SIGMA_K, median_method: str = "auto") -> DataFrame:
     """Trimmed revenue profile per country, groups with more than ``min_count``
     sessions: ``country, count, avg, median, sko`` ordered by count."""
-    t = trimmed_revenue(df, lo, hi, country, ("country",), k)
+    t, bound = _trimmed(df, lo, hi, country, ("country",), k)
     prof = group_profile(t, ["country"], "total_revenue", ("count", "avg", "median", "sko"),
-                         median_method=median_method, exact=("revenue_micro", MICRO))
+                         median_method=median_method, exact=("revenue_micro", MICRO), rows_bound=bound)
     return prof.where(F.col("count") > F.lit(min_count)).orderBy("count", "country")
 
 
@@ -160,9 +165,9 @@ def country_bin_plan(df: DataFrame, lo: str | None = None, hi: str | None = None
                      country: str | None = None, k: float = LOG_SIGMA_K,
                      median_method: str = "auto") -> DataFrame:
     """Bin plan of trimmed revenue per country (see ``bin_plan``)."""
-    t = trimmed_revenue(df, lo, hi, country, ("country",), k)
+    t, bound = _trimmed(df, lo, hi, country, ("country",), k)
     return bin_plan(t, ["country"], "total_revenue", median_method=median_method,
-                    exact=("revenue_micro", MICRO)).orderBy("country")
+                    exact=("revenue_micro", MICRO), rows_bound=bound).orderBy("country")
 
 
 def country_bin_series(df: DataFrame, lo: str | None = None, hi: str | None = None,
@@ -179,9 +184,9 @@ def country_bin_rows(df: DataFrame, lo: str | None = None, hi: str | None = None
                      country: str | None = None, k: float = LOG_SIGMA_K) -> DataFrame:
     """Each trimmed revenue session once per bin index 1..ceil of its country:
     ``unique_session_id, country, total_revenue, another_unnest``."""
-    t = materialize(trimmed_revenue(df, lo, hi, country, ("country",), k)
-                    .select("unique_session_id", "country", "total_revenue"), "trimmed")
-    plan = bin_plan(t, ["country"], "total_revenue")
+    t, bound = _trimmed(df, lo, hi, country, ("country",), k)
+    t = materialize(t.select("unique_session_id", "country", "total_revenue"), "trimmed")
+    plan = bin_plan(t, ["country"], "total_revenue", rows_bound=bound)
     rows = expand_bins(t, plan, ["country"])
     return rows.select("unique_session_id", "country", "total_revenue", "another_unnest")
 
