@@ -55,7 +55,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch folder; on a cluster the folder must be configured, because a
     machine-local folder would not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Spark Connect) session has no SparkContext: use its setting
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/DBFS)")
+        return f"{configured.rstrip('/')}/{application_id(spark)}"
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -68,6 +74,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def application_id(spark: SparkSession) -> str:
+    """The application's id, from the session configuration."""
+    return spark.conf.get("spark.app.id")
+
+
 def scratch_path(spark: SparkSession, name: str = "table") -> str:
     """A fresh folder below the shared checkpoint folder, for a written intermediate table."""
     return f"{checkpoint_dir(spark).rstrip('/')}/visitstat/{name}-{uuid.uuid4().hex}"

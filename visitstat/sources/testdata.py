@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitstat.session import write_table
+from visitstat.session import application_id, write_table
 
 # Fixed values of the mapping.
 CONVERTED_STATUS = "F"     # order status that carries revenue
@@ -39,7 +39,7 @@ _TABLES: dict[tuple[str, str], DataFrame] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table; the DataFrame (and its schema) is reused within a session."""
-    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
+    key = (application_id(spark), f"{sf_dir}/{name}.parquet")
     df = _TABLES.get(key)
     if df is None or df.sparkSession is not spark:
         df = _TABLES[key] = spark.read.parquet(key[1])
@@ -113,7 +113,7 @@ def sessions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     report the same situation: a parquet scan with pruned struct fields and
     pushed filters, instead of re-running the joins that build it.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (application_id(spark), sf_dir)
     df = _SESSIONS.get(key)
     if df is None or df.sparkSession is not spark:
         df = _SESSIONS[key] = write_table(sessions_from_testdata(spark, sf_dir), "sessions")
