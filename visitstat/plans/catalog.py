@@ -19,7 +19,7 @@ from visitstat.operators.sessions import flatten_sessions, revenue_sessions, ses
 from visitstat.plans import reports as R
 from visitstat.session import scratch_path
 from visitstat.sources.shards import read_shards, write_shards, preview_rows
-from visitstat.sources.testdata import sessions_table
+from visitstat.sources.testdata import sessions_table, sessions_table_sized
 
 # Fixed parameters of the registered queries.
 SHARD_LO, SHARD_HI = "19970601", "19970631"   # a one-month suffix range (June 31 is no day)
@@ -86,6 +86,13 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions_table(spark, sf_dir)
 
 
+def _segments(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    """Segment report over the stored session table; its row count (observed
+    when it was written) is a proven bound on the report's input."""
+    table, rows = sessions_table_sized(spark, sf_dir)
+    return R.segment_report(table, rows_bound=rows, **kw)
+
+
 def _shard_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "shards")
     write_shards(_sessions(spark, sf_dir), root)
@@ -108,9 +115,9 @@ _BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "daily_profile_trimmed": lambda s, d: R.daily_profile(_sessions(s, d)),
     "log_trim_rows": lambda s, d: R.trimmed_revenue(_sessions(s, d)),
     "daily_dynamics": lambda s, d: R.daily_dynamics(R.daily_profile(_sessions(s, d))),
-    "segment_report": lambda s, d: R.segment_report(_sessions(s, d)),
-    "segment_report_base": lambda s, d: R.segment_report(_sessions(s, d), columns=R.SEGMENT_BASE_COLUMNS),
-    "segment_report_min600": lambda s, d: R.segment_report(_sessions(s, d), min_count=SEGMENT_MIN_COUNT_STRICT),
+    "segment_report": lambda s, d: _segments(s, d),
+    "segment_report_base": lambda s, d: _segments(s, d, columns=R.SEGMENT_BASE_COLUMNS),
+    "segment_report_min600": lambda s, d: _segments(s, d, min_count=SEGMENT_MIN_COUNT_STRICT),
     "weekly_dynamics": lambda s, d: R.weekly_dynamics(_sessions(s, d)),
     "weekly_revenue": lambda s, d: R.weekly_revenue(_sessions(s, d)),
     "weekly_dynamics_country": lambda s, d: R.weekly_dynamics(_sessions(s, d), country=COUNTRY),

@@ -83,7 +83,7 @@ SEGMENT_BASE_COLUMNS = (
 def segment_report(df: DataFrame, lo: str | None = None, hi: str | None = None,
                    country: str | None = None, by: Sequence[str] = ("channelGrouping", "operatingSystem"),
                    min_count: int = SEGMENT_MIN_COUNT, columns: Sequence[str] = SEGMENT_COLUMNS,
-                   median_method: str = "auto") -> DataFrame:
+                   median_method: str = "auto", rows_bound: int | None = None) -> DataFrame:
     """Segment report: 17 metrics per segment, share of all sessions, kept when
     ``count_parted >= min_count``, ordered by revenue (largest first).
 
@@ -91,7 +91,8 @@ def segment_report(df: DataFrame, lo: str | None = None, hi: str | None = None,
     grouped aggregate with partial aggregation for all sums/counts/moments,
     the exact medians of five columns, the per-segment table written once
     with the grand total (a single number) summed during that write.
-    Revenue sums are exact (integer micro-units).
+    Revenue sums are exact (integer micro-units). ``rows_bound``: a known
+    upper bound on the input sessions (see ``summarize``).
     """
     by = list(by)
     flat = _flat(df, lo, hi, country)
@@ -114,7 +115,8 @@ def segment_report(df: DataFrame, lo: str | None = None, hi: str | None = None,
             "median_pageviews": "pageviews", "median_timeonsite": "timeOnSite"}
     inputs = ["unique_session_id", "newvisits", "revenue_micro", "revenue_from_new_micro", "total_revenue",
               "visits", "hits", "pageviews", "timeOnSite"]
-    seg, seen = write_table(summarize(flat, by, aggs, meds, median_method=median_method, inputs=inputs),
+    seg, seen = write_table(summarize(flat, by, aggs, meds, median_method=median_method, inputs=inputs,
+                                      rows_bound=rows_bound),
                             "segments", observe={"total": F.sum("count_parted")})
     total = seen["total"] or 0
     out = seg.select(

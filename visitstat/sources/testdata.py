@@ -102,7 +102,7 @@ def sessions_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SESSIONS: dict[tuple[str, str], DataFrame] = {}
+_SESSIONS: dict[tuple[str, str], tuple[DataFrame, int]] = {}
 
 
 def sessions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +113,13 @@ def sessions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     report the same situation: a parquet scan with pruned struct fields and
     pushed filters, instead of re-running the joins that build it.
     """
+    return sessions_table_sized(spark, sf_dir)[0]
+
+
+def sessions_table_sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """``sessions_table`` and its row count (observed when it was written)."""
     key = (application_id(spark), sf_dir)
-    df = _SESSIONS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _SESSIONS[key] = write_table(sessions_from_testdata(spark, sf_dir), "sessions")
-    return df
+    got = _SESSIONS.get(key)
+    if got is None or got[0].sparkSession is not spark:
+        got = _SESSIONS[key] = write_table(sessions_from_testdata(spark, sf_dir), "sessions", count_rows=True)
+    return got
