@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 # White space that separates words everywhere in this package (fixed value).
 SPACE = "\\x20\\x09-\\x0D"
+_CUT = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def text_bytes(name: str = "text") -> Column:
@@ -52,3 +54,17 @@ def batches(it: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20)
 def rows_of(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns (extra columns of the input never reach an operator)."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text (runs of bytes other than white space), in blocks of
+    about ``size`` bytes cut at white space, so a very long text is never one list."""
+    if len(data) <= size:
+        yield data.split()
+        return
+    start = 0
+    while start < len(data):
+        m = _CUT.search(data, start + size)
+        end = m.start() if m else len(data)
+        yield data[start:end].split()
+        start = end
