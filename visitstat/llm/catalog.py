@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 # The modules that hold a registered query: each has query(spark, sf_dir) and
 # ORACLE_SQL (None where SQL cannot express the query).
 MODULES = {
+    "op3_token_files": "op3",
     "op6_simhash": "op6",
+    "op8_packing": "op8",
     "op10_host_rules": "op10",
 }
 
