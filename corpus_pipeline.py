@@ -12,16 +12,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from visitstat.llm.host_rules import keep_passing
+from visitstat.llm.mixing import mixed
+from visitstat.llm.packing import pack
+from visitstat.llm.ppm import keep_identified
+from visitstat.llm.queries.op8 import TOKENIZER
+from visitstat.llm.simhash import keep_one
 from visitstat.session import write_table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; ``lang`` becomes that language."""
+    return keep_identified(docs)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules on hosts that pass."""
     return keep_passing(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates."""
+    return keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that the sources meet their target weights."""
+    return mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences, with their token ids."""
+    return pack(docs, TOKENIZER)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("packing", packing),
 ]
 
 # The language model, the mixing rates and the tokenizer are beyond SQL.

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 # The modules that hold a registered query: each has query(spark, sf_dir) and
 # ORACLE_SQL (None where SQL cannot express the query).
 MODULES = {
+    "op1_language_id": "op1",
     "op3_token_files": "op3",
     "op6_simhash": "op6",
+    "op7_mixing": "op7",
     "op8_packing": "op8",
     "op10_host_rules": "op10",
 }
