@@ -8,11 +8,14 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from visitstat.llm.common import ship_package
+
 # The modules that hold a registered query: each has query(spark, sf_dir) and
 # ORACLE_SQL (None where SQL cannot express the query).
 MODULES = {
     "op1_language_id": "op1",
     "op3_token_files": "op3",
+    "op4_lm_scoring": "op4",
     "op6_simhash": "op6",
     "op7_mixing": "op7",
     "op8_packing": "op8",
@@ -24,9 +27,16 @@ def _read(name: str):
     return import_module(f"visitstat.llm.queries.{name}")
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator, each over its whole table."""
-    return {name: _read(module).query for name, module in MODULES.items()}
+    return {name: _shipped(_read(module).query) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # White space that separates words everywhere in this package (fixed value).
@@ -68,3 +71,22 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         end = m.start() if m else len(data)
         yield data[start:end].split()
         start = end
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this library to the executors (once per application), so that tasks can
+    import it where it is not installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import visitstat
+    top = Path(visitstat.__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="visitstat-")) / "visitstat.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)
