@@ -16,6 +16,7 @@ MODULES = {
     "op1_language_id": "op1",
     "op3_token_files": "op3",
     "op4_lm_scoring": "op4",
+    "op5_chat": "op5",
     "op6_simhash": "op6",
     "op7_mixing": "op7",
     "op8_packing": "op8",
