@@ -20,6 +20,7 @@ MODULES = {
     "op6_simhash": "op6",
     "op7_mixing": "op7",
     "op8_packing": "op8",
+    "op9_extraction": "op9",
     "op10_host_rules": "op10",
 }
 
