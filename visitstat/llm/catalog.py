@@ -14,6 +14,7 @@ from visitstat.llm.common import ship_package
 # ORACLE_SQL (None where SQL cannot express the query).
 MODULES = {
     "op1_language_id": "op1",
+    "op2_search": "op2",
     "op3_token_files": "op3",
     "op4_lm_scoring": "op4",
     "op5_chat": "op5",

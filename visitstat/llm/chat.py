@@ -134,8 +134,7 @@ def digests(formatted: DataFrame) -> DataFrame:
                            T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, key, state = [], None, None
-        arrow = pa.schema([("conv_id", pa.null())]).field(0).type
+        done, key, state, arrow = [], None, None, None
 
         def flush(rows):
             cols = list(zip(*rows))
