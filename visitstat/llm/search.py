@@ -2,19 +2,19 @@
 shard and merged with global statistics.
 
 Index: documents are read once into shards; a shard has its words' hashes, its
-postings, and for every frequent word the largest score part in each block of
-``BLOCK_DOCS`` documents. Document frequencies, the number of documents and their
+postings, and for every frequent word a dense row of score parts with the
+largest one in each block of ``BLOCK_DOCS`` documents. Document frequencies, the number of documents and their
 mean length are global: frequencies go through buckets of word hashes and come
 back to the shards that have the word.
 
-Search, per shard and query: the words are ordered by the most they can add
-(their upper bound in the shard). Documents of the strongest words are scored
-exactly, which gives a threshold, the k-th best score so far. Words whose
-bounds together stay below the threshold cannot bring a document in by
-themselves; postings of the others are added up, and a document is scored
-exactly only if that sum plus the block maxima of the weak words in its block
-reaches the threshold. The k best of every shard are merged. No document
-that belongs to the k best is ever skipped; ties go to the smaller id.
+Search, per shard and query: a threshold is known from the start, the k-th best
+score in the query's own shard (found first, without pruning). The query's
+frequent words are ordered by the most they can add; those whose maxima
+together stay below the threshold are weak, they cannot bring a document in by
+themselves. Postings of the other words are added up, and a document is scored
+fully only if that sum plus the block maxima of the weak words in its block
+reaches the threshold. The k best of every shard are merged. No document that
+belongs to the k best is ever skipped; ties go to the smaller id.
 
 Score: sum over the query's different words of
 ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean length)),
@@ -53,6 +53,7 @@ from visitstat.session import scratch_path, write_table
 K1, B = 1.2, 0.75
 TOP = 10
 BLOCK_DOCS = 64              # documents per block of the block maxima
+DENSE = 8                    # words in at least one of so many documents get a dense row
 SHARD_WORDS = 12_000_000     # a shard ends with the document that passes this
 BUCKET_WORDS = 400_000       # words of shards per bucket, on average
 GROUP_QUERIES = 50_000       # queries a task runs against its shard
@@ -130,99 +131,124 @@ def frequencies(shards: DataFrame, buckets: int) -> str:
     return replies(messages(shards.select("block", "words"), ask, buckets).mapInArrow(add, MESSAGE), "frequencies")
 
 
-def write_queries(shards: DataFrame) -> str:
-    """The queries of each shard (its number, their places, ids and word hashes), as one file per task."""
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", shards.schema["ids"].dataType),
-                           T.StructField("data", T.BinaryType())])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for r in range(b.num_rows):
-                _, count, flat, _, asked = unpack(b["index"][r].as_py())
-                h = unpack(b["words"][r].as_py())[0].astype(np.uint64)
-                rows = np.flatnonzero(asked)
-                end = count.cumsum()
-                terms = [h[flat[e - c:e]] for c, e in zip(count[rows], end[rows])]
-                yield pa.RecordBatch.from_arrays(
-                    [b["block"].slice(r, 1), pa.ListArray.from_arrays([0, len(rows)], b["ids"][r].values.take(pa.array(rows))),
-                     pa.array([pack(rows, count[rows], np.concatenate([*terms, np.zeros(0, np.uint64)]))])], ["block", "ids", "data"])
-
-    path = scratch_path(shards.sparkSession, "queries")
-    shards.filter("asked > 0").select("block", "ids", "index", "words").mapInArrow(run, schema).write.parquet(path)
-    return path
-
-
 class Shard:
-    """One shard's index in memory, both by document and by word."""
+    """One shard's index in memory: postings by word, and dense rows of the words that
+    at least one document in ``DENSE`` has, with their block maxima."""
 
     def __init__(self, index: bytes, words: bytes, df: np.ndarray, n: int, mean: float):
-        length, count, self.terms, tf, _ = unpack(index)
+        length, count, terms, tf, _ = unpack(index)
         self.hashes = unpack(words)[0].astype(np.uint64)
-        self.n = len(length)
-        self.first = np.r_[0, count.cumsum()]                       # by document
+        self.n, size = len(length), np.bincount(terms, minlength=len(self.hashes))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / mean)
-        self.parts = idf[self.terms] * tf * (K1 + 1) / (tf + np.repeat(norm, count))
-        order = np.argsort(self.terms, kind="stable")               # by word
+        norm = np.repeat(K1 * (1 - B + B * length / mean), count)
+        order = np.argsort(terms, kind="stable")
         self.docs = np.repeat(np.arange(self.n), count)[order]
-        self.adds = self.parts[order]
-        size = np.bincount(self.terms, minlength=len(self.hashes))
-        self.start = np.r_[0, size.cumsum()]
-        self.size, self.top = size, np.zeros(len(self.hashes))
-        if len(self.adds):
-            has = np.flatnonzero(size)
+        self.adds = (idf[terms] * tf * (K1 + 1) / (tf + norm))[order]
+        self.end = size.cumsum()
+        self.start = self.end - size
+        self.top = np.zeros(len(self.hashes))                 # the most a word can add
+        has = np.flatnonzero(size)
+        if len(has):
             self.top[has] = np.maximum.reduceat(self.adds, self.start[has])
-        # block maxima of the words with as many postings as a block has documents
-        frequent = np.flatnonzero(size >= BLOCK_DOCS)
+        frequent = np.flatnonzero(size * DENSE >= max(self.n, BLOCK_DOCS))
         self.row = np.full(len(self.hashes), -1, np.int64)
         self.row[frequent] = np.arange(len(frequent))
-        self.blocks = np.zeros((len(frequent) + 1, -(-self.n // BLOCK_DOCS)))
-        word = np.repeat(np.arange(len(self.hashes)), size)
-        k = self.row[word] >= 0
-        np.maximum.at(self.blocks, (self.row[word[k]], self.docs[k] // BLOCK_DOCS), self.adds[k])
-        self.asked = np.zeros(len(self.hashes), bool)
-
-    def postings(self, words: np.ndarray) -> np.ndarray:
-        """Places of all postings of the words."""
-        size = self.size[words]
-        return np.arange(size.sum()) + np.repeat(self.start[words] - np.r_[0, size.cumsum()[:-1]], size)
-
-    def exact(self, docs: np.ndarray) -> np.ndarray:
-        """Scores of documents for the query marked in ``asked``."""
-        if not len(docs):
-            return np.zeros(0)
-        size = self.first[docs + 1] - self.first[docs]
-        at = np.arange(size.sum()) + np.repeat(self.first[docs] - np.r_[0, size.cumsum()[:-1]], size)
-        return np.round(np.add.reduceat(self.parts[at] * self.asked[self.terms[at]], np.r_[0, size.cumsum()[:-1]]), DECIMALS)
-
-    def search(self, words: np.ndarray, k: int, before) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of the k best, ``before(docs)`` giving the order among ties."""
-        words = words[np.argsort(-self.top[words], kind="stable")]
-        self.asked[words] = True
-        strong = words[:np.searchsorted(self.size[words].cumsum(), 4 * k) + 1]
-        seen = np.unique(self.docs[self.postings(strong)])
-        scores = self.exact(seen)
-        if len(scores) >= k:
-            level = np.partition(scores, -k)[-k] - SLACK
-            weak = words[len(words) - np.searchsorted(self.top[words][::-1].cumsum(), level):]
-            rest = words[:len(words) - len(weak)]
-        else:
-            level, weak, rest = 0.0, words[:0], words
-        at = self.postings(rest)
-        sums = np.bincount(self.docs[at], self.adds[at], self.n)
-        row = self.row[weak]
-        bound = self.blocks[row[row >= 0]].sum(axis=0) + self.top[weak[row < 0]].sum()
-        docs = np.flatnonzero(sums > 0)
-        docs = docs[sums[docs] + bound[docs // BLOCK_DOCS] >= level]
-        scores = self.exact(docs)
-        self.asked[words] = False
+        wide = -(-self.n // BLOCK_DOCS) * BLOCK_DOCS
+        self.dense = np.zeros((len(frequent), wide))
+        for i, w in enumerate(frequent):
+            s = slice(self.start[w], self.end[w])
+            self.dense[i, self.docs[s]] = self.adds[s]
+        self.by_doc = np.ascontiguousarray(self.dense.T)
+        self.blocks = self.dense.reshape(len(frequent), -1, BLOCK_DOCS).max(axis=2)
+
+    def search(self, words: np.ndarray, k: int, before, level: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of the k best that score ``level`` or more, ``before(docs)``
+        giving the order among ties."""
+        row = self.row[words]
+        frequent = words[row >= 0]
+        frequent = frequent[np.argsort(self.top[frequent], kind="stable")]
+        n_weak = int(np.searchsorted(self.top[frequent].cumsum(), level))
+        weak, strong, rare = self.row[frequent[:n_weak]], self.row[frequent[n_weak:]], words[row < 0]
+        sums = self.dense[strong].sum(axis=0)
+        size = self.end[rare] - self.start[rare]
+        # short posting lists by index arithmetic, longer ones as slices
+        few, n = rare[size <= 16], size[size <= 16]
+        at = np.arange(n.sum()) + np.repeat(self.end[few] - n.cumsum(), n)
+        long = rare[size > 16]
+        spans = [slice(a, z) for a, z in zip(self.start[long].tolist(), self.end[long].tolist())]
+        sums += np.bincount(np.concatenate([self.docs[at], *[self.docs[s] for s in spans]]),
+                            np.concatenate([self.adds[at], *[self.adds[s] for s in spans]]), len(sums))
+        bound = np.repeat(self.blocks[weak].sum(axis=0), BLOCK_DOCS)
+        docs = np.flatnonzero((sums > 0) & (sums + bound >= level))
+        chosen = np.zeros(len(self.dense))
+        chosen[weak] = 1.0
+        scores = np.round(sums[docs] + (self.by_doc[docs] @ chosen if n_weak else 0.0), DECIMALS)
         if len(docs) > k:
-            keep = scores >= np.partition(scores, -k)[-k]
+            keep = scores >= max(np.partition(scores, -k)[-k], level)
             docs, scores = docs[keep], scores[keep]
         order = np.lexsort((before(docs), -scores))[:k]
         return docs[order], scores[order]
 
 
+class Asked:
+    """The queries of one part: rows, ids, word hashes and thresholds."""
+
+    def __init__(self, part: int, ids: pa.Array, data: bytes):
+        self.part, self.ids = part, ids
+        self.rows, self.count, flat, *level = unpack(data)
+        self.flat, self.level = flat.astype(np.uint64), level[0] if level else np.zeros(len(self.rows))
+
+    def run(self, shard: Shard, k: int, before) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, documents, scores) of each query that shares a word with the shard."""
+        if not len(shard.hashes):
+            return
+        place = np.minimum(np.searchsorted(shard.hashes, self.flat), len(shard.hashes) - 1)
+        known = shard.hashes[place] == self.flat
+        ends = self.count.cumsum()
+        for q, (a, z) in enumerate(zip((ends - self.count).tolist(), ends.tolist())):
+            words = place[a:z][known[a:z]]
+            if len(words):
+                yield q, *shard.search(words, k, before, float(self.level[q]))
+
+
+def open_shard(row: dict, ids: pa.Array, counts: str, buckets: int, n: int, mean: float):
+    """The shard of a row with its global frequencies, and the order of its ids."""
+    order, bucket = word_order(unpack(row["words"])[0].astype(np.uint64), buckets)
+    df, got = np.zeros(len(order), np.int64), reply(counts, row["block"])
+    for x, s in slices(bucket):
+        df[order[s]] = got[x][0]
+    rank = np.empty(len(ids), np.int64)
+    rank[pa.compute.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+    return Shard(row["index"], row["words"], df, n, mean), rank.__getitem__
+
+
+def write_queries(shards: DataFrame, counts: str, buckets: int, n: int, mean: float, k: int) -> str:
+    """The queries, one part per shard: their places, ids, word hashes, and as threshold
+    the k-th best score of their own shard, which bounds the k-th best of all from below."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", shards.schema["ids"].dataType),
+                           T.StructField("data", T.BinaryType())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for r in range(b.num_rows):
+                row, ids = {c: b[c][r].as_py() for c in ("block", "index", "words")}, b["ids"][r].values
+                shard, before = open_shard(row, ids, counts, buckets, n, mean)
+                _, count, flat, _, asked = unpack(row["index"])
+                rows, end = np.flatnonzero(asked), count.cumsum()
+                terms = [shard.hashes[flat[e - c:e]] for c, e in zip(count[rows], end[rows])]
+                own = Asked(row["block"], ids.take(pa.array(rows)), pack(
+                    rows, count[rows], np.concatenate([*terms, np.zeros(0, np.uint64)])))
+                level = np.zeros(len(rows))
+                for q, _, scores in own.run(shard, k, before):
+                    level[q] = max(scores[-1] - SLACK, 0.0) if len(scores) == k else 0.0
+                yield pa.RecordBatch.from_arrays([b["block"].slice(r, 1), pa.ListArray.from_arrays([0, len(rows)], own.ids),
+                                                  pa.array([pack(own.rows, own.count, own.flat, level)])], ["block", "ids", "data"])
+
+    path = scratch_path(shards.sparkSession, "queries")
+    shards.filter("asked > 0").select("block", "ids", "index", "words").mapInArrow(run, schema).write.parquet(path)
+    return path
+
+
 def search(docs: DataFrame, is_query: Column, doc_id: str = "doc_id", text: str = "text", k: int = TOP,
            shard_words: int = SHARD_WORDS, bucket_words: int = BUCKET_WORDS, group: int = GROUP_QUERIES) -> DataFrame:
     """query_id, doc_id, rank and score: the k best documents for each row where ``is_query`` holds."""
@@ -231,7 +257,8 @@ def search(docs: DataFrame, is_query: Column, doc_id: str = "doc_id", text: str
         c: F.sum(c) for c in ("n", "length", "types", "asked")})
     n, mean = seen["n"] or 0, max((seen["length"] or 0) / max(seen["n"] or 0, 1), 1e-9)
     buckets = max(1, -(-(seen["types"] or 0) // bucket_words))
-    counts, queries = frequencies(shards, buckets), write_queries(shards)
+    counts = frequencies(shards, buckets)
+    queries = write_queries(shards, counts, buckets, n, mean, k)
     groups = max(1, -(-(seen["asked"] or 0) // group))
     kind = shards.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("part", T.LongType()), T.StructField("row", T.LongType()),
@@ -240,37 +267,16 @@ def search(docs: DataFrame, is_query: Column, doc_id: str = "doc_id", text: str
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for r in range(b.num_rows):
-                block, ids = b["block"][r].as_py(), b["ids"][r].values
-                words = b["words"][r].as_py()
-                order, bucket = word_order(unpack(words)[0].astype(np.uint64), buckets)
-                df, got = np.zeros(len(order), np.int64), reply(counts, block)
-                for x, s in slices(bucket):
-                    df[order[s]] = got[x][0]
-                shard = Shard(b["index"][r].as_py(), words, df, n, mean)
-                rank = np.empty(len(ids), np.int64)
-                rank[pa.compute.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
-                for part, asked, data in read_queries(queries, b["g"][r].as_py(), groups):
-                    yield from answer(shard, ids, rank, part, asked, data)
-
-    def answer(shard, ids, rank, part, asked, data) -> Iterator[pa.RecordBatch]:
-        rows, count, flat = unpack(data)
-        flat = flat.astype(np.uint64)
-        place = np.minimum(np.searchsorted(shard.hashes, flat), max(len(shard.hashes) - 1, 0))
-        known = shard.hashes[place] == flat if len(shard.hashes) else np.zeros(len(flat), bool)
-        ends = count.cumsum()
-        who, found, scores = [], [], []
-        for q, (a, z) in enumerate(zip(ends - count, ends)):
-            words = place[a:z][known[a:z]]
-            if len(words):
-                d, s = shard.search(words, k, rank.__getitem__)
-                who.append(np.full(len(d), q))
-                found.append(d)
-                scores.append(s)
-        if who:
-            who, found = np.concatenate(who), np.concatenate(found)
-            yield pa.RecordBatch.from_arrays(
-                [asked.take(pa.array(who)), pa.array(np.full(len(who), part)), pa.array(rows[who]), ids.take(pa.array(found)),
-                 pa.array(np.concatenate(scores))], [f.name for f in schema])
+                row, ids = {c: b[c][r].as_py() for c in ("block", "index", "words")}, b["ids"][r].values
+                shard, before = open_shard(row, ids, counts, buckets, n, mean)
+                for asked in read_queries(queries, b["g"][r].as_py(), groups):
+                    got = list(asked.run(shard, k, before))
+                    who = np.repeat([q for q, *_ in got], [len(d) for _, d, _ in got]).astype(np.int64)
+                    if len(who):
+                        found = pa.array(np.concatenate([d for _, d, _ in got]))
+                        yield pa.RecordBatch.from_arrays(
+                            [asked.ids.take(pa.array(who)), pa.array(np.full(len(who), asked.part)), pa.array(asked.rows[who]),
+                             ids.take(found), pa.array(np.concatenate([s for *_, s in got]))], [f.name for f in schema])
 
     tasks = shards.select("block", "ids", "index", "words", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     order = Window.partitionBy("part", "row").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
@@ -278,8 +284,8 @@ def search(docs: DataFrame, is_query: Column, doc_id: str = "doc_id", text: str
     return best.select("query_id", "doc_id", "rank", "score")
 
 
-def read_queries(path: str, g: int, groups: int) -> Iterator[tuple[int, pa.Array, bytes]]:
-    """(shard, ids, data) of the query parts in group ``g``, one at a time."""
+def read_queries(path: str, g: int, groups: int) -> Iterator[Asked]:
+    """The query parts in group ``g``, one at a time."""
     import pyarrow.parquet as pq
     from pyarrow.fs import FileSelector
     fs, place = filesystem(path)
@@ -287,4 +293,4 @@ def read_queries(path: str, g: int, groups: int) -> Iterator[tuple[int, pa.Array
     for f in files[g::groups]:
         with fs.open_input_file(f) as source:
             for b in pq.ParquetFile(source).iter_batches(batch_size=1):
-                yield b["block"][0].as_py(), b["ids"][0].values, b["data"][0].as_py()
+                yield Asked(b["block"][0].as_py(), b["ids"][0].values, b["data"][0].as_py())
