@@ -159,7 +159,7 @@ class Shard:
             s = slice(self.start[w], self.end[w])
             self.dense[i, self.docs[s]] = self.adds[s]
         self.by_doc = np.ascontiguousarray(self.dense.T)
-        self.blocks = self.dense.reshape(len(frequent), -1, BLOCK_DOCS).max(axis=2)
+        self.blocks = self.dense.reshape(len(frequent), wide // BLOCK_DOCS, BLOCK_DOCS).max(axis=2)
 
     def search(self, words: np.ndarray, k: int, before, level: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of the k best that score ``level`` or more, ``before(docs)``
