@@ -16,7 +16,7 @@ count of a context is above the cutoff, one is added to its total, so a(v) is
 never zero; a context never seen has a(v) = 1. Probabilities after any context
 sum to exactly 1.
 
-How it runs. Documents are read once into blocks (one row per few million
+How it runs. Documents are read once into blocks (one row per million
 tokens, words numbered within the block). Blocks and the model meet in buckets,
 through compact messages that hold each distinct word or bigram of a block
 once, however often it occurs:
@@ -105,8 +105,8 @@ def read_blocks(docs: DataFrame, doc_id: str, text: str, held: Column, block_tok
             ids.append(b["id"])
             held += b["held"].to_pylist()
             for t in b["t"]:
-                doc = [np.fromiter(map(words.__getitem__, w), np.int64, len(w)) for w in word_blocks(t.as_py().lower())]
-                parts.append(np.concatenate([*doc, [END]]).astype(np.int64))
+                doc = [np.fromiter(map(words.__getitem__, w), np.int32, len(w)) for w in word_blocks(t.as_py().lower())]
+                parts.append(np.concatenate([*doc, np.array([END], np.int32)]))
                 n += len(parts[-1])
             if n >= block_tokens:
                 yield row(words, parts, held, ids)
@@ -343,9 +343,8 @@ def context_sums(data: bytes, m: Model) -> tuple[np.ndarray, ...]:
     row = np.repeat(np.arange(len(v)), runs)
     low = np.bincount(row, (c <= CUTOFF) & (m.d2[np.minimum(c, CUTOFF)] < 1), len(v)) > 0
     yes = np.ones(len(c), bool)
-    mass = np.bincount(row, m.bigram(c, cv[row], yes), len(v))
-    mass_more = np.bincount(row, m.bigram(c, cv[row], ~yes), len(v))
-    return v, cv, mass, mass_more, np.bincount(row, m.unigram(cw), len(v)), low
+    add = lambda x: np.bincount(row, x, len(v)).astype(np.float64)
+    return v, cv, add(m.bigram(c, cv[row], yes)), add(m.bigram(c, cv[row], ~yes)), add(m.unigram(cw)), low
 
 
 def spread_contexts(table: DataFrame, m: Model) -> dict[int, tuple[float, float, float, bool]]:
