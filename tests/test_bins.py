@@ -2,9 +2,10 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from visitstat.operators.bins import bin_plan, expand_bins, histogram, sturges
+from visitstat.operators.bins import bin_counts, bin_plan, expand_bins, histogram, place_in_bins, sturges
 from visitstat.sources.shards import number_series
 
 
@@ -87,3 +88,32 @@ def test_histograms_many_columns_match_numpy(spark):
         assert [r["count"] for r in got] == counts.tolist(), (col, lg)
         assert np.array_equal([r["bin_lo"] for r in got], edges[:-1])
         assert np.allclose([r["density"] for r in got], dens, rtol=1e-12)
+
+
+def test_infinite_values_are_an_error_and_zeros_leave_the_logarithm(spark):
+    for bad in (math.inf, -math.inf):
+        with pytest.raises(ValueError):
+            histogram(spark.createDataFrame([(1.0,), (2.0,), (bad,)], "x double"), "x")
+    check_numpy(spark, [0.0, 0.0, 1.0, 10.0, 100.0, math.nan, None, 1000.0, 5.0], log10=True)
+    check_numpy(spark, [0.0, math.nan, 3.0, 7.0])
+    assert histogram(spark.createDataFrame([(math.nan,), (None,)], "x double"), "x").count() == 0
+
+
+def test_every_row_lies_in_its_own_bin(spark):
+    rnd = random.Random(3)
+    data = [("a", rnd.lognormvariate(2, 1)) for _ in range(300)] + [("b", 4.0)] * 3 + [(None, float(i)) for i in range(20)]
+    data += [("c", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    counts = bin_counts(df, ["g"], "v")
+    plan = {r["g"]: r for r in counts.collect()}
+    assert set(plan) == {"a", "b", None} and plan["b"]["ceil"] == 1
+    full = {r["g"]: r for r in bin_plan(df, ["g"], "v").collect()}
+    assert all((plan[g]["step"], plan[g]["ceil"]) == (full[g]["step"], full[g]["ceil"]) for g in plan)
+    got = place_in_bins(df, counts, ["g"], "v").collect()
+    assert len(got) == 323
+    for r in got:
+        p = plan[r["g"]]
+        assert 1 <= r["bin"] <= p["ceil"]
+        if p["step"] > 0:
+            assert p["low"] + (r["bin"] - 1) * p["step"] <= r["v"] * (1 + 1e-12)
+            assert r["v"] <= p["low"] + r["bin"] * p["step"] * (1 + 1e-12)

@@ -66,39 +66,49 @@ def test_frequency_keeps_null_key(spark):
     assert got == {1: 1, None: 2}
 
 
-def test_auto_switches_to_distributed_above_bound(spark, monkeypatch):
+def test_size_chooses_the_plan_and_never_the_answer(spark, monkeypatch):
     import visitstat.operators.profile as P
     rnd = random.Random(8)
     data = [(rnd.choice("pq"), rnd.random(), rnd.randint(0, 5)) for _ in range(500)]
+    data += [("n", 1.0, 1), ("n", 2.0, 1), ("n", float("nan"), 1), (None, float("nan"), None), (None, None, 2), (None, 4.0, 3)]
     df = spark.createDataFrame(data, "g string, v double, w long")
-    small = {r["g"]: r for r in group_profile(df, ["g"], "v").collect()}
-    monkeypatch.setattr(P, "BUILTIN_MAX_ROWS", 100)  # 500 rows > bound: distributed path
-    large = {r["g"]: r for r in group_profile(df, ["g"], "v").collect()}
-    assert small.keys() == large.keys()
-    for g in small:  # quantiles bit for bit; moments up to summation order
-        assert small[g]["median"] == large[g]["median"] and small[g]["count"] == large[g]["count"]
-        assert all(np.isclose(small[g][m], large[g][m], rtol=1e-12) for m in ("avg", "sko", "koef_var"))
-    d1 = {r["column"]: r for r in describe(df, ["v", "w"]).collect()}
-    monkeypatch.setattr(P, "BUILTIN_MAX_ROWS", 10 ** 9)
-    d2 = {r["column"]: r for r in describe(df, ["v", "w"]).collect()}
-    for c in ("v", "w"):
-        assert [d1[c][k] for k in ("p25", "p50", "p75", "min", "max", "count")] == \
-            [d2[c][k] for k in ("p25", "p50", "p75", "min", "max", "count")]
-
-
-def test_auto_routes_only_large_groups_to_distributed(spark, monkeypatch):
+
+    def both():
+        prof = {r["g"]: (r["median"], r["min"]) for r in group_profile(df, ["g"], "v", ["median", "min"]).collect()}
+        desc = {r["column"]: tuple(r) for r in describe(df, ["v", "w"]).select(
+            "column", "p25", "p50", "p75", "min", "max", "count").collect()}
+        return prof, desc
+
+    small = both()
+    monkeypatch.setattr(P, "BUILTIN_MAX_VALUES", 100)
+    large = both()
+    assert small == large and small[0]["n"][0] == 1.5 and small[0][None][0] == 4.0
+    for method in ("builtin", "distributed"):
+        got = {r["g"]: r["median"] for r in group_profile(df, ["g"], "v", ["median"], median_method=method).collect()}
+        assert got == {g: m for g, (m, _) in small[0].items()}
+
+
+def test_counting_copies_no_rows(spark, monkeypatch):
     import visitstat.operators.profile as P
-    rnd = random.Random(12)
-    data = [("hot", rnd.lognormvariate(1, 1)) for _ in range(600)]
-    data += [(f"g{i % 10}", float(rnd.randint(0, 50))) for i in range(300)]
-    data += [(None, float(v)) for v in (5, 1, 4, 2, 3)]
-    df = spark.createDataFrame(data, "g string, v double")
-    want = {r["g"]: r["median"] for r in group_profile(df, ["g"], "v", ["count", "median"],
-                                                        median_method="builtin").collect()}
-    monkeypatch.setattr(P, "BUILTIN_MAX_ROWS", 100)  # 905 rows in total; only "hot" is over the bound
-    got = {r["g"]: (r["count"], r["median"]) for r in group_profile(df, ["g"], "v", ["count", "median"]).collect()}
-    assert {g: m for g, (_, m) in got.items()} == want
-    assert got["hot"][0] == 600 and got[None] == (5, 3.0)
+    names = []
+    write = P.write_table
+    monkeypatch.setattr(P, "write_table", lambda df, name="table", **kw: names.append(name) or write(df, name, **kw))
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "g string, v double")
+    assert group_profile(df, ["g"], "v").count() == 2
+    assert names == ["groups"]
+
+
+def test_describe_has_one_percentile_per_column(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "a int, b double, c double")
+    plan = describe(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("percentile(") == 3
+
+
+def test_money_sums_do_not_overflow(spark):
+    from visitstat.operators.profile import exact_sum_avg
+    df = spark.createDataFrame([(5 * 10 ** 18,)] * 3, "micro bigint")
+    total, mean = exact_sum_avg("micro", 1e6)
+    assert tuple(df.agg(total, mean).first()) == (1.5e13, 5e12)
 
 
 def test_approx_method_is_close(spark):

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from visitstat.session import scratch_path
@@ -78,23 +80,66 @@ def test_digit_range_globs_are_exact():
         assert got == {s for s in universe if lo <= s <= hi}, (lo, hi, pats)
 
 
-def test_range_read_lists_only_range_and_handles_empty(spark):
+def test_glob_on_request_lists_only_the_range(spark):
     days = [(dt.date(2017, 5, 28) + dt.timedelta(days=i)).strftime("%Y%m%d") for i in range(40)]
     root = scratch_path(spark, "shards-test")
     write_shards(sample_sessions(spark, days), root)
-    df = read_shards(spark, root, "20170601", "20170631")
+    df = read_shards(spark, root, "20170601", "20170631", digit_glob=True)
     assert df.count() == 30
     files = df.inputFiles()
     assert files and all("table_suffix=201706" in f for f in files)
-    assert read_shards(spark, root, "20180101", "20180131").count() == 0
-    assert read_shards(spark, root, "20170602", "20170601").count() == 0
+    for glob in (False, True):
+        assert read_shards(spark, root, "20180101", "20180131", digit_glob=glob).count() == 0
+        assert read_shards(spark, root, "20170602", "20170601", digit_glob=glob).count() == 0
+    with pytest.raises(ValueError):
+        read_shards(spark, root, "201706", "20170631", digit_glob=True)
 
 
-def test_text_range_with_non_digit_names(spark):
+def test_default_read_is_the_text_range(spark):
     root = scratch_path(spark, "shards-test")
     write_shards(sample_sessions(spark, ["20170601", "2017060A", "201706011", "20170701"]), root)
-    every = sorted(r[0] for r in read_shards(spark, root, "20170601", "20170631", digit_suffixes=False)
-                   .select("table_suffix").collect())
-    assert every == sorted(["20170601", "2017060A", "201706011"])  # text order, like BETWEEN
-    days = sorted(r[0] for r in read_shards(spark, root, "20170601", "20170631").select("table_suffix").collect())
-    assert days == ["20170601"]  # digit day shards only
+    got = sorted(r[0] for r in read_shards(spark, root, "20170601", "20170631").select("table_suffix").collect())
+    assert got == ["20170601", "201706011", "2017060A"]   # text order, like BETWEEN
+
+
+@pytest.mark.parametrize("bounds", [(), ("20170601", "20170631"), ("20170602", "20170601")])
+@pytest.mark.parametrize("glob", [False, True])
+def test_missing_root_is_an_error(spark, bounds, glob):
+    if glob and not bounds:
+        return
+    with pytest.raises(AnalysisException):
+        read_shards(spark, scratch_path(spark, "nowhere"), *bounds, digit_glob=glob).count()
+
+
+def test_writing_a_day_leaves_the_others(spark):
+    root = scratch_path(spark, "shards-test")
+    write_shards(sample_sessions(spark, ["20170601", "20170602"]), root)
+    write_shards(sample_sessions(spark, ["20170603"]), root)
+    write_shards(sample_sessions(spark, ["20170602", "20170602"]), root)      # replaces that day
+    counts = {r[0]: r[1] for r in read_shards(spark, root).groupBy("table_suffix").count().collect()}
+    assert counts == {"20170601": 1, "20170602": 2, "20170603": 1}
+
+
+def test_runner_errors_leave_the_output_untouched(spark):
+    from visitstat.plans.run import run
+    out = scratch_path(spark, "report-test")
+    spark.range(5).write.parquet(out)
+    missing = scratch_path(spark, "nowhere")
+    for lo in ([], ["--lo", "20170601", "--hi", "20170631"]):
+        with pytest.raises(AnalysisException):
+            run(spark, ["weekly_dynamics", "--source", missing, "--out", out, *lo])
+    for source, target in ((out, out), (out, f"{out}/sub"), (f"{out}/sub", out)):
+        with pytest.raises(SystemExit):
+            run(spark, ["weekly_dynamics", "--source", source, "--out", target])
+    assert spark.read.parquet(out).count() == 5
+
+
+def test_stand_in_follows_its_input(spark, tmp_path):
+    from visitstat.sources.testdata import sessions_table
+    for t in ("orders", "lineitem", "customer", "nation", "region"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    first = sessions_table(spark, str(tmp_path))
+    assert sessions_table(spark, str(tmp_path)) is first
+    few = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(7).toPandas()
+    spark.createDataFrame(few).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert sessions_table(spark, str(tmp_path)).count() == 7

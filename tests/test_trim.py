@@ -55,3 +55,9 @@ def test_bound_covers_kept_rows(spark):
     assert n <= bound == 500  # groups d (one row, null stddev) and e (no positive value) keep nothing
     kept0, bound0 = log_trim_bounded(df, "v", [])
     assert kept0.count() <= bound0 == 501
+
+
+def test_nan_is_a_missing_value(spark):
+    data = [("a", float(v)) for v in range(1, 51)]
+    clean = sorted(r["v"] for r in log_trim(rows(spark, data), "v", ["g"]).collect())
+    assert sorted(r["v"] for r in log_trim(rows(spark, data + [("a", float("nan"))]), "v", ["g"]).collect()) == clean

@@ -63,27 +63,11 @@ def ratio(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(col_or_none(a).cast("double"), col_or_none(b).cast("double"))
 
 
-def coef_var(c: str | Column) -> Column:
-    """Coefficient of variation as an aggregate: stddev_samp / avg."""
-    c = col_or_none(c)
-    return ratio(F.stddev_samp(c), F.avg(c))
-
-
 def flag_if(cond: Column) -> Column:
     """1 when ``cond`` holds, otherwise null (a count-able flag)."""
     return F.when(cond, F.lit(1))
 
 
-def sturges_bins(n: str | Column) -> Column:
-    """ceil(1 + 3.32 * log10(n)) as bigint."""
-    return F.ceil(F.lit(STURGES_A) + F.lit(STURGES_B) * F.log10(col_or_none(n))).cast("bigint")
-
-
-def ln_bin_count(n: str | Column) -> Column:
-    """1 + 3.5 * ln(n): the (fractional) bin count of the bin plan."""
-    return F.lit(LN_BIN_A) + F.lit(LN_BIN_B) * F.ln(col_or_none(n))
-
-
 def round_half_up(c: str | Column, digits: int) -> Column:
     """Round to ``digits`` decimals, halves away from zero, on the double value.
 

@@ -30,7 +30,8 @@ def histograms(df: DataFrame, specs: Sequence[tuple[str, bool]], bins: int | Non
     ('raw' or 'log10'), ``bin`` 0..k-1, edges ``bin_lo``/``bin_hi``,
     ``count`` and ``density = count / width / total`` (empty bins kept).
 
-    * missing values (null, NaN) are left out per column;
+    * missing values (null, NaN) are left out per column; an infinite value is
+      an error, as in numpy (no range can be cut into equal bins);
     * ``bins`` defaults to ceil(1 + 3.32 * log10(n)), n = values present in
       the column;
     * with log10 the histogram is of log10(x) over x > 0 only (no logarithm
@@ -75,6 +76,8 @@ def histograms(df: DataFrame, specs: Sequence[tuple[str, bool]], bins: int | Non
             continue
         k = int(bins) if bins is not None else sturges(n_raw)
         first, last = float(st[f"lo_{i}"]), float(st[f"hi_{i}"])
+        if math.isinf(first) or math.isinf(last):
+            raise ValueError(f"column {c!r}: the range [{first}, {last}] is not finite")
         if first == last:
             first, last = first - 0.5, last + 0.5
         params[i] = (k, first, last, (last - first) / k, last - first, n)
@@ -106,9 +109,9 @@ def histograms(df: DataFrame, specs: Sequence[tuple[str, bool]], bins: int | Non
                                          & (F.col("__i1") != F.col("__k") - F.lit(1)),
                                          F.col("__i1") + F.lit(1)).otherwise(F.col("__i1")).cast("bigint"))
     counts = vals.groupBy("__h", "bin").agg(F.count(F.lit(1)).alias("count"))
-    # sum of k over the histograms (k grows with log n): bounded on both sides.
-    grid = spark.createDataFrame([(i, b) for i, p in params.items() for b in range(p[0])], "__h int, bin long")
-    out = (grid.join(F.broadcast(par), "__h").join(F.broadcast(counts), ["__h", "bin"], "left")
+    # Every bin of every histogram, made in place from the parameter rows.
+    grid = par.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__k") - F.lit(1))))
+    out = (grid.join(counts, ["__h", "bin"], "left")
                .select("__h", "column", "scale", "bin",
                        edge(F.col("bin")).alias("bin_lo"), edge(F.col("bin") + F.lit(1)).alias("bin_hi"),
                        F.coalesce(F.col("count"), F.lit(0).cast("bigint")).alias("count"), "__n"))
@@ -136,22 +139,46 @@ def bin_plan(df: DataFrame, by: Sequence[str], value: str, median_method: str =
     ``exact`` as in ``group_profile`` (average from an integer sum)."""
     v = F.col(value)
     mean = exact_sum_avg(*exact)[1] if exact else F.avg(v)
-    inputs = [value] + ([exact[0]] if exact else [])
     prof = summarize(df, by, {
         "count": F.count(v), "avg": mean, "sko": F.stddev_samp(v),
         "over_test_min": F.min(v), "over_test_max": F.max(v), "over_test": F.count(v),
-    }, {"median": value}, median_method=median_method, inputs=inputs, max_rows=max_rows,
+    }, {"median": value}, median_method=median_method, max_rows=max_rows,
         rows_bound=rows_bound).where(F.col("over_test") > 0)
-    rng = F.col("over_test_max") - F.col("over_test_min")
-    bins_f = F.lit(LN_BIN_A) + F.lit(LN_BIN_B) * F.ln(F.col("over_test").cast("double"))
-    k = F.when(rng > F.lit(0), F.ceil(bins_f)).otherwise(F.lit(1)).cast("bigint")
-    out = (prof.withColumn("step", F.when(rng > F.lit(0), rng / bins_f).otherwise(F.lit(0.0)))
-               .withColumn("ceil", k)
-               .withColumn("sum_another_teor", (k * (k + F.lit(1))) / F.lit(2)))
-    out = out.withColumn("sum_another_teor", F.col("sum_another_teor").cast("bigint"))
+    out = _with_bins(prof, "over_test", "over_test_min", "over_test_max")
+    k = F.col("ceil")
+    out = out.withColumn("sum_another_teor", ((k * (k + F.lit(1))) / F.lit(2)).cast("bigint"))
     return out.select(*by, *BIN_PLAN_COLUMNS)
 
 
+def _with_bins(groups: DataFrame, n: str, low: str, high: str) -> DataFrame:
+    """``step`` and ``ceil`` of each group from its count and range."""
+    rng = F.col(high) - F.col(low)
+    bins_f = F.lit(LN_BIN_A) + F.lit(LN_BIN_B) * F.ln(F.col(n).cast("double"))
+    return (groups.withColumn("step", F.when(rng > F.lit(0), rng / bins_f).otherwise(F.lit(0.0)))
+                  .withColumn("ceil", F.when(rng > F.lit(0), F.ceil(bins_f)).otherwise(F.lit(1)).cast("bigint")))
+
+
+def bin_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Per group: ``n``, ``low``, ``high``, ``step`` and ``ceil`` of ``bin_plan``, from one
+    aggregate (count, minimum, maximum) without the profile's medians."""
+    v = F.col(value)
+    groups = df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"))
+    return _with_bins(groups.where(F.col("n") > 0), "n", "low", "high")
+
+
+def place_in_bins(rows: DataFrame, counts: DataFrame, by: Sequence[str], value: str, index_col: str = "bin",
+                  max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """One row per input row with a value: its own bin, 1..ceil, under ``bin_counts``.
+
+    Bins are ``step`` wide from the group's minimum; the last one is closed (and may
+    be shorter, ceil being rounded up). A group of equal values has the one bin 1."""
+    c = counts.select(*by, F.col("low").alias("__low"), F.col("step").alias("__step"), F.col("ceil").alias("__ceil"))
+    joined = attach(rows.where(F.col(value).isNotNull()), c, list(by), max_rows=max_rows)
+    place = F.floor((F.col(value) - F.col("__low")) / F.when(F.col("__step") > 0, F.col("__step"))) + F.lit(1)
+    return joined.withColumn(index_col, F.least(F.coalesce(place, F.lit(1)), F.col("__ceil")).cast("bigint")) \
+                 .drop("__low", "__step", "__ceil")
+
+
 def expand_bins(rows: DataFrame, plan: DataFrame, by: Sequence[str], index_col: str = "another_unnest",
                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """One row per input row and bin index 1..ceil of its group (``explode(sequence)``).

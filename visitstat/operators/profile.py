@@ -1,17 +1,19 @@
 """Group profiles, numeric summaries and frequency tables.
 
 All statistics are partial aggregates (map-side combine, one shuffle of
-per-task partial rows). Exact medians and quartiles (``PERCENTILE_CONT``):
+per-task partial rows). Exact medians and quartiles (``PERCENTILE_CONT``);
+null and NaN are missing values for every method:
 
 * ``'distributed'``: the quantile operator of ``quantile.py``, which never
   gathers a group into one task (for inputs of any size);
-* ``'builtin'``: Spark's exact ``percentile`` in the same aggregate; its
-  buffer holds the distinct values of a group, so it needs groups that fit
-  one task;
-* ``'auto'`` (default): the input rows are written once and counted during
-  that write; with at most ``BUILTIN_MAX_ROWS`` rows in *total* no group can
-  hold more, so ``'builtin'`` is safe and used; otherwise ``'distributed'``.
-  Both give identical values (same interpolation).
+* ``'builtin'``: Spark's exact ``percentile``; its buffers hold the distinct
+  values of the groups of a task, so it is for inputs of bounded size;
+* ``'auto'`` (default): ``'builtin'`` when all values together - rows times
+  median columns - are at most ``BUILTIN_MAX_VALUES``, which bounds what any
+  one task can hold, else ``'distributed'``. Both give identical values (same
+  interpolation, same missing values), so the size chooses the plan and never
+  the answer. The rows are counted by the aggregate that computes the other
+  statistics; nothing is copied for it.
 * ``'approx'``: ``percentile_approx`` (not exact; opt-in).
 """
 
@@ -24,25 +26,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitstat.functions import ratio
-from visitstat.operators.attach import BROADCAST_MAX_ROWS, fits_broadcast, null_safe_on, row_bytes
+from visitstat.operators.attach import BROADCAST_MAX_ROWS, null_safe_on
 from visitstat.session import write_table
 from visitstat.operators.quantile import exact_quantiles, quantiles_long
 
 _ALL = "__all"
 MEDIAN_METHODS = ("auto", "distributed", "builtin", "approx")
-# Largest group (in rows) whose exact median 'auto' leaves to Spark's
-# percentile: its buffer then holds at most this many distinct values (tens of MB).
-BUILTIN_MAX_ROWS = 1_000_000
+# Most values (rows times columns) whose exact quantiles 'auto' leaves to Spark's
+# percentile: no task can hold more, whatever the groups.
+BUILTIN_MAX_VALUES = 2_000_000
 
 
-def _quantile_agg(c: str, q: float, method: str) -> Column:
-    if method == "builtin":
-        return F.percentile(F.col(c), F.lit(q))
-    return F.percentile_approx(F.col(c), F.lit(q), F.lit(10_000)).cast("double")
+def _present(df: DataFrame, c: str) -> Column:
+    """The column with NaN as null."""
+    x = F.col(c)
+    if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+        return F.nanvl(x, F.lit(None).cast(df.schema[c].dataType))
+    return x
 
 
-def _builtin_medians(rows: DataFrame, by: list[str], medians: dict[str, str]) -> DataFrame:
-    return rows.groupBy(*by).agg(*[_quantile_agg(c, 0.5, "builtin").alias(n) for n, c in medians.items()])
+def _quantile_agg(x: Column, q: float, method: str) -> Column:
+    if method == "builtin":
+        return F.percentile(x, F.lit(q))
+    return F.percentile_approx(x, F.lit(q), F.lit(10_000)).cast("double")
 
 
 def _distributed_medians(rows: DataFrame, by: list[str], medians: dict[str, str], max_rows: int) -> DataFrame:
@@ -60,24 +66,17 @@ def _keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[tuple[str, str
 
 def summarize(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
               medians: Mapping[str, str] | None = None, median_method: str = "auto",
-              inputs: Sequence[str] | None = None, max_rows: int = BROADCAST_MAX_ROWS,
+              max_rows: int = BROADCAST_MAX_ROWS,
               rows_bound: int | None = None) -> DataFrame:
     """``groupBy(by).agg(aggs)`` plus exact medians, one row per group.
 
     ``medians`` maps an output name to the input column whose median it is.
-    ``inputs`` names the columns the aggregates read (default: all columns);
-    only these are kept when the rows are written for the later passes.
     Output columns: ``by``, then ``aggs`` in order, then ``medians`` in order.
 
-    With ``median_method='auto'`` the rows are written once and counted in
-    that write. If there are at most ``BUILTIN_MAX_ROWS`` of them, moments
-    and Spark's ``percentile`` run in one aggregate. Otherwise the moments
-    aggregate also counts rows per group; groups within the bound take
-    ``percentile`` (its buffer holds at most that many values), and only the
-    larger groups - at most total / bound of them, so the table naming them
-    has a proven size - go through the distributed quantile operator.
-    ``rows_bound``, a proven upper bound on the input rows known to the caller,
-    lets 'auto' skip the counting write when it is within the bound.
+    With ``median_method='auto'`` the aggregate also counts the rows, and that
+    count chooses how the medians are computed (see the module text);
+    ``rows_bound``, an upper bound on the input rows known to the caller, lets it
+    take the one-aggregate plan at once when it is small enough.
     """
     if median_method not in MEDIAN_METHODS:
         raise ValueError(f"median_method must be one of {MEDIAN_METHODS}")
@@ -86,40 +85,25 @@ def summarize(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
     if keyless:  # one group: give it a constant key so the joins below have one
         df, by = df.withColumn(_ALL, F.lit(0)), [_ALL]
     agg_exprs = [e.alias(n) for n, e in aggs.items()]
+    if median_method == "auto" and rows_bound is not None and rows_bound * len(medians) <= BUILTIN_MAX_VALUES:
+        median_method = "builtin"  # no task can hold more than the whole input
+
+    def meds(method: str) -> list[Column]:
+        return [_quantile_agg(_present(df, c), 0.5, method).alias(n) for n, c in medians.items()]
 
-    if median_method == "auto" and rows_bound is not None and rows_bound <= BUILTIN_MAX_ROWS:
-        median_method = "builtin"  # no group can exceed the whole input
     if not medians or median_method in ("builtin", "approx"):
-        extra = [_quantile_agg(c, 0.5, median_method).alias(n) for n, c in medians.items()]
-        out = df.groupBy(*by).agg(*agg_exprs, *extra)
+        out = df.groupBy(*by).agg(*agg_exprs, *(meds(median_method) if medians else []))
     else:
-        cols = sorted(set(medians.values()))
-        needed = list(dict.fromkeys([*by, *cols, *(df.columns if inputs is None else inputs)]))
-        rows, n_rows = write_table(df.select(*needed), "profiled", count_rows=True)
-        if median_method == "auto" and n_rows <= BUILTIN_MAX_ROWS:
-            out = rows.groupBy(*by).agg(*agg_exprs, *[_quantile_agg(c, 0.5, "builtin").alias(n)
-                                                      for n, c in medians.items()])
+        base, seen = write_table(df.groupBy(*by).agg(*agg_exprs, F.count(F.lit(1)).alias("__rows")), "groups",
+                                 observe={"rows": F.sum("__rows")})
+        if median_method == "auto" and (seen["rows"] or 0) * len(medians) <= BUILTIN_MAX_VALUES:
+            med = df.groupBy(*by).agg(*meds("builtin"))
         else:
-            base = write_table(rows.groupBy(*by).agg(*agg_exprs, F.count(F.lit(1)).alias("__rows")), "groups")
-            if median_method == "distributed":
-                med = _distributed_medians(rows, by, medians, max_rows)
-            else:
-                large = base.where(F.col("__rows") > F.lit(BUILTIN_MAX_ROWS)).select(*by)
-                big, seen = write_table(large, "large_groups", count_rows=True,
-                                        observe={"bytes": F.sum(row_bytes(large))})
-                n_big = seen["rows"]
-                if n_big == 0:
-                    med = _builtin_medians(rows, by, medians)
-                else:
-                    big_k, pairs = _keyed(big, by)
-                    big_k = F.broadcast(big_k) if fits_broadcast(n_big, seen["bytes"], max_rows) else big_k
-                    on = null_safe_on(rows, big_k, pairs)
-                    med = _builtin_medians(rows.join(big_k, on, "left_anti"), by, medians).unionByName(
-                        _distributed_medians(rows.join(big_k, on, "left_semi"), by, medians, max_rows))
-            # Both sides hold one row per group: a shuffle join on the group key,
-            # turned into a broadcast by AQE when the measured side is small.
-            med_k, pairs = _keyed(med, by)
-            out = base.join(med_k, null_safe_on(base, med_k, pairs), "left").drop(*[p[1] for p in pairs])
+            med = _distributed_medians(df, by, medians, max_rows)
+        # Both sides hold one row per group: a shuffle join on the group key,
+        # turned into a broadcast by AQE when the measured side is small.
+        med_k, pairs = _keyed(med, by)
+        out = base.join(med_k, null_safe_on(base, med_k, pairs), "left").drop(*[p[1] for p in pairs])
     out = out.select(*by, *aggs.keys(), *medians.keys())
     return out.drop(_ALL) if keyless else out
 
@@ -128,11 +112,16 @@ PROFILE_METRICS = ("count", "avg", "median", "min", "max", "sko", "koef_var")
 
 
 def exact_sum_avg(units: str, scale: float) -> tuple[Column, Column]:
-    """Sum and average of ``units / scale`` from an integer column: the integer
-    sum is exact, so both results are independent of row order (money kept
-    in integer micro-units)."""
-    u = F.col(units)
-    return F.sum(u) / F.lit(scale), F.sum(u) / F.count(u) / F.lit(scale)
+    """Sum and average of ``units / scale`` from an integer column (money kept in
+    integer micro-units): the sum is exact in 38 digits, so both results are
+    independent of row order and do not overflow."""
+    total = big_sum(units).cast("double")
+    return total / F.lit(scale), total / F.count(units) / F.lit(scale)
+
+
+def big_sum(units: str) -> Column:
+    """Exact sum of an integer column in 38 digits (a bigint sum would overflow at scale)."""
+    return F.sum(F.col(units).cast("decimal(38,0)"))
 
 
 def group_profile(df: DataFrame, by: Sequence[str], value: str,
@@ -157,9 +146,7 @@ def group_profile(df: DataFrame, by: Sequence[str], value: str,
         raise ValueError(f"unknown metrics {sorted(unknown)}")
     aggs = {m: exprs[m] for m in metrics if m != "median"}
     meds = {"median": value} if "median" in metrics else {}
-    inputs = [value] + ([exact[0]] if exact else [])
-    out = summarize(df, by, aggs, meds, median_method=median_method, inputs=inputs, max_rows=max_rows,
-                    rows_bound=rows_bound)
+    out = summarize(df, by, aggs, meds, median_method=median_method, max_rows=max_rows, rows_bound=rows_bound)
     return out.select(*by, *metrics)
 
 
@@ -174,8 +161,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, median_method: st
 
     One pass computes all simple statistics as a single wide aggregate (one
     row of numbers, returned to the driver); a second pass computes the
-    quartiles of all columns, with Spark's ``percentile`` when every column
-    has at most ``BUILTIN_MAX_ROWS`` values ('auto'), else with the
+    quartiles of all columns, one ``percentile`` per column when all columns
+    together have at most ``BUILTIN_MAX_VALUES`` values ('auto'), else with the
     distributed quantile operator.
     """
     numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -200,10 +187,10 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, median_method: st
         [(c, wide[f"{c}__count"], wide[f"{c}__mean"], wide[f"{c}__std"], wide[f"{c}__min"], wide[f"{c}__max"])
          for c in cols],
         "column string, count bigint, mean double, std double, min double, max double")
-    # Each column is one group of all its values: its count bounds the percentile buffer.
+    # All buffers meet in one task: the values of all columns bound it.
     if median_method == "auto":
-        largest = max(wide[f"{c}__count"] for c in cols)
-        median_method = "builtin" if largest <= BUILTIN_MAX_ROWS else "distributed"
+        values = sum(wide[f"{c}__count"] for c in cols)
+        median_method = "builtin" if values <= BUILTIN_MAX_VALUES else "distributed"
 
     # Pass 2: the quartiles of all columns.
     if median_method == "distributed":
@@ -212,11 +199,12 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, median_method: st
             *[F.max(F.when(F.col("q") == F.lit(q), F.col("value"))).alias(n)
               for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
     else:
-        quart = xs.agg(*[_quantile_agg(c, q, median_method).alias(f"{c}__{n}")
-                         for c in cols for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+        qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        quart = xs.agg(*[(F.percentile(c, qs) if median_method == "builtin" else F.percentile_approx(c, qs, F.lit(10_000)))
+                         .alias(c) for c in cols])
         quart = quart.select(F.inline(F.array(*[F.struct(
-            F.lit(c).alias("column"), F.col(f"{c}__p25").alias("p25"), F.col(f"{c}__p50").alias("p50"),
-            F.col(f"{c}__p75").alias("p75")) for c in cols])))
+            F.lit(c).alias("column"), *[F.get(F.col(c), F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
+            for c in cols])))
     # Both sides have one row per described column: a bounded broadcast.
     out = simple.join(F.broadcast(quart), "column", "left")
     return out.select(*DESCRIBE_COLUMNS)

@@ -16,7 +16,7 @@ def log_trim(df: DataFrame, value: str, by: Sequence[str] = (), k: float = LOG_S
              max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Rows with ``|ln(value) - avg_g| < k * stddev_g``, statistics per group ``by``.
 
-    * only rows with ``value > 0`` take part (null and non-positive values
+    * only rows with ``value > 0`` take part (null, NaN and non-positive values
       have no logarithm and are left out before the statistics);
     * the test is strict, so a group whose sample stddev is null (one row)
       or 0 (all values equal) keeps no row;
@@ -37,7 +37,8 @@ def log_trim_bounded(df: DataFrame, value: str, by: Sequence[str] = (), k: float
     that can keep any, summed while the per-group table is written."""
     by = list(by)
     v = F.col(value)
-    pos = df.where(v.isNotNull() & (v > F.lit(0))).withColumn(log_col, F.ln(v))
+    # NaN counts as greater than any number in Spark; it is a missing value here
+    pos = df.where(v.isNotNull() & (v > F.lit(0)) & ~F.isnan(v.cast("double"))).withColumn(log_col, F.ln(v))
     stats = pos.groupBy(*by).agg(F.avg(log_col).alias(avg_col), F.stddev_samp(log_col).alias(sko_col),
                                  F.count(F.lit(1)).alias("__n"))
     # Groups that can keep nothing are dropped here, which only shrinks the table.

@@ -15,17 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitstat.functions import round_half_up
+from visitstat.operators.bins import histogram
 from visitstat.operators.sessions import flatten_sessions, revenue_sessions, session_extract
 from visitstat.plans import reports as R
 from visitstat.session import scratch_path
-from visitstat.sources.shards import read_shards, write_shards, preview_rows
-from visitstat.sources.testdata import sessions_table, sessions_table_sized
+from visitstat.sources.shards import SUFFIX, read_shards, preview_rows, write_shards
+from visitstat.sources.testdata import sessions_table, sessions_table_sized, sharded_sessions
 
 # Fixed parameters of the registered queries.
 SHARD_LO, SHARD_HI = "19970601", "19970631"   # a one-month suffix range (June 31 is no day)
 COUNTRY = "NATION_1"                           # the single-country form of the weekly report
 SEGMENT_MIN_COUNT_STRICT = 600                 # a threshold that removes some segments at sf0.01
 PREVIEW_START, PREVIEW_ROWS = 1, 10
+YEAR_LO, YEAR_HI = "19970101", "19971231"      # the range of the reports over day shards (with COUNTRY)
+RANGE_MIN_COUNT = 2                            # threshold of the segment report over that range
+COUNTRY_MIN_COUNT_STRICT = 190                 # a threshold that removes some countries at sf0.01
+MIXED_LO, MIXED_HI = "19970601", "19970631"    # a text range in which some suffixes are not digits
 
 D6, D12 = 6, 12
 OUTPUT: dict[str, list[tuple[str, int | None]]] = {
@@ -67,11 +72,20 @@ OUTPUT: dict[str, list[tuple[str, int | None]]] = {
                          ("p25", D6), ("p50", D6), ("p75", D6), ("max", None)],
     "preview_rows": [("unique_session_id", None), ("visitId", None), ("date", None), ("total_revenue", None)],
 }
+for _n, _like in (("daily_profile_distributed", "daily_profile_trimmed"), ("daily_profile_range", "daily_profile_trimmed"),
+                  ("segment_report_distributed", "segment_report"), ("segment_report_range", "segment_report"),
+                  ("weekly_dynamics_range", "weekly_dynamics"), ("weekly_dynamics_timestamp", "weekly_dynamics"),
+                  ("describe_distributed", "describe_numeric"), ("country_profile_strict", "country_profile_trimmed")):
+    OUTPUT[_n] = list(OUTPUT[_like])
+OUTPUT["binned_revenue"] = [("unique_session_id", None), ("country", None), ("total_revenue", None), ("bin", None)]
+OUTPUT["revenue_bins"] = [("country", None), ("bin", None), ("count", None)]
+OUTPUT["shard_range_mixed"] = list(OUTPUT["shard_range"])
 OUTPUT["segment_report_base"] = [OUTPUT["segment_report"][0], OUTPUT["segment_report"][1]] + [
     next(x for x in OUTPUT["segment_report"] if x[0] == c) for c in R.SEGMENT_BASE_COLUMNS]
 OUTPUT["segment_report_min600"] = list(OUTPUT["segment_report"])
 HIST_SPEC = [("bin", None), ("bin_lo", D6), ("bin_hi", D6), ("count", None), ("density", D12)]
 OUTPUT["distributions"] = [("column", None), ("scale", None)] + HIST_SPEC
+OUTPUT["histogram_log10_pages_over"] = HIST_SPEC
 for _c in R.DISTRIBUTION_COLUMNS:
     OUTPUT[f"histogram_{_c}"] = HIST_SPEC
     OUTPUT[f"histogram_log10_{_c}"] = HIST_SPEC
@@ -93,13 +107,31 @@ def _segments(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return R.segment_report(table, rows_bound=rows, **kw)
 
 
-def _shard_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = scratch_path(spark, "shards")
-    write_shards(_sessions(spark, sf_dir), root)
-    days = read_shards(spark, root, SHARD_LO, SHARD_HI)
+def _in_range(spark: SparkSession, sf_dir: str, lo: str, hi: str) -> DataFrame:
+    """Days of the sharded stand-in; its folders are all named by days, so one glob may list them."""
+    return read_shards(spark, sharded_sessions(spark, sf_dir), lo, hi, digit_glob=True)
+
+
+def _range_rows(days: DataFrame) -> DataFrame:
     return flatten_sessions(days).select("unique_session_id", "total_revenue", "date", "table_suffix")
 
 
+def _mixed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month of shards in which every order of one status lies in a folder whose name is
+    no digit string (its day with a letter in the last place): the text range takes them alike."""
+    month = sessions_table(spark, sf_dir).where(F.col(SUFFIX).between(MIXED_LO[:6], MIXED_HI[:6] + "99"))
+    odd = F.when(F.col("device.browser") == "O", F.concat(F.substring(SUFFIX, 1, 7), F.lit("A"))).otherwise(F.col(SUFFIX))
+    root = scratch_path(spark, "mixed_shards")
+    write_shards(month.withColumn(SUFFIX, odd), root, mode="errorifexists")
+    return read_shards(spark, root, MIXED_LO, MIXED_HI)
+
+
+def _pages_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 histogram of a column with zeros: hundreds of pages per session."""
+    ext = session_extract(_sessions(spark, sf_dir))
+    return histogram(ext.select(F.floor(F.col("pageviews") / F.lit(100)).alias("pages_over")), "pages_over", log10=True)
+
+
 def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = flatten_sessions(_sessions(spark, sf_dir))
     return preview_rows(flat, ["visitId"], ["unique_session_id", "visitId", "date", "total_revenue"],
@@ -124,7 +156,19 @@ _BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "session_extract": lambda s, d: session_extract(_sessions(s, d)),
     "revenue_sessions": lambda s, d: revenue_sessions(_sessions(s, d)),
     "week_of_year_counts": _week_counts,
-    "shard_range": _shard_range,
+    "shard_range": lambda s, d: _range_rows(_in_range(s, d, SHARD_LO, SHARD_HI)),
+    "shard_range_mixed": lambda s, d: _range_rows(_mixed_shards(s, d)),
+    "daily_profile_distributed": lambda s, d: R.daily_profile(_sessions(s, d), median_method="distributed"),
+    "segment_report_distributed": lambda s, d: R.segment_report(_sessions(s, d), median_method="distributed"),
+    "describe_distributed": lambda s, d: R.distributions_describe(_sessions(s, d), median_method="distributed"),
+    "daily_profile_range": lambda s, d: R.daily_profile(_in_range(s, d, YEAR_LO, YEAR_HI), country=COUNTRY),
+    "segment_report_range": lambda s, d: R.segment_report(_in_range(s, d, YEAR_LO, YEAR_HI), country=COUNTRY,
+                                                          min_count=RANGE_MIN_COUNT),
+    "weekly_dynamics_range": lambda s, d: R.weekly_dynamics(_in_range(s, d, YEAR_LO, YEAR_HI), country=COUNTRY),
+    "weekly_dynamics_timestamp": lambda s, d: R.weekly_dynamics(_sessions(s, d), as_timestamp=True),
+    "country_profile_strict": lambda s, d: R.country_profile(_sessions(s, d), min_count=COUNTRY_MIN_COUNT_STRICT),
+    "binned_revenue": lambda s, d: R.binned_revenue(_sessions(s, d)),
+    "revenue_bins": lambda s, d: R.revenue_bins(_sessions(s, d)),
     "country_profile_trimmed": lambda s, d: R.country_profile(_sessions(s, d)),
     "bin_plan": lambda s, d: R.country_bin_plan(_sessions(s, d)),
     "expand_bins": lambda s, d: R.country_bin_rows(_sessions(s, d)),
@@ -134,6 +178,7 @@ _BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "revenue_frequency": lambda s, d: R.revenue_frequency(_sessions(s, d)),
     "describe_numeric": lambda s, d: R.distributions_describe(_sessions(s, d)),
     "preview_rows": _preview,
+    "histogram_log10_pages_over": _pages_over,
     "distributions": lambda s, d: R.distributions(_sessions(s, d)),
 }
 for _c in R.DISTRIBUTION_COLUMNS:

@@ -1,19 +1,18 @@
 """DuckDB SQL oracles for the registered queries.
 
 Each oracle rebuilds the session rows from the test tables with the same
-mapping as ``sources.testdata`` and states the report the way the original
-SQL does where that differs from our plan (window aggregates plus DISTINCT,
-per-row attached statistics), so the check also covers the rewrite to
-grouped aggregates and joins. Rounding follows ``catalog.OUTPUT``. Revenue
-sums and averages are taken from integer micro-unit sums on both sides.
+mapping as ``sources.testdata`` and states its report as grouped SQL: one row
+per group from GROUP BY, statistics of a group joined to its rows. Rounding
+follows ``catalog.OUTPUT``. Revenue sums and averages are taken from integer
+micro-unit sums on both sides (128-bit here, 38 digits in Spark).
 DuckDB notes: ``ln`` is the natural log (``log`` is base 10 there),
 ``dayofweek`` is 0 on Sunday, ``%U`` is the Sunday-based week number.
 """
 
 from __future__ import annotations
 
-from visitstat.plans.catalog import COUNTRY, OUTPUT, PREVIEW_ROWS, PREVIEW_START, SEGMENT_MIN_COUNT_STRICT, \
-    SHARD_HI, SHARD_LO
+from visitstat.plans.catalog import COUNTRY, COUNTRY_MIN_COUNT_STRICT, MIXED_HI, MIXED_LO, OUTPUT, PREVIEW_ROWS, \
+    PREVIEW_START, RANGE_MIN_COUNT, SEGMENT_MIN_COUNT_STRICT, SHARD_HI, SHARD_LO, YEAR_HI, YEAR_LO
 from visitstat.plans.reports import DESCRIBE_NUMERIC, DISTRIBUTION_COLUMNS, SEGMENT_BASE_COLUMNS
 
 SESSIONS = """
@@ -51,18 +50,29 @@ li AS (
   FROM s0
 )"""
 
-# Trimmed revenue rows, written as the original does: statistics of ln(revenue)
-# attached to every row by a window over the country, then the strict test.
+# Trimmed revenue rows: the limits of ln(revenue) per country, joined to its sessions.
 TRIMMED = """
-pos AS (
+logs AS (
   SELECT unique_session_id, total_revenue, revenue_micro, date, country, ln(total_revenue) AS logtar
-  FROM s WHERE revenue_micro IS NOT NULL AND total_revenue > 0
-), with_log_stats AS (
-  SELECT *, avg(logtar) OVER (PARTITION BY country) AS log_avg,
-            stddev_samp(logtar) OVER (PARTITION BY country) AS log_sko
-  FROM pos
+  FROM s WHERE revenue_micro > 0
+), limits AS (
+  SELECT country, avg(logtar) AS log_avg, stddev_samp(logtar) AS log_sko FROM logs GROUP BY country
 ), t AS (
-  SELECT * FROM with_log_stats WHERE abs(logtar - log_avg) < 3.09 * log_sko
+  SELECT logs.*, limits.log_avg, limits.log_sko
+  FROM logs JOIN limits ON logs.country IS NOT DISTINCT FROM limits.country
+  WHERE logtar > log_avg - 3.09 * log_sko AND logtar < log_avg + 3.09 * log_sko
+)"""
+
+# Bin counts per country of the trimmed sessions.
+COUNTS = """
+ranges AS (
+  SELECT country, count(*) AS n, min(total_revenue) AS low, max(total_revenue) AS high FROM t GROUP BY country
+), bins AS (
+  SELECT country, n, low, high, 1 + 3.5 * ln(n) AS width_count, high > low AS spread FROM ranges
+), counts AS (
+  SELECT country, n, low, high, if(spread, (high - low) / width_count, 0.0) AS step,
+         CAST(if(spread, ceil(width_count), 1) AS BIGINT) AS ceil
+  FROM bins
 )"""
 
 
@@ -78,44 +88,42 @@ def wrap(name: str, body: str, ctes: tuple[str, ...] = (SESSIONS,)) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + f",\nq AS (\n{body}\n)\nSELECT {cols} FROM q"
 
 
-def _segment_body(min_count: int) -> str:
+def _moments(group: str, source: str, value: str = "total_revenue", micro: str = "revenue_micro") -> str:
+    """One row per group: size, exact mean, median, extremes and spread of a money column."""
+    return f"""
+SELECT {group}, n AS count, total / n / 1e6 AS avg, middle AS median, low AS min, high AS max, spread AS sko,
+       spread / nullif(total / n / 1e6, 0) AS koef_var
+FROM (SELECT {group}, count({value}) AS n, sum({micro}) AS total, median({value}) AS middle, min({value}) AS low,
+             max({value}) AS high, stddev_samp({value}) AS spread
+      FROM {source} GROUP BY {group})"""
+
+
+def _segment_body(min_count: int, where: str = "") -> str:
+    """Totals per segment first; ratios are taken from the totals."""
+    spread = ", ".join(f"stddev_samp({c}) / nullif(avg({c}), 0) AS koef_var_{n}" for n, c in (
+        ("timeOnSite", "timeOnSite"), ("pageviews", "pageviews"), ("hits", "hits"), ("visits", "visits"),
+        ("revenue", "total_revenue")))
+    middle = ", ".join(f"median({c}) AS median_{n}" for n, c in (
+        ("timeonsite", "timeOnSite"), ("pageviews", "pageviews"), ("hits", "hits"), ("visits", "visits"),
+        ("revenue", "total_revenue")))
     return f"""
-SELECT * FROM (
-  SELECT DISTINCT channelGrouping, operatingSystem,
-    count(unique_session_id) OVER w AS count_parted,
-    CAST(sum(newvisits) OVER w AS BIGINT) AS sum_new_visits,
-    count(unique_session_id) OVER w / count(unique_session_id) OVER () AS count_parted_to_all,
-    quantile_cont(total_revenue, 0.5) OVER w AS median_revenue,
-    sum(revenue_micro) OVER w / 1e6 AS sum_revenue,
-    sum(revenue_from_new_micro) OVER w / nullif(sum(revenue_micro) OVER w, 0) AS percent_revenue_from_new,
-    count(total_revenue) OVER w / count(unique_session_id) OVER w AS revenue_to_parted_all,
-    quantile_cont(visits, 0.5) OVER w AS median_visits,
-    quantile_cont(hits, 0.5) OVER w AS median_hits,
-    quantile_cont(pageviews, 0.5) OVER w AS median_pageviews,
-    CAST(sum(pageviews) OVER w AS BIGINT) AS sum_pageviews,
-    quantile_cont(timeOnSite, 0.5) OVER w AS median_timeonsite,
-    stddev_samp(total_revenue) OVER w / nullif(avg(total_revenue) OVER w, 0) AS koef_var_revenue,
-    stddev_samp(visits) OVER w / nullif(avg(visits) OVER w, 0) AS koef_var_visits,
-    stddev_samp(hits) OVER w / nullif(avg(hits) OVER w, 0) AS koef_var_hits,
-    stddev_samp(pageviews) OVER w / nullif(avg(pageviews) OVER w, 0) AS koef_var_pageviews,
-    stddev_samp(timeOnSite) OVER w / nullif(avg(timeOnSite) OVER w, 0) AS koef_var_timeOnSite
-  FROM s
-  WINDOW w AS (PARTITION BY channelGrouping, operatingSystem)
-) WHERE count_parted >= {min_count}"""
-
-
-_DAILY = """
-SELECT DISTINCT date,
-  count(total_revenue) OVER (PARTITION BY date) AS count,
-  sum(revenue_micro) OVER (PARTITION BY date) / count(revenue_micro) OVER (PARTITION BY date) / 1e6 AS avg,
-  quantile_cont(total_revenue, 0.5) OVER (PARTITION BY date) AS median,
-  min(total_revenue) OVER (PARTITION BY date) AS min,
-  max(total_revenue) OVER (PARTITION BY date) AS max,
-  stddev_samp(total_revenue) OVER (PARTITION BY date) AS sko,
-  stddev_samp(total_revenue) OVER (PARTITION BY date) / nullif(
-    sum(revenue_micro) OVER (PARTITION BY date) / count(revenue_micro) OVER (PARTITION BY date) / 1e6, 0)
-    AS koef_var
-FROM t"""
+WITH picked AS (SELECT * FROM s {where}),
+everything AS (SELECT count(*) AS sessions FROM picked),
+segments AS (
+  SELECT operatingSystem, channelGrouping, count(*) AS sessions, count(revenue_micro) AS buyers,
+         sum(revenue_micro) AS money, sum(revenue_from_new_micro) AS new_money,
+         sum(pageviews) AS pages, sum(newvisits) AS newcomers, {middle}, {spread}
+  FROM picked GROUP BY ALL
+)
+SELECT segments.*, segments.sessions AS count_parted, segments.sessions / everything.sessions AS count_parted_to_all,
+       money / 1e6 AS sum_revenue, new_money / nullif(money, 0) AS percent_revenue_from_new,
+       buyers / segments.sessions AS revenue_to_parted_all, CAST(pages AS BIGINT) AS sum_pageviews,
+       CAST(newcomers AS BIGINT) AS sum_new_visits
+FROM segments, everything WHERE segments.sessions >= {min_count}"""
+
+
+_DAILY = _moments("date", "t")
+_RANGE = f"WHERE date BETWEEN '{YEAR_LO}' AND '{YEAR_HI}' AND country = '{COUNTRY}'"
 
 _WEEKLY = """
 SELECT day - CAST(dayofweek(day) AS INTEGER) AS date,
@@ -131,26 +139,15 @@ SELECT unique_session_id, total_revenue, visits, hits, pageviews, timeOnSite, ne
   CASE WHEN revenue_micro IS NULL THEN 1 END AS revenue_false
 FROM s"""
 
-_PLAN = """
-plan AS (
-  SELECT country, count, avg, median, sko, over_test_min, over_test_max, over_test,
-    CASE WHEN over_test_max > over_test_min
-         THEN (over_test_max - over_test_min) / (1 + 3.5 * ln(over_test)) ELSE 0.0 END AS step,
-    CAST(CASE WHEN over_test_max > over_test_min THEN ceil(1 + 3.5 * ln(over_test)) ELSE 1 END AS BIGINT)
-      AS ceil
-  FROM (
-    SELECT DISTINCT country,
-      count(total_revenue) OVER (PARTITION BY country) AS count,
-      sum(revenue_micro) OVER (PARTITION BY country) / count(revenue_micro) OVER (PARTITION BY country) / 1e6
-        AS avg,
-      quantile_cont(total_revenue, 0.5) OVER (PARTITION BY country) AS median,
-      stddev_samp(total_revenue) OVER (PARTITION BY country) AS sko,
-      min(total_revenue) OVER (PARTITION BY country) AS over_test_min,
-      max(total_revenue) OVER (PARTITION BY country) AS over_test_max,
-      count(total_revenue) OVER (PARTITION BY country) AS over_test
-    FROM t
-  ) per_country
-)"""
+_PLAN = f"""
+SELECT m.country, m.count, m.avg, m.median, m.sko, low AS over_test_min, high AS over_test_max, n AS over_test, step, ceil,
+       CAST(ceil * (ceil + 1) / 2 AS BIGINT) AS sum_another_teor
+FROM ({_moments("country", "t")}) AS m JOIN counts ON m.country IS NOT DISTINCT FROM counts.country"""
+
+_BINNED = """
+SELECT unique_session_id, t.country, total_revenue,
+       CAST(least(if(step > 0, floor((total_revenue - low) / step) + 1, 1), ceil) AS BIGINT) AS bin
+FROM t JOIN counts ON t.country IS NOT DISTINCT FROM counts.country"""
 
 
 def _describe_body() -> str:
@@ -195,6 +192,9 @@ def _histogram_body(column: str, log10: bool) -> str:
 def oracle_sql() -> dict[str, str]:
     ext = (SESSIONS, f"e AS ({_EXTRACT})")
     trimmed = (SESSIONS, TRIMMED)
+    binned = (*trimmed, COUNTS)
+    # the trim's limits are those of the chosen sessions
+    in_range = (SESSIONS, TRIMMED.replace("FROM s WHERE", f"FROM s {_RANGE} AND"))
     out = {
         "daily_profile_trimmed": wrap("daily_profile_trimmed", _DAILY, trimmed),
         "log_trim_rows": wrap("log_trim_rows", "SELECT * FROM t", trimmed),
@@ -215,23 +215,32 @@ SELECT date, {R("median", 2)} AS median, {R("koef_var", 4)} AS koef_var, count F
         "shard_range": wrap("shard_range", f"""
 SELECT unique_session_id, total_revenue, date, date AS table_suffix FROM s
 WHERE date BETWEEN '{SHARD_LO}' AND '{SHARD_HI}'"""),
-        "country_profile_trimmed": wrap("country_profile_trimmed", """
-SELECT * FROM (
-  SELECT DISTINCT country,
-    count(total_revenue) OVER (PARTITION BY country) AS count,
-    sum(revenue_micro) OVER (PARTITION BY country) / count(revenue_micro) OVER (PARTITION BY country) / 1e6
-      AS avg,
-    quantile_cont(total_revenue, 0.5) OVER (PARTITION BY country) AS median,
-    stddev_samp(total_revenue) OVER (PARTITION BY country) AS sko
-  FROM t
-) WHERE count > 20""", trimmed),
-        "bin_plan": wrap("bin_plan", "SELECT *, CAST(ceil * (ceil + 1) / 2 AS BIGINT) AS sum_another_teor FROM plan",
-                         (SESSIONS, TRIMMED, _PLAN)),
+        "country_profile_trimmed": wrap("country_profile_trimmed",
+                                        f"SELECT * FROM ({_moments('country', 't')}) WHERE count > 20", trimmed),
+        "country_profile_strict": wrap("country_profile_strict", f"""
+SELECT * FROM ({_moments('country', 't')}) WHERE count > {COUNTRY_MIN_COUNT_STRICT}""", trimmed),
+        "bin_plan": wrap("bin_plan", _PLAN, binned),
         "expand_bins": wrap("expand_bins", """
-SELECT t.unique_session_id, t.country, t.total_revenue, unnest(generate_series(1, plan.ceil)) AS another_unnest
-FROM t JOIN plan ON t.country IS NOT DISTINCT FROM plan.country""", (SESSIONS, TRIMMED, _PLAN)),
-        "bin_index_series": wrap("bin_index_series", "SELECT country, unnest(generate_series(1, ceil)) AS num FROM plan",
-                                 (SESSIONS, TRIMMED, _PLAN)),
+SELECT t.unique_session_id, t.country, t.total_revenue, unnest(range(1, ceil + 1)) AS another_unnest
+FROM t JOIN counts ON t.country IS NOT DISTINCT FROM counts.country""", binned),
+        "bin_index_series": wrap("bin_index_series", "SELECT country, unnest(range(1, ceil + 1)) AS num FROM counts", binned),
+        "binned_revenue": wrap("binned_revenue", _BINNED, binned),
+        "revenue_bins": wrap("revenue_bins", f"SELECT country, bin, count(*) AS count FROM ({_BINNED}) GROUP BY country, bin",
+                             binned),
+        "daily_profile_distributed": wrap("daily_profile_distributed", _DAILY, trimmed),
+        "segment_report_distributed": wrap("segment_report_distributed", _segment_body(500)),
+        "describe_distributed": wrap("describe_distributed", _describe_body(), ext),
+        "daily_profile_range": wrap("daily_profile_range", _DAILY, in_range),
+        "segment_report_range": wrap("segment_report_range", _segment_body(RANGE_MIN_COUNT, _RANGE)),
+        "weekly_dynamics_range": wrap("weekly_dynamics_range", _WEEKLY.format(where=_RANGE)),
+        "weekly_dynamics_timestamp": wrap("weekly_dynamics_timestamp", f"""
+SELECT CAST(date AS TIMESTAMP) AS date, revenue_sum, revenue_avg, sum_timeOnSite FROM ({_WEEKLY.format(where='')})"""),
+        "shard_range_mixed": wrap("shard_range_mixed", f"""
+SELECT unique_session_id, total_revenue, date, suffix AS table_suffix
+FROM (SELECT *, if(browser = 'O', substr(date, 1, 7) || 'A', date) AS suffix FROM s WHERE date LIKE '{MIXED_LO[:6]}%')
+WHERE suffix BETWEEN '{MIXED_LO}' AND '{MIXED_HI}'"""),
+        "histogram_log10_pages_over": wrap("histogram_log10_pages_over", _histogram_body("pages_over", True), (
+            SESSIONS, "e AS (SELECT floor(pageviews / 100) AS pages_over FROM s)")),
         "hits_frequency": wrap("hits_frequency", "SELECT hits, count(fullVisitorId) AS count FROM s GROUP BY hits"),
         "country_frequency": wrap("country_frequency",
                                   "SELECT country, count(fullVisitorId) AS count FROM s GROUP BY country"),

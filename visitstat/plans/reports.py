@@ -18,10 +18,10 @@ from visitstat.functions import (
     COUNTRY_MIN_COUNT, LOG_SIGMA_K, MICRO, SEGMENT_MIN_COUNT,
     parse_day, ratio, round_half_up, week_start_sunday,
 )
-from visitstat.operators.attach import BROADCAST_MAX_ROWS, materialize
+from visitstat.operators.attach import BROADCAST_MAX_ROWS
 from visitstat.session import write_table
-from visitstat.operators.bins import bin_plan, expand_bins, histogram, histograms
-from visitstat.operators.profile import describe, frequency, group_profile, summarize
+from visitstat.operators.bins import bin_counts, bin_plan, expand_bins, histogram, histograms, place_in_bins
+from visitstat.operators.profile import big_sum, describe, exact_sum_avg, frequency, group_profile, summarize
 from visitstat.operators.sessions import flatten_sessions, session_extract, where_sessions
 from visitstat.operators.trim import log_trim_bounded
 
@@ -100,49 +100,52 @@ def segment_report(df: DataFrame, lo: str | None = None, hi: str | None = None,
     def kv(c):
         return ratio(F.stddev_samp(c), F.avg(c))
 
+    want = set(columns)
     aggs = {
         "count_parted": F.count("unique_session_id"),
         "sum_new_visits": F.sum("newvisits"),
-        "sum_revenue_micro": F.sum("revenue_micro"),
-        "sum_new_micro": F.sum("revenue_from_new_micro"),
+        "sum_revenue_micro": big_sum("revenue_micro"),
+        "sum_new_micro": big_sum("revenue_from_new_micro"),
         "count_revenue": F.count("total_revenue"),
         "sum_pageviews": F.sum("pageviews"),
         "koef_var_revenue": kv("total_revenue"), "koef_var_visits": kv("visits"),
         "koef_var_hits": kv("hits"), "koef_var_pageviews": kv("pageviews"),
         "koef_var_timeOnSite": kv("timeOnSite"),
     }
+    needed = want | {"count_parted", "sum_revenue_micro"} | (
+        {"sum_new_micro"} if "percent_revenue_from_new" in want else set()) | (
+        {"count_revenue"} if "revenue_to_parted_all" in want else set())
+    aggs = {n: e for n, e in aggs.items() if n in needed}          # only the metrics asked for
     meds = {"median_revenue": "total_revenue", "median_visits": "visits", "median_hits": "hits",
             "median_pageviews": "pageviews", "median_timeonsite": "timeOnSite"}
-    inputs = ["unique_session_id", "newvisits", "revenue_micro", "revenue_from_new_micro", "total_revenue",
-              "visits", "hits", "pageviews", "timeOnSite"]
-    seg, seen = write_table(summarize(flat, by, aggs, meds, median_method=median_method, inputs=inputs,
-                                      rows_bound=rows_bound),
+    meds = {n: c for n, c in meds.items() if n in want}
+    seg, seen = write_table(summarize(flat, by, aggs, meds, median_method=median_method, rows_bound=rows_bound),
                             "segments", observe={"total": F.sum("count_parted")})
     total = seen["total"] or 0
-    out = seg.select(
-        *by, *[F.col(c) for c in aggs if c not in ("sum_revenue_micro", "sum_new_micro", "count_revenue")],
-        *[F.col(c) for c in meds],
-        ratio(F.col("count_parted"), F.lit(total)).alias("count_parted_to_all"),
-        (F.col("sum_revenue_micro") / F.lit(MICRO)).alias("sum_revenue"),
-        ratio("sum_new_micro", "sum_revenue_micro").alias("percent_revenue_from_new"),
-        ratio("count_revenue", "count_parted").alias("revenue_to_parted_all"),
-    )
+    derived = {
+        "count_parted_to_all": ratio(F.col("count_parted"), F.lit(total)),
+        "sum_revenue": F.col("sum_revenue_micro").cast("double") / F.lit(MICRO),
+        "percent_revenue_from_new": ratio("sum_new_micro", "sum_revenue_micro"),
+        "revenue_to_parted_all": ratio("count_revenue", "count_parted"),
+    }
+    out = seg.select(*by, "count_parted", *[F.col(c) for c in (*aggs, *meds) if c in want and c != "count_parted"],
+                     *[e.alias(n) for n, e in derived.items() if n in want | {"sum_revenue"}])
     return (out.where(F.col("count_parted") >= F.lit(min_count))
                .select(*by, *columns)
                .orderBy(F.col("sum_revenue").desc_nulls_last(), *by))
 
 
 def weekly_dynamics(df: DataFrame, lo: str | None = None, hi: str | None = None,
-                    country: str | None = None) -> DataFrame:
-    """Per week (weeks start on Sunday, UTC): ``date`` (the Sunday), revenue sum
-    and average (both from exact integer micro-unit sums), time-on-site sum;
-    ordered by date."""
+                    country: str | None = None, as_timestamp: bool = False) -> DataFrame:
+    """Per week (weeks start on Sunday, UTC): ``date`` (the Sunday, as a date or, with
+    ``as_timestamp``, as its midnight without a time zone), revenue sum and average
+    (both from exact integer micro-unit sums), time-on-site sum; ordered by date."""
     flat = _flat(df, lo, hi, country)
-    wk = flat.withColumn("week", week_start_sunday(parse_day("date")))
-    out = wk.groupBy("week").agg(
-        (F.sum("revenue_micro") / F.lit(MICRO)).alias("revenue_sum"),
-        (F.sum("revenue_micro") / F.count("revenue_micro") / F.lit(MICRO)).alias("revenue_avg"),
-        F.sum("timeOnSite").alias("sum_timeOnSite"))
+    week = week_start_sunday(parse_day("date"))
+    wk = flat.withColumn("week", week.cast("timestamp_ntz") if as_timestamp else week)
+    total, mean = exact_sum_avg("revenue_micro", MICRO)
+    out = wk.groupBy("week").agg(total.alias("revenue_sum"), mean.alias("revenue_avg"),
+                                 F.sum("timeOnSite").alias("sum_timeOnSite"))
     return out.withColumnRenamed("week", "date").orderBy("date")
 
 
@@ -175,24 +178,40 @@ def country_bin_plan(df: DataFrame, lo: str | None = None, hi: str | None = None
 def country_bin_series(df: DataFrame, lo: str | None = None, hi: str | None = None,
                        country: str | None = None, k: float = LOG_SIGMA_K) -> DataFrame:
     """The bin-index series of each country, 1..ceil (``GENERATE_ARRAY(1, ceil)``
-    numbered as by ``ROW_NUMBER``): ``country, num``. The per-country plan
-    has one row per country; each row is expanded in place."""
-    plan = country_bin_plan(df, lo, hi, country, k)
-    return (plan.select("country", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("ceil"))).alias("num"))
-                .orderBy("country", "num"))
+    numbered as by ``ROW_NUMBER``): ``country, num``. The bin counts have one row
+    per country; each row is expanded in place."""
+    t, _ = _trimmed(df, lo, hi, country, ("country",), k)
+    counts = bin_counts(t, ["country"], "total_revenue")
+    return (counts.select("country", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("ceil"))).alias("num"))
+                  .orderBy("country", "num"))
 
 
 def country_bin_rows(df: DataFrame, lo: str | None = None, hi: str | None = None,
                      country: str | None = None, k: float = LOG_SIGMA_K) -> DataFrame:
     """Each trimmed revenue session once per bin index 1..ceil of its country:
-    ``unique_session_id, country, total_revenue, another_unnest``."""
-    t, bound = _trimmed(df, lo, hi, country, ("country",), k)
-    t = materialize(t.select("unique_session_id", "country", "total_revenue"), "trimmed")
-    plan = bin_plan(t, ["country"], "total_revenue", rows_bound=bound)
-    rows = expand_bins(t, plan, ["country"])
+    ``unique_session_id, country, total_revenue, another_unnest``. ``binned_revenue``
+    gives each session its own bin instead."""
+    t, _ = _trimmed(df, lo, hi, country, ("country",), k)
+    rows = expand_bins(t, bin_counts(t, ["country"], "total_revenue"), ["country"])
     return rows.select("unique_session_id", "country", "total_revenue", "another_unnest")
 
 
+def binned_revenue(df: DataFrame, lo: str | None = None, hi: str | None = None,
+                   country: str | None = None, k: float = LOG_SIGMA_K) -> DataFrame:
+    """Each trimmed revenue session with its own bin of its country's plan:
+    ``unique_session_id, country, total_revenue, bin``."""
+    t, _ = _trimmed(df, lo, hi, country, ("country",), k)
+    rows = place_in_bins(t, bin_counts(t, ["country"], "total_revenue"), ["country"], "total_revenue")
+    return rows.select("unique_session_id", "country", "total_revenue", "bin")
+
+
+def revenue_bins(df: DataFrame, lo: str | None = None, hi: str | None = None,
+                 country: str | None = None, k: float = LOG_SIGMA_K) -> DataFrame:
+    """Sessions per country and bin of trimmed revenue: ``country, bin, count`` (bins with sessions)."""
+    rows = binned_revenue(df, lo, hi, country, k)
+    return rows.groupBy("country", "bin").agg(F.count(F.lit(1)).alias("count")).orderBy("country", "bin")
+
+
 DISTRIBUTION_COLUMNS = ("timeOnSite", "pageviews", "hits", "total_revenue")
 DESCRIBE_NUMERIC = ("total_revenue", "visits", "hits", "pageviews", "timeOnSite", "newvisits",
                     "date", "revenue_true", "revenue_false")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from visitstat.functions import COUNTRY_MIN_COUNT, SEGMENT_MIN_COUNT
 from visitstat.operators.sessions import revenue_sessions, session_extract, where_sessions
 from visitstat.plans import reports as R
-from visitstat.session import apply_conf
+from visitstat.session import apply_conf, drop_scratch, scratch_count, write_table
 from visitstat.sources.shards import read_shards
 
 
@@ -66,9 +66,15 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> DataFrame:
     reports = _reports(a)
     if a.report not in reports:
         raise SystemExit(f"unknown report {a.report!r}; one of {sorted(reports)}")
+    source, target = (p.rstrip("/") + "/" for p in (a.source, a.out))
+    if source.startswith(target) or target.startswith(source):
+        raise SystemExit("--out must lie outside --source, and --source outside --out")
     apply_conf(spark)
-    out = reports[a.report](read_shards(spark, a.source, a.lo, a.hi))
-    out.write.mode("overwrite").parquet(a.out)
+    tables = scratch_count()
+    # The whole result is computed before --out is touched.
+    result = write_table(reports[a.report](read_shards(spark, a.source, a.lo, a.hi)), "report")
+    result.write.mode("overwrite").parquet(a.out)
+    drop_scratch(spark, tables)
     return spark.read.parquet(a.out)
 
 

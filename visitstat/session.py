@@ -79,9 +79,29 @@ def application_id(spark: SparkSession) -> str:
     return spark.conf.get("spark.app.id")
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str = "table") -> str:
     """A fresh folder below the shared checkpoint folder, for a written intermediate table."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/visitstat/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/visitstat/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate tables named after the first ``since`` of them (see
+    ``scratch_count``). What still reads them becomes unusable, so call it when the
+    results are written."""
+    for path in _SCRATCH[since:]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    del _SCRATCH[since:]
+
+
+def scratch_count() -> int:
+    """How many intermediate tables this process has named so far."""
+    return len(_SCRATCH)
 
 
 def write_table(df, name: str = "table", count_rows: bool = False, observe: dict | None = None):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,45 +91,54 @@ def digit_range_globs(lo: str, hi: str) -> list[str]:
 
 
 def read_shards(spark: SparkSession, root: str, lo: str | None = None, hi: str | None = None,
-                schema: T.StructType = SHARDED_SCHEMA, digit_suffixes: bool = True) -> DataFrame:
-    """Scan the day shards under ``root`` (``table_suffix=yyyyMMdd`` folders) in [lo, hi].
-
-    The explicit schema keeps the suffix a string whatever the session's
-    partition-type inference says. The range predicate is always applied as
-    a partition filter (text order, both ends included).
-
-    ``digit_suffixes`` (default): the folders are named by digit suffixes of
-    the bounds' length (day shards), so with two such bounds only the folders
-    in range are listed, through one glob path. Set it to False when other
-    names may fall inside the text range (e.g. '2017060A' or a longer
-    suffix); then every folder is listed and the filter alone decides.
+                schema: T.StructType = SHARDED_SCHEMA, digit_glob: bool = False) -> DataFrame:
+    """Scan the shards under ``root`` (``table_suffix=...`` folders) with a suffix in [lo, hi].
+
+    The range is compared as text, both ends included, and applied as a
+    partition filter: folders of any name are compared alike, and files
+    outside the range are never opened. The explicit schema keeps the suffix a
+    string whatever the session's partition-type inference says. A root that
+    does not exist is an error, with and without bounds.
+
+    ``digit_glob`` (only on request) lists the folders of the range through one
+    glob instead of listing all of them. It is right only where every folder is
+    named by digits of the bounds' length, which the caller asserts; bounds
+    that are not digits of equal length are an error.
     """
     reader = spark.read.schema(schema).option("basePath", root)
-    path = root
-    if (digit_suffixes and lo is not None and hi is not None and len(lo) == len(hi)
-            and (lo + hi).isdigit()):
-        if lo > hi:
-            return spark.createDataFrame([], schema)
-        path = f"{root.rstrip('/')}/{SUFFIX}={{{','.join(digit_range_globs(lo, hi))}}}"
-    try:
-        df = reader.parquet(path)
-    except Exception as e:  # no folder in range
-        if path != root and "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
-    return suffix_range(df, lo, hi)
-
-
-def write_shards(df: DataFrame, root: str, mode: str = "overwrite", partitions: int | None = None) -> None:
+    if digit_glob:
+        if lo is None or hi is None or len(lo) != len(hi) or not (lo + hi).isdigit():
+            raise ValueError("digit_glob needs two digit bounds of equal length")
+        if lo <= hi:
+            try:
+                path = f"{root.rstrip('/')}/{SUFFIX}={{{','.join(digit_range_globs(lo, hi))}}}"
+                return suffix_range(reader.parquet(path), lo, hi)
+            except AnalysisException as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise                      # no folder in range: the root decides below
+    return suffix_range(reader.parquet(root), lo, hi)
+
+
+def write_shards(df: DataFrame, root: str, mode: str = "days", partitions: int | None = None) -> None:
     """Write session rows as one folder per day suffix.
 
+    ``mode="days"`` (default) writes the days present in ``df``, replacing each
+    of them if it exists and leaving every other day as it is; any of Spark's
+    save modes may be given instead ('errorifexists', 'append', 'overwrite' of the
+    whole table).
+
     Range partitioning on (suffix, visit id) gives each task a contiguous run
     of days and splits a crowded day over several tasks, so a hot day never
     lands in a single writer and each day gets few files.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, F.col(SUFFIX), F.col("visitId"))
-       .write.mode(mode).partitionBy(SUFFIX).parquet(root))
+    ranged = df.repartitionByRange(n, F.col(SUFFIX), F.col("visitId"))
+    writer = ranged.write.partitionBy(SUFFIX)
+    if mode == "days":
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = writer.mode(mode).option("partitionOverwriteMode", "static")
+    writer.parquet(root)
 
 
 def preview_rows(df: DataFrame, key: list[str], fields: list[str] | None = None,

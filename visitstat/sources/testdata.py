@@ -26,7 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitstat.session import application_id, write_table
+from visitstat.session import application_id, scratch_path, write_table
+from visitstat.sources.shards import write_shards
 
 # Fixed values of the mapping.
 CONVERTED_STATUS = "F"     # order status that carries revenue
@@ -34,16 +35,16 @@ RETURNED_FLAG = "R"        # line return flag left out of time on site
 SECONDS_PER_LINE = 60
 
 
-_TABLES: dict[tuple[str, str], DataFrame] = {}
+def signature(spark: SparkSession, path: str) -> tuple:
+    """Sizes and times of the files of a table: what a result that was built from it depends on."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One test table; the DataFrame (and its schema) is reused within a session."""
-    key = (application_id(spark), f"{sf_dir}/{name}.parquet")
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _TABLES[key] = spark.read.parquet(key[1])
-    return df
+    """One test table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sessions_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,12 +103,21 @@ def sessions_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SESSIONS: dict[tuple[str, str], tuple[DataFrame, int]] = {}
+_BUILT: dict[tuple, object] = {}
+_INPUTS = ("orders", "lineitem", "customer", "nation", "region")
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, build):
+    """``build()``, kept for the application as long as the input files stay the same."""
+    key = (application_id(spark), spark, what, *(signature(spark, f"{sf_dir}/{t}.parquet") for t in _INPUTS))
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
 
 
 def sessions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in session table, built once per application and scale
-    directory and written to the shared checkpoint folder.
+    """The stand-in session table, built once per application and input and
+    written to the shared checkpoint folder.
 
     The real input is a stored table; writing the stand-in once gives every
     report the same situation: a parquet scan with pruned struct fields and
@@ -118,8 +128,14 @@ def sessions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sessions_table_sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """``sessions_table`` and its row count (observed when it was written)."""
-    key = (application_id(spark), sf_dir)
-    got = _SESSIONS.get(key)
-    if got is None or got[0].sparkSession is not spark:
-        got = _SESSIONS[key] = write_table(sessions_from_testdata(spark, sf_dir), "sessions", count_rows=True)
-    return got
+    return _once(spark, sf_dir, "sessions", lambda: write_table(
+        sessions_from_testdata(spark, sf_dir), "sessions", count_rows=True))
+
+
+def sharded_sessions(spark: SparkSession, sf_dir: str) -> str:
+    """The stand-in as day shards, written once per application and input; returns its root."""
+    def build() -> str:
+        root = scratch_path(spark, "shards")
+        write_shards(sessions_table(spark, sf_dir), root, mode="errorifexists")
+        return root
+    return _once(spark, sf_dir, "shards", build)
