@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import io
 import re
-import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitstat.session import scratch_path
+
 # White space that separates words everywhere in this package (fixed value).
 SPACE = "\\x20\\x09-\\x0D"
 _CUT = re.compile(rb"[\x20\x09-\x0D]")
@@ -73,20 +75,35 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         start = end
 
 
+def filesystem(path: str):
+    """(file system, path in it) of a Hadoop-style path or URI."""
+    from pyarrow import fs
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
 _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this library to the executors (once per application), so that tasks can
-    import it where it is not installed."""
+    import it where it is not installed. The archive lies in the shared checkpoint folder."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     import visitstat
     top = Path(visitstat.__file__).parent
-    path = Path(tempfile.mkdtemp(prefix="visitstat-")) / "visitstat.zip"
-    with zipfile.ZipFile(path, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(path))
+    path = f"{scratch_path(spark, 'package')}/visitstat.zip"
+    fs, place = filesystem(path)
+    fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(place, compression=None) as out:
+        out.write(data.getvalue())
+    spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)

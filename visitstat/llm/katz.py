@@ -55,8 +55,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitstat.llm.arrays import pack, unpack
-from visitstat.llm.common import batches, text_bytes, word_blocks
-from visitstat.llm.token_files import filesystem
+from visitstat.llm.common import batches, filesystem, text_bytes, word_blocks
 from visitstat.session import scratch_path, write_table
 
 CUTOFF = 5                   # counts above it are not discounted

@@ -59,7 +59,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
 
     The weights repeat over the sources by code point, null last, and share the
     sum of all sizes. A target stops at ``cap`` times its source's size and the
-    excess is shared by weight again until no target is above: that is one
+    excess is shared by weight again until no target is above (the source table, a few
+    numbers per source of the mix, is put in order by one task): that is one
     level c with target = min(cap * size, c * weight). With the sources in order
     of cap * size / weight, c is found from running sums over the source table.
     """

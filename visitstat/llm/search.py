@@ -45,9 +45,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitstat.llm.arrays import pack, unpack
-from visitstat.llm.common import batches, text_bytes, word_blocks
+from visitstat.llm.common import batches, filesystem, text_bytes, word_blocks
 from visitstat.llm.katz import MESSAGE, gathered, hashes, messages, replies, reply, slices, word_order
-from visitstat.llm.token_files import filesystem
 from visitstat.session import scratch_path, write_table
 
 K1, B = 1.2, 0.75

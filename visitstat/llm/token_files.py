@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitstat.llm.common import batches, text_bytes
+from visitstat.llm.common import batches, filesystem, text_bytes
 from visitstat.llm.tokens import encoder
 
 # Fixed values of the file format.
@@ -51,16 +51,6 @@ DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frames", "<u4")])
 FRAME = np.dtype([("size", "<u4"), ("raw", "<u4"), ("sum", "<u4")])
 
 
-def filesystem(path: str):
-    """(file system, path in it) of a Hadoop-style path or URI."""
-    from pyarrow import fs
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    if "://" not in path:
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-
-
 class Writer:
     """Writes one file document by document; only the tables are kept in memory."""
 
