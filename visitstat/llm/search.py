@@ -80,7 +80,7 @@ def read_shards(docs: DataFrame, doc_id: str, text: str, is_query: Column, shard
             length, terms, tf = zip(*docs_)
             h = hashes(list(words))
             order = np.argsort(h)
-            place = np.empty(len(h), np.int64)
+            place = np.empty(len(h), np.int32)
             place[order] = np.arange(len(h))
             terms, count = [place[t] for t in terms], np.array([len(t) for t in terms], np.int64)
             flat = np.concatenate(terms)
@@ -96,9 +96,10 @@ def read_shards(docs: DataFrame, doc_id: str, text: str, is_query: Column, shard
             ids.append(b["id"])
             asked += b["q"].to_pylist()
             for t in b["t"]:
-                got = [np.fromiter(map(words.__getitem__, w), np.int64, len(w)) for w in word_blocks(t.as_py().lower())]
-                flat = np.concatenate([*got, np.zeros(0, np.int64)]).astype(np.int64)
-                docs_.append((len(flat), *np.unique(flat, return_counts=True)))
+                got = [np.fromiter(map(words.__getitem__, w), np.int32, len(w)) for w in word_blocks(t.as_py().lower())]
+                flat = np.concatenate([*got, np.zeros(0, np.int32)])
+                terms, tf = np.unique(flat, return_counts=True)
+                docs_.append((len(flat), terms, tf.astype(np.int32)))
                 n += len(flat)
             if n >= shard_words:
                 yield row(words, docs_, asked, ids)
@@ -138,11 +139,16 @@ class Shard:
         length, count, terms, tf, _ = unpack(index)
         self.hashes = unpack(words)[0].astype(np.uint64)
         self.n, size = len(length), np.bincount(terms, minlength=len(self.hashes))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = np.repeat(K1 * (1 - B + B * length / mean), count)
+        terms, tf = terms.astype(np.int32), tf.astype(np.float64)
+        adds = np.log1p((n - df + 0.5) / (df + 0.5))[terms]      # in place: the arrays are large
+        adds *= tf * (K1 + 1)
+        tf += np.repeat(K1 * (1 - B + B * length / mean), count)
+        adds /= tf
         order = np.argsort(terms, kind="stable")
-        self.docs = np.repeat(np.arange(self.n), count)[order]
-        self.adds = (idf[terms] * tf * (K1 + 1) / (tf + norm))[order]
+        del terms, tf
+        self.adds = adds[order]
+        self.docs = np.repeat(np.arange(self.n, dtype=np.int32), count)[order]
+        del adds, order
         self.end = size.cumsum()
         self.start = self.end - size
         self.top = np.zeros(len(self.hashes))                 # the most a word can add
