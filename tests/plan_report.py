@@ -53,7 +53,8 @@ def main():
         plan = buf.getvalue()
         print(f"| {name} | {s['hash']} | {s['range']} | {s['single']} | {s['bhj']} | {s['smj']} | "
               f"{s['window']} | {s['partial_agg']} |")
-        if name in ("daily_profile_trimmed", "segment_report", "shard_range", "histogram_total_revenue"):
+        if name in ("daily_profile_trimmed", "segment_report", "shard_range", "segment_report_range",
+                    "weekly_dynamics_range", "histogram_total_revenue"):
             details[name] = plan
     print("\n## Selected plans\n")
     for name, plan in details.items():
