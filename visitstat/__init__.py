@@ -8,13 +8,13 @@ Typical use::
     segment_report(sessions, country="United States").show()
 """
 
-from visitstat.operators.bins import bin_plan, expand_bins, histogram, histograms
+from visitstat.operators.bins import bin_counts, bin_plan, expand_bins, histogram, histograms, place_in_bins
 from visitstat.operators.profile import describe, frequency, group_profile, summarize
 from visitstat.operators.quantile import exact_quantiles, medians
 from visitstat.operators.sessions import flatten_sessions, revenue_sessions, session_extract, where_sessions
 from visitstat.operators.trim import log_trim
 from visitstat.plans.reports import (
-    country_bin_plan, country_bin_rows, country_bin_series, country_profile, daily_dynamics, daily_profile,
+    binned_revenue, revenue_bins, country_bin_plan, country_bin_rows, country_bin_series, country_profile, daily_dynamics, daily_profile,
     distribution_histogram, distributions, distributions_describe, segment_report, trimmed_revenue,
     weekly_dynamics, weekly_revenue, hits_frequency, country_frequency, revenue_frequency,
 )
@@ -23,7 +23,7 @@ from visitstat.sources.shards import list_tables, number_series, preview_rows, r
     write_shards
 
 __all__ = [
-    "bin_plan", "expand_bins", "histogram", "histograms", "describe", "frequency", "group_profile",
+    "bin_counts", "bin_plan", "binned_revenue", "expand_bins", "place_in_bins", "revenue_bins", "histogram", "histograms", "describe", "frequency", "group_profile",
     "summarize", "exact_quantiles", "medians", "flatten_sessions", "revenue_sessions", "session_extract",
     "where_sessions", "log_trim", "country_bin_plan", "country_bin_rows", "country_bin_series",
     "country_profile", "daily_dynamics", "daily_profile", "distribution_histogram", "distributions",
