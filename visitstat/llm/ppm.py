@@ -41,6 +41,7 @@ from visitstat.llm.common import batches, text_bytes
 MAX_ORDER = 4
 TRAIN_BYTES = 1 << 20      # sampled bytes per language
 RAW_BITS = 8.0             # a code of this many bits per byte is no better than the bytes themselves
+MAX_LANGUAGES = 1000       # more labels than this are an error
 UNKNOWN = "und"
 _START = b"\n" * MAX_ORDER     # what stands before a text
 _ASCII = re.compile(rb"[A-Za-z]")
@@ -170,7 +171,10 @@ def sample(labelled: DataFrame, train_bytes: int) -> tuple[list[str], DataFrame]
     and cut at the bound (the first text of a language is always kept).
     """
     src = labelled.select("lang", "t", F.octet_length("t").alias("size"), F.xxhash64("t").alias("h"))
-    totals = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.sum("size").alias("n")).collect()}
+    found = src.groupBy("lang").agg(F.sum("size").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: the column holds no language labels")
+    totals = {r["lang"]: r["n"] for r in found}
     langs = sorted(totals)
     if not langs:
         return [], src.select("lang", "t")
