@@ -59,7 +59,7 @@ from visitstat.llm.common import batches, filesystem, text_bytes, word_blocks
 from visitstat.session import scratch_path, write_table
 
 CUTOFF = 5                   # counts above it are not discounted
-BLOCK_TOKENS = 3_000_000     # a block ends with the document that passes this
+BLOCK_TOKENS = 1_000_000     # a block ends with the document that passes this
 BUCKET_TOKENS = 400_000      # tokens per bucket, on average
 START, END = 0, 1            # numbers of the start (a context only) and the end in every block
 MESSAGE = "bucket int, block bigint, data binary"
