@@ -128,7 +128,7 @@ def write_table(df, name: str = "table", count_rows: bool = False, observe: dict
     if metrics:
         obs = Observation(f"obs_{uuid.uuid4().hex}")
         df = df.observe(obs, *[c.alias(n) for n, c in metrics.items()])
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     if not metrics:
         return table
