@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitstat.llm.common import batches, text_bytes, word_blocks
+from visitstat.llm.common import batches, fresh, text_bytes, word_blocks
 from visitstat.llm.components import components
 from visitstat.session import write_table
 
@@ -133,8 +133,6 @@ def links(fps: DataFrame) -> DataFrame:
     keyed = ring_keys(fps).repartition("key").sortWithinPartitions("key", "fp")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, open_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
         def close(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Runs of equal keys, all of them whole."""
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
@@ -148,20 +146,19 @@ def links(fps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)],
                                                  ["a", "b"])
 
-        parts = []
+        parts, last = [], None                  # rows of the key that may go on
         for b in it:
             key = b["key"].to_numpy(zero_copy_only=False)
             fp = b["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
             if len(key) == 0:
                 continue
-            cut = int(np.searchsorted(key, key[-1]))           # the last run may go on
-            if cut == 0 and len(open_key) and open_key[0] == key[0]:
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut == 0 and last == key[0]:
                 parts.append((key, fp))
-                open_key = key
                 continue
             parts.append((key[:cut], fp[:cut]))
             yield from close(*(np.concatenate(x) for x in zip(*parts)))
-            parts, open_key = [(key[cut:], fp[cut:])], key[cut:]
+            parts, last = [(key[cut:], fp[cut:])], key[-1]
         if parts:
             yield from close(*(np.concatenate(x) for x in zip(*parts)))
 
@@ -184,7 +181,6 @@ def near_groups(docs: DataFrame, doc_id: Column, text: str = "text", words: int
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE) -> DataFrame:
     """One row (all columns) of each near-duplicate group: that with the smallest id."""
-    from visitstat.llm.common import fresh
     (row,) = fresh(docs.columns, "row")
     tagged = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "tagged")
     order = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"),
