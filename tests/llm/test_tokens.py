@@ -18,7 +18,7 @@ from visitstat.session import scratch_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
-PIECES = [" ", "  ", "\n", "\t", "a", "Word", "'s", "'ll", ".", ",", "?!", "12", "é", "漢字", "\u00a0", "\u0085", "\x1c", "²", "_",
+PIECES = [" ", "  ", "\n", "\nab", "b.\nC", "\n\n", "\t", "a", "Word", "'s", "'ll", ".", ",", "?!", "12", "é", "漢字", "\u00a0", "\u0085", "\x1c", "²", "_",
           "<|endoftext|>", "😀", "the", "ing"]
 
 

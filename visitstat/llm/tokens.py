@@ -12,8 +12,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 # An id is taken as part of a chunk only up to this length; longer chunks are
 # encoded each time and not kept. The cache starts anew beyond CACHE_CHUNKS.
@@ -21,7 +20,9 @@ CHUNK_CHARS = 64
 CACHE_CHUNKS = 1_000_000
 _SPLIT = re.compile(r" (?=\S)")
 _UNEVEN = re.compile(r" (?=\s|\Z)")     # a space that starts no piece
+_SPACE = re.compile(r"\s")
 _STOPS = ".,;:!?"
+_OLD_LETTERS = "\u0530"     # letters below it are in every version of the character tables
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,7 +41,9 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.cut = self._splits_at_spaces()
-        self.letters = byte_letters()
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.space, self.line = self.letters[0x20], self._ids("\n")
+        self.bare: dict[str, bytes] = {}
         self.stops: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
 
@@ -54,32 +57,46 @@ class Encoder:
                         for t in spec.get("added_tokens", [])))
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """One space and letters: a single piece, so the library's BPE model
+    def _word(self, space: str, word: str) -> bytes:
+        """Letters, after a space or not: a single piece, so the library's BPE model
         encodes it without the split pattern."""
-        letters = f" {word}".encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(space + letters)]).tobytes()
+
+    def _piece(self, text: str, space: str) -> bytes:
+        """The ids of ``space`` and a text without white space. Letters and the stops after
+        them are separate pieces, each kept on its own."""
+        word = text.rstrip(_STOPS)
+        if not word.isalpha() or not (word.isascii() or max(word) < _OLD_LETTERS):
+            return self._ids((" " if space else "") + text)
+        known = self.cache if space else self.bare
+        ids = known.get(word)
+        if ids is None:
+            if len(known) >= CACHE_CHUNKS:
+                known.clear()
+            ids = known[word] = self._word(space, word)
+        if len(word) < len(text):
+            stops = text[len(word):]
+            if stops not in self.stops:
+                self.stops[stops] = self._ids(stops)
+            ids += self.stops[stops]
+        return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        """The ids of a space and ``chunk``, which is not in the cache yet. Letters
-        and the stops after them are separate pieces, each kept on its own."""
+        """The ids of a space and ``chunk``, which is not in the cache yet. A line break
+        between two other characters is a piece of its own."""
         if len(chunk) > CHUNK_CHARS:
             return self._ids(f" {chunk}")
-        word = chunk.rstrip(_STOPS)
-        if not word.isalpha():
-            ids = self._ids(f" {chunk}")
-        else:
-            ids = self.cache.get(word) or self._word(word)
-            if len(self.cache) >= CACHE_CHUNKS:
-                self.cache.clear()
-            self.cache[word] = ids
-            if len(word) < len(chunk):
-                stops = chunk[len(word):]
-                if stops not in self.stops:
-                    self.stops[stops] = self._ids(stops)
-                ids += self.stops[stops]
+        if "\n" in chunk:
+            lines = chunk.split("\n")
+            if all(x and not _SPACE.search(x) for x in lines):
+                return self.line.join([self._piece(lines[0], self.space), *[self._piece(x, "") for x in lines[1:]]])
+            return self._ids(f" {chunk}")
+        ids = self._piece(chunk, self.space)
+        if len(self.cache) >= CACHE_CHUNKS:
+            self.cache.clear()
         self.cache[chunk] = ids
         return ids
 
