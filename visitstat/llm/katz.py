@@ -171,18 +171,21 @@ def replies(df: DataFrame, name: str) -> str:
     return path
 
 
-def reply(path: str, block: int) -> dict[int, list[np.ndarray]]:
-    """The replies to one block, by bucket."""
+def read_part(folder: str, columns: list[str]) -> Iterator[pa.Table]:
+    """The Parquet files of one partition folder; none if it does not exist."""
     import pyarrow.parquet as pq
     from pyarrow.fs import FileSelector
-    fs, place = filesystem(f"{path}/block={block}")
-    out = {}
-    for f in fs.get_file_info(FileSelector(place)):
+    fs, place = filesystem(folder)
+    for f in fs.get_file_info(FileSelector(place, allow_not_found=True)):
         if f.path.endswith(".parquet"):
             with fs.open_input_file(f.path) as source:
-                t = pq.ParquetFile(source).read(columns=["bucket", "data"])
-            out |= {b: unpack(d) for b, d in zip(t["bucket"].to_pylist(), t["data"].to_pylist())}
-    return out
+                yield pq.ParquetFile(source).read(columns=columns)
+
+
+def reply(path: str, block: int) -> dict[int, list[np.ndarray]]:
+    """The replies to one block, by bucket."""
+    return {b: unpack(d) for t in read_part(f"{path}/block={block}", ["bucket", "data"])
+            for b, d in zip(t["bucket"].to_pylist(), t["data"].to_pylist())}
 
 
 def discounts(n: dict[int, int], cutoff: int = CUTOFF) -> np.ndarray:

@@ -8,7 +8,8 @@ mean length are global: frequencies go through buckets of word hashes and come
 back to the shards that have the word.
 
 Search, per shard and query: a threshold is known from the start, the k-th best
-score in the query's own shard (found first, without pruning). The query's
+score in the query's own shard (found first, without pruning), and shards are searched
+in waves of doubling size, each starting from the k-th best of the waves before. The query's
 frequent words are ordered by the most they can add; those whose maxima
 together stay below the threshold are weak, they cannot bring a document in by
 themselves. Postings of the other words are added up, and a document is scored
@@ -46,15 +47,17 @@ from pyspark.sql import types as T
 
 from visitstat.llm.arrays import pack, unpack
 from visitstat.llm.common import batches, filesystem, text_bytes, word_blocks
-from visitstat.llm.katz import MESSAGE, gathered, hashes, messages, replies, reply, slices, word_order
+from visitstat.llm.katz import MESSAGE, gathered, hashes, messages, read_part, replies, reply, slices, word_order
 from visitstat.session import scratch_path, write_table
 
 K1, B = 1.2, 0.75
 TOP = 10
 BLOCK_DOCS = 64              # documents per block of the block maxima
 DENSE = 8                    # words in at least one of so many documents get a dense row
+FEW = 16                     # posting lists up to this length are gathered together
 SHARD_WORDS = 12_000_000     # a shard ends with the document that passes this
 BUCKET_WORDS = 400_000       # words of shards per bucket, on average
+FIRST_WAVE = 4               # shards searched before the thresholds are raised for the first time
 GROUP_QUERIES = 50_000       # queries a task runs against its shard
 DECIMALS, SLACK = 6, 1e-5    # scores are ranked after rounding; bounds are widened by the slack
 
@@ -146,23 +149,25 @@ class Shard:
         adds /= tf
         order = np.argsort(terms, kind="stable")
         del terms, tf
-        self.adds = adds[order]
-        self.docs = np.repeat(np.arange(self.n, dtype=np.int32), count)[order]
+        # postings by word: document and score part side by side
+        self.posts = np.column_stack([np.repeat(np.arange(float(self.n)), count)[order], adds[order]])
         del adds, order
         self.end = size.cumsum()
         self.start = self.end - size
         self.top = np.zeros(len(self.hashes))                 # the most a word can add
         has = np.flatnonzero(size)
         if len(has):
-            self.top[has] = np.maximum.reduceat(self.adds, self.start[has])
+            self.top[has] = np.maximum.reduceat(self.posts[:, 1], self.start[has])
         frequent = np.flatnonzero(size * DENSE >= max(self.n, BLOCK_DOCS))
         self.row = np.full(len(self.hashes), -1, np.int64)
         self.row[frequent] = np.arange(len(frequent))
         wide = -(-self.n // BLOCK_DOCS) * BLOCK_DOCS
         self.dense = np.zeros((len(frequent), wide))
         for i, w in enumerate(frequent):
-            s = slice(self.start[w], self.end[w])
-            self.dense[i, self.docs[s]] = self.adds[s]
+            s = self.posts[self.start[w]:self.end[w]]
+            self.dense[i, s[:, 0].astype(np.intp)] = s[:, 1]
+        long = np.flatnonzero((size > FEW) & (self.row < 0))
+        self.long = {w: self.posts[a:z] for w, a, z in zip(long.tolist(), self.start[long].tolist(), self.end[long].tolist())}
         self.by_doc = np.ascontiguousarray(self.dense.T)
         self.blocks = self.dense.reshape(len(frequent), wide // BLOCK_DOCS, BLOCK_DOCS).max(axis=2)
 
@@ -177,12 +182,10 @@ class Shard:
         sums = self.dense[strong].sum(axis=0)
         size = self.end[rare] - self.start[rare]
         # short posting lists by index arithmetic, longer ones as slices
-        few, n = rare[size <= 16], size[size <= 16]
+        few, n = rare[size <= FEW], size[size <= FEW]
         at = np.arange(n.sum()) + np.repeat(self.end[few] - n.cumsum(), n)
-        long = rare[size > 16]
-        spans = [slice(a, z) for a, z in zip(self.start[long].tolist(), self.end[long].tolist())]
-        sums += np.bincount(np.concatenate([self.docs[at], *[self.docs[s] for s in spans]]),
-                            np.concatenate([self.adds[at], *[self.adds[s] for s in spans]]), len(sums))
+        posts = np.concatenate([self.posts[at], *map(self.long.__getitem__, rare[size > FEW].tolist())])
+        sums += np.bincount(posts[:, 0].astype(np.intp), posts[:, 1], len(sums))
         bound = np.repeat(self.blocks[weak].sum(axis=0), BLOCK_DOCS)
         docs = np.flatnonzero((sums > 0) & (sums + bound >= level))
         chosen = np.zeros(len(self.dense))
@@ -201,7 +204,14 @@ class Asked:
     def __init__(self, part: int, ids: pa.Array, data: bytes):
         self.part, self.ids = part, ids
         self.rows, self.count, flat, *level = unpack(data)
-        self.flat, self.level = flat.astype(np.uint64), level[0] if level else np.zeros(len(self.rows))
+        self.flat, self.level = flat.astype(np.uint64), np.array(level[0]) if level else np.zeros(len(self.rows))
+
+    def raise_levels(self, path: str) -> None:
+        """Take over the thresholds of the waves before."""
+        for t in read_part(f"{path}/block={self.part}", ["row", "score"]):
+            for rows, scores in zip(t["row"], t["score"]):
+                at = np.searchsorted(self.rows, rows.values.to_numpy())
+                self.level[at] = np.maximum(self.level[at], scores.values.to_numpy() - SLACK)
 
     def run(self, shard: Shard, k: int, before) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, documents, scores) of each query that shares a word with the shard."""
@@ -269,12 +279,14 @@ def search(docs: DataFrame, is_query: Column, doc_id: str = "doc_id", text: str
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("part", T.LongType()), T.StructField("row", T.LongType()),
                            T.StructField("doc_id", kind), T.StructField("score", T.DoubleType())])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch], levels: str | None) -> Iterator[pa.RecordBatch]:
         for b in it:
             for r in range(b.num_rows):
                 row, ids = {c: b[c][r].as_py() for c in ("block", "index", "words")}, b["ids"][r].values
                 shard, before = open_shard(row, ids, counts, buckets, n, mean)
                 for asked in read_queries(queries, b["g"][r].as_py(), groups):
+                    if levels:
+                        asked.raise_levels(levels)
                     got = list(asked.run(shard, k, before))
                     who = np.repeat([q for q, *_ in got], [len(d) for _, d, _ in got]).astype(np.int64)
                     if len(who):
@@ -283,12 +295,40 @@ def search(docs: DataFrame, is_query: Column, doc_id: str = "doc_id", text: str
                             [asked.ids.take(pa.array(who)), pa.array(np.full(len(who), asked.part)), pa.array(asked.rows[who]),
                              ids.take(found), pa.array(np.concatenate([s for *_, s in got]))], [f.name for f in schema])
 
-    tasks = shards.select("block", "ids", "index", "words", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     order = Window.partitionBy("part", "row").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
-    best = tasks.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best, levels = None, None
+    for wave in waves(sorted(r["block"] for r in shards.select("block").collect())):
+        tasks = shards.filter(F.col("block").between(wave[0], wave[-1])).select(
+            "block", "ids", "index", "words", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+        found = tasks.mapInArrow(lambda it, path=levels: run(it, path), schema)
+        found = found if best is None else best.drop("rank").union(found)
+        best = write_table(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "best")
+        levels = write_levels(best, k)
+    if best is None:
+        return spark.createDataFrame([], T.StructType([T.StructField("query_id", kind), T.StructField("doc_id", kind),
+                                                       T.StructField("rank", T.IntegerType()),
+                                                       T.StructField("score", T.DoubleType())]))
     return best.select("query_id", "doc_id", "rank", "score")
 
 
+def waves(blocks: list[int]) -> Iterator[list[int]]:
+    """The shards in waves, each twice as large as the one before: few rows of a wave get past
+    thresholds that half of the shards before it have raised."""
+    at, size = 0, FIRST_WAVE
+    while at < len(blocks):
+        yield blocks[at:at + size]
+        at, size = at + size, 2 * size
+
+
+def write_levels(best: DataFrame, k: int) -> str:
+    """The k-th best score so far of every query that has k results, by part; returns the path."""
+    kth = best.filter(F.col("rank") == k).groupBy(F.col("part").alias("block")).agg(
+        F.collect_list(F.struct("row", "score")).alias("l"))
+    path = scratch_path(best.sparkSession, "levels")
+    kth.select("block", F.col("l.row").alias("row"), F.col("l.score").alias("score")).write.partitionBy("block").parquet(path)
+    return path
+
+
 def read_queries(path: str, g: int, groups: int) -> Iterator[Asked]:
     """The query parts in group ``g``, one at a time."""
     import pyarrow.parquet as pq
