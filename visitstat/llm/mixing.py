@@ -233,6 +233,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     tagged = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "tagged")
     plan = mix(tagged, doc_id, text, source, tag=F.col(row), **how)
     plan = plan.filter("copies > 0").select(F.col("tag").alias(row), F.col("copies").cast("int").alias(copies))
-    taken = tagged.join(plan, row)
+    # the plan grows with the documents: a shuffle join at every size
+    taken = tagged.join(plan.hint("merge"), row)
     return taken.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(
         *[F.col(f"`{c}`") for c in docs.columns])

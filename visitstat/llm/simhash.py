@@ -187,4 +187,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
                      F.col(row).alias("row"))
     groups = near_groups(tagged, order, text, words)
     kept = groups.filter(F.col("id") == F.col("component")).select(F.col("id.row").alias(row))
-    return tagged.join(kept, row, "left_semi").drop(row)
+    # the kept rows grow with the documents: a shuffle join at every size
+    return tagged.join(kept.hint("merge"), row, "left_semi").drop(row)
