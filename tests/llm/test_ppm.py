@@ -86,6 +86,42 @@ def test_sample_is_bounded_and_whole_for_small_languages(spark):
     assert langs == ["de", "en"] and size["de"] == 8 and 10_000 < size["en"] <= 20_000
 
 
+def test_languages_of_a_few_long_texts_fill_their_sample(spark):
+    """Texts above the bound are sampled in pieces; a long one neither ends nor empties the sample."""
+    rng = random.Random(6)
+    bound = 6_400
+    data = [(i, prose(rng, "en", 40_000), "en", "s") for i in range(10)]
+    data += [(100 + i, prose(rng, "de", 40_000 if i < 3 else 5), "de", "s") for i in range(300)]
+    data += [(500 + i, "immer derselbe Satz " * 20, "copies", "s") for i in range(200)]
+    src = frame(spark, data).select("lang", F.col("text").cast("binary").alias("t"))
+    langs, rows_ = ppm.sample(src, bound)
+    got = rows_.collect()
+    size = Counter()
+    for r in got:
+        size[r.lang] += len(r.t)
+    assert langs == ["copies", "de", "en"] and size["copies"] == 400
+    for x in ("de", "en"):
+        assert bound - bound // ppm.PIECES < size[x] <= bound
+    texts = {x: [r[1].encode() for r in data if r[2] == x] for x in langs}
+    for r in got:                              # a piece follows its lead in a text, or begins one
+        assert len(r.lead) in (0, ppm.MAX_ORDER)
+        assert any(t.startswith(r.t) if not r.lead else r.lead + r.t in t for t in texts[r.lang])
+    model = ppm.fit(src, bound)
+    probe = [prose(rng, x, 30).encode() for x in ("en", "de") * 5]
+    assert [g[0] for g in ppm.score(probe, model)] == ["en", "de"] * 5
+    assert {r.lang for r in ppm.sample(src, 1)[1].collect()} == set(langs)       # the smallest piece stays
+
+
+def test_counts_of_pieces_are_those_of_whole_texts(spark):
+    rng = random.Random(7)
+    data = [(i, prose(rng, "en", 400), "en", "s") for i in range(3)]
+    total = sum(len(r[1]) for r in data)
+    model = ppm.train(frame(spark, data), F.lit(True), train_bytes=total)
+    texts = [prose(rng, "en", 30).encode(), b"other"]
+    for t, bits in zip(texts, model.lengths(texts)):
+        assert bits[0] == pytest.approx(plain_length(t, [r[1].encode() for r in data]), rel=1e-5, abs=1e-3)
+
+
 def test_without_labels_and_empty_table(spark):
     empty = frame(spark, [])
     model = ppm.train(empty, F.lit(True))

@@ -13,8 +13,8 @@ shortest code for the whole text; its score is that code's share,
 2^-length over the sum of 2^-length of all languages.
 
 Fitting uses a bounded sample: at most ``TRAIN_BYTES`` bytes of different texts
-per language (all of them where a language has fewer), chosen by a hash of the
-text. That bounds the trees (at most MAX_ORDER + 1 counts per sampled byte),
+per language (all of them where a language has fewer), in pieces of at most a
+``PIECES``-th of that, chosen by a hash of text and place. That bounds the trees (at most MAX_ORDER + 1 counts per sampled byte),
 which are broadcast. Every text is scored whole. Neither lang, source nor id
 is an input of a prediction.
 
@@ -40,6 +40,7 @@ from visitstat.llm.common import batches, text_bytes
 
 MAX_ORDER = 4
 TRAIN_BYTES = 1 << 20      # sampled bytes per language
+PIECES = 64                # a sampled piece is at most this part of the sample
 RAW_BITS = 8.0             # a code of this many bits per byte is no better than the bytes themselves
 MAX_LANGUAGES = 1000       # more labels than this are an error
 UNKNOWN = "und"
@@ -164,28 +165,47 @@ class Model:
 
 
 def sample(labelled: DataFrame, train_bytes: int) -> tuple[list[str], DataFrame]:
-    """Languages, and (lang, t): different texts of about ``train_bytes`` bytes per language.
-
-    One pass gives each language's bytes; a hash threshold per language then
-    leaves little more than the bound, and only that remainder is put in order
-    and cut at the bound (the first text of a language is always kept).
+    """Languages, and (lang, lead, t): pieces ``t`` of different texts, about ``train_bytes`` bytes
+    per language, with the at most MAX_ORDER bytes ``lead`` before them in their text.
+
+    Texts are cut into pieces of at most a ``PIECES``-th of the bound, each with a hash of its own,
+    so a long text is sampled like short ones and the bound is filled up to one piece. One pass over
+    the different texts gives each language's bytes and smallest hash; a threshold per language then
+    leaves little more than the bound and always that smallest piece, and only this remainder
+    is put in order and cut at the bound.
     """
+    size = max(1, train_bytes // PIECES)
     src = labelled.select("lang", "t", F.octet_length("t").alias("size"), F.xxhash64("t").alias("h"))
-    found = src.groupBy("lang").agg(F.sum("size").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    last = F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / F.lit(size)).cast("int")
+
+    def place(i: Column) -> Column:
+        return F.pmod(F.xxhash64("h", i), F.lit(1 << 30))
+
+    texts = src.groupBy("lang", "h").agg(F.max("size").alias("size"))        # copies count once
+    first = F.array_min(F.transform(F.sequence(F.lit(0), last), place))
+    found = texts.groupBy("lang").agg(F.sum("size").alias("n"), F.min(first).alias("first"))
+    found = found.limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: the column holds no language labels")
-    totals = {r["lang"]: r["n"] for r in found}
-    langs = sorted(totals)
+    langs = sorted(r["lang"] for r in found)
     if not langs:
-        return [], src.select("lang", "t")
-    # a language's share of hash values; 3 x the bound leaves room for copies and uneven lengths
-    share = F.create_map(*[F.lit(v) for x in langs for v in (x, min(1.0, 3.0 * train_bytes / max(totals[x], 1)))])
-    near = src.filter(F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * F.lit(1 << 30))
-    near = near.dropDuplicates(["lang", "h"])
-    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
-    cut = near.select("lang", "h", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-                      F.row_number().over(order).alias("nth")).filter((F.col("upto") <= train_bytes) | (F.col("nth") == 1))
-    return langs, near.join(cut.select("lang", "h"), ["lang", "h"], "left_semi").select("lang", "t")
+        return [], src.select("lang", F.lit(b"").alias("lead"), "t")
+    # a language's share of hash values; 3 x the bound leaves room for uneven lengths
+    below = {r["lang"]: max(int(min(1.0, 3.0 * train_bytes / max(r["n"], 1)) * (1 << 30)), r["first"] + 1) for r in found}
+    limit = F.element_at(F.create_map(*[F.lit(v) for x in langs for v in (x, below[x])]), F.col("lang"))
+
+    def piece(i: Column) -> Column:
+        at = i * F.lit(size)
+        lead = F.least(at, F.lit(MAX_ORDER))
+        return F.struct(F.xxhash64("h", i).alias("g"), F.substring(F.col("t"), at - lead + 1, lead).alias("lead"),
+                        F.substring(F.col("t"), at + 1, F.lit(size)).alias("t"))
+
+    src = src.withColumn("below", limit)
+    some = F.transform(F.filter(F.sequence(F.lit(0), last), lambda i: place(i) < F.col("below")), piece)
+    near = src.select("lang", F.explode(some).alias("p")).select("lang", "p.*").dropDuplicates(["lang", "g"])
+    order = Window.partitionBy("lang").orderBy(F.pmod("g", F.lit(1 << 30)), "g")
+    upto = F.sum(F.octet_length("t")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return langs, near.withColumn("upto", upto).filter(F.col("upto") <= max(train_bytes, 1)).select("lang", "lead", "t")
 
 
 def fit(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
@@ -197,11 +217,11 @@ def fit(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, size=1 << 20):
-            by: dict[int, list[bytes]] = {}
-            for x, t in zip(b["lang"].to_pylist(), b["t"]):
-                by.setdefault(number[x], []).append(t.as_py())
-            for x, texts in by.items():
-                code = np.concatenate([p for t in texts for p in pieces(t)] or [np.zeros(0, np.uint64)])
+            by: dict[int, list[np.ndarray]] = {}
+            for x, lead, t in zip(b["lang"].to_pylist(), b["lead"].to_pylist(), b["t"].to_pylist()):
+                by.setdefault(number[x], []).append(codes(lead + t)[len(lead):])
+            for x, found in by.items():
+                code = np.concatenate(found)
                 for k in range(MAX_ORDER + 1):
                     g, c = np.unique(code & mask(k), return_counts=True)
                     yield pa.RecordBatch.from_arrays(
