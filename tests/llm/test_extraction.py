@@ -85,6 +85,35 @@ def test_reader_and_features():
     assert read('<p class="never closed>text</p>')[1]
 
 
+def test_text_straight_in_the_page_is_a_node_of_its_own(spark):
+    nodes, segments = read('a <font>b</font><h1>c</h1><span data-y="1">d</span> <a href="/">e</a><br>f<div>g</div> <hr>h')
+    assert [(nodes[i].tag, nodes[i].parent, nodes[i].label, t) for i, t in segments] == [
+        ("", 0, "", "a b"), ("h1", 0, "", "c"), ("", 0, "1", "d e f"), ("div", 0, "", "g"), ("", 0, "", "h")]
+    assert nodes[0].own == 0 and nodes[0].children == [1, 2, 3, 4, 5]
+    one, two = "First paragraph, of some length. It goes on. ", "Second paragraph, which is longer, and ends here. "
+    pages = [f"<body><h1>Title</h1>{one * 3}<br><br>{two * 4}</body>",
+             f'<body><div class="menu"><a href="/">Home</a> <a href="/">News</a></div><h1>Title</h1><font size=2>{one * 4}</font>'
+             f"<p>{two * 3}</p><x-y>{one * 2}</x-y><footer>&copy; Site</footer></body>"]
+    df = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    got = [r.text for r in extract(df, train(spark)).collect()]
+    one, two = one.strip(), two.strip()
+    assert got == ["\n".join(["Title", " ".join([one] * 3 + [two] * 4)]),
+                   "\n".join(["Title", " ".join([one] * 4), " ".join([two] * 3), " ".join([one] * 2)])]
+
+
+def test_unseen_bare_text(trees):
+    """Held-out layouts: runs of text straight in the page are labelled right nearly always."""
+    wrong = total = 0
+    for seed in range(60_003, 61_003, 4):
+        nodes, _ = read(Layouts(seed).page())
+        kept = decode(nodes, trees.probability(features(nodes)))
+        bare = [(n.label == "1", k) for n, k in zip(nodes[1:], kept[1:]) if not n.tag]
+        assert all(n.label for n in nodes[1:])
+        total += len(bare)
+        wrong += sum(y != k for y, k in bare)
+    assert total > 200 and wrong / total < 0.05
+
+
 def test_empty_table(spark, trees):
     df = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert extract(df, trees).collect() == []

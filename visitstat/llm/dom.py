@@ -14,6 +14,7 @@ KINDS = {
     "section": "section", "p": "p", "heading": "h1 h2 h3 h4 h5 h6", "list": "ul ol dl", "item": "li dt dd",
     "table": "table tbody thead tfoot tr td th caption", "form": "form fieldset", "figure": "figure figcaption",
     "quote": "blockquote pre address", "div": "div center details summary hr",
+    "bare": "",            # text straight in the page: an anonymous block, its tag is empty
 }
 WORDS = {
     "menu": "nav navbar navigation menu menubar topnav subnav breadcrumb breadcrumbs crumbs tabs toolbar pager pagination "
@@ -32,7 +33,7 @@ WORDS = {
 # Elements whose content is never text of the page, and elements without content.
 SKIPPED = ("script style noscript template iframe object svg canvas head title select button textarea audio video map "
            "noframes xmp").split()
-BLOCK = {tag: kind for kind, tags in KINDS.items() for tag in tags.split()}
+BLOCK = {tag: kind for kind, tags in KINDS.items() for tag in tags.split() or [""]}
 WORD = {w: g for g, ws in WORDS.items() for w in ws.split()}
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
 
@@ -45,7 +46,8 @@ _PUNCT = re.compile(r"[.!?,;:]")
 
 @dataclass
 class Node:
-    """A block element. Sums over the subtree are filled in when reading is over."""
+    """A block element, or a run of text straight in the page. Sums over the subtree are
+    filled in when reading is over."""
 
     tag: str
     parent: int
@@ -76,23 +78,30 @@ def attributes(raw: str) -> tuple[frozenset, str]:
 
 def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(nodes, segments): nodes in page order, node 0 standing for the page, and the
-    text segments (node, text) between block borders, references decoded."""
+    text segments (node, text) between block borders, references decoded. Each run of text
+    that lies in no block is a node of its own below node 0, which has no text itself."""
     nodes, stack, segments = [Node("", -1, 0)], [0], []
     run: list[str] = []
     linked, in_link, at, size = 0, 0, 0, len(page)
+    bare = ""                  # training label of the run that lies in no block
 
     def flush() -> None:
-        nonlocal run, linked
+        nonlocal run, linked, bare
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                n = nodes[stack[-1]]
+                at = stack[-1]
+                if at == 0:
+                    at = len(nodes)
+                    nodes.append(Node("", 0, 1, label=bare))
+                    nodes[0].children.append(at)
+                n = nodes[at]
                 n.own += len(text)
                 n.words += text.count(" ") + 1
                 n.links += min(linked, len(text))
                 n.punct += len(_PUNCT.findall(text))
-                segments.append((stack[-1], text))
-        run, linked = [], 0
+                segments.append((at, text))
+        run, linked, bare = [], 0, ""
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -132,6 +141,8 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     if nodes[stack[i]].tag == tag:
                         del stack[i:]
                         break
+        elif not closing and len(stack) == 1 and "data-y" in raw:
+            bare = attributes(raw)[1]
         # other elements are inline: their text belongs to the block around them
     flush()
     for n in nodes:

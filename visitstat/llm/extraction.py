@@ -1,6 +1,7 @@
 """Main-text extraction: gradient-boosted trees over DOM-node features.
 
-Each block element of a page is a node with features of its own (element,
+Each block element of a page, and each run of text that lies in none, is a node
+with features of its own (element,
 attribute words), its ancestors, its subtree (text, link and punctuation
 density, paragraphs), its depth and place, and its siblings. Boosted trees
 give the probability that a node belongs to the main text. Decoding is
@@ -166,9 +167,9 @@ def extract_pages(pages: list[str], trees: Trees) -> list[str]:
     for nodes, segments in parsed:
         kept = decode(nodes, p[at:at + len(nodes)])
         at += len(nodes)
-        # text straight in the page belongs to no block: it counts where no block was kept
-        own = any(kept[i] for i, _ in segments if i)
-        out.append("\n".join(t for i, t in segments if kept[i] and (i or not own)))
+        # where nothing at all is kept, the text straight in the page is
+        some = any(kept[i] for i, _ in segments)
+        out.append("\n".join(t for i, t in segments if (kept[i] if some else not nodes[i].tag)))
     return out
 
 

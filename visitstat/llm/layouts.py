@@ -4,6 +4,8 @@ pages are made of, every block element marked with ``data-y`` (1 content, 0 not)
 The rules follow common page conventions: landmarks or plain divs, class and id
 words in several spellings or none, end tags left out, boilerplate before,
 beside, after and inside the article, reader comments in the same prose as it.
+One page in four has text straight in the body, in inline elements at most; there
+an inline element carries the mark.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ NAMES = {
 class Layouts:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.seed = seed
 
     def word(self) -> str:
         return "".join(self.r.choices(_SYLLABLES, k=self.r.randint(1, 4)))
@@ -140,7 +143,53 @@ class Layouts:
             body = self.tag("div", 1, body, "content", 0.8)
         return self.tag(name, 1, title + body, "content", 0.4 if name in ("article", "main") else 0.9)
 
+    def bare(self, y: int, body: str) -> str:
+        """Text in no block element; the inline element around it or in it only carries the mark."""
+        name = self.r.choice(["span", "span", "font", "b", "x-text"])
+        return f'<{name} data-y="{y}">{body}</{name}>' if self.r.random() < 0.5 else f'<{name} data-y="{y}"></{name}>{body}'
+
+    def bare_links(self) -> str:
+        mark = self.r.choice([" | ", " ", " &middot; "])
+        return mark.join(f'<a href="/">{self.words(1, 2)}</a>' for _ in range(self.r.randint(2, 12)))
+
+    def bare_page(self) -> str:
+        """The body of a page whose article, and often other parts too, lie straight in it."""
+        if self.r.random() < 0.15:
+            return self.bare(1, self.words(1, 12) if self.r.random() < 0.5 else self.prose(1, 7))
+        parts = []                             # (label of bare text or None, html)
+        if self.r.random() < 0.6:
+            parts.append(self.r.choice([lambda: (None, self.header()), lambda: (None, self.menu()),
+                                        lambda: (0, self.bare(0, self.bare_links()))])())
+        if self.r.random() < 0.75:
+            parts.append((None, self.tag(self.r.choice(["h1", "h1", "h2"]), 1, self.words(1, 10))))
+        first, share = len(parts), self.r.choice([0.2, 0.5, 0.8, 1.0])
+        for _ in range(self.r.choice([1, 2, 3, 5, 8, 12])):
+            if self.r.random() < share:
+                runs = [self.prose(1, 9) if self.r.random() < 0.85 else self.words(2, 12)
+                        for _ in range(self.r.choice([1, 1, 2, 4]))]
+                text = "<br><br>".join(runs)
+                if self.r.random() < 0.25:
+                    text = text.replace(" ", f' <a href="/">{self.word()}</a> ', 1)
+                parts.append((1, self.bare(1, text)))
+            else:
+                parts.append((None, self.paragraph()))
+        if self.r.random() < 0.3:
+            parts.insert(self.r.randint(first, len(parts)), (None, self.small(self.r.choice(["ad", "ad", "share", "notice", "form"]))))
+        if self.r.random() < 0.2:
+            parts.append((None, self.r.choice([self.side, self.comments])()))
+        if self.r.random() < 0.7:
+            parts.append(self.r.choice([lambda: (None, self.footer()), lambda: (0, self.bare(0, self.bare_links())),
+                                        lambda: (0, self.bare(0, f"&copy; {self.words(1, 3)} &middot; {self.words(1, 6)}"))])())
+        out, last = "", None
+        for y, part in parts:
+            if y is not None:                  # a bare run begins after the paragraph, and ends before one of another label
+                out += "</p>" if last is None else "<hr>" if last != y else "<br>"
+            out, last = out + part, y
+        return out
+
     def page(self) -> str:
+        if self.seed % 4 == 3:
+            return f"<html><head><title>{self.words(2, 6)}</title></head><body>{self.bare_page()}</body></html>"
         some = lambda p, f: f() if self.r.random() < p else ""
         middle = [self.article()]
         if self.r.random() < 0.45:
