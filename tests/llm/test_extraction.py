@@ -114,6 +114,13 @@ def test_unseen_bare_text(trees):
     assert total > 200 and wrong / total < 0.05
 
 
+def test_same_tag_is_counted_at_every_size():
+    for n in (3, 70):
+        nodes, _ = read("<article><h1>a</h1>" + "<p>b</p>" * n + "<div>c</div></article>")
+        same = features(nodes)[:, FEATURES.index("same_tag")]
+        assert np.allclose(np.expm1(same[2:]), [1, *[n] * n, 1])
+
+
 def test_empty_table(spark, trees):
     df = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert extract(df, trees).collect() == []

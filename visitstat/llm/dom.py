@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -182,6 +183,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     inside = [()] * len(nodes)                 # (kinds, groups) of the ancestors
     total, before = max(nodes[0].chars, 1), 0
     inner = ("nav", "header", "footer", "aside", "article", "form")
+    alike = Counter((n.parent, n.tag) for n in nodes[1:])
     for i, n in enumerate(nodes):
         if i == 0:
             inside[0] = (frozenset(), frozenset())
@@ -199,7 +201,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         for g in up[1]:
             row[kinds + groups + len(inner) + GROUP_NAMES.index(g)] = 1
         sib = p.children
-        same = sum(nodes[s].tag == n.tag for s in sib) if len(sib) <= 64 else len(sib)
+        same = alike[n.parent, n.tag]
         row[kinds + 2 * groups + len(inner):] = (
             np.log1p(n.chars), np.log1p(n.words), n.links / max(n.chars, 1), n.punct / max(n.words, 1), np.log1p(n.blocks),
             np.log1p(n.chars / n.blocks), np.log1p(n.paragraphs), n.own / max(n.chars, 1), n.depth, i / len(nodes),
