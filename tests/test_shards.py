@@ -143,3 +143,15 @@ def test_stand_in_follows_its_input(spark, tmp_path):
     few = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(7).toPandas()
     spark.createDataFrame(few).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
     assert sessions_table(spark, str(tmp_path)).count() == 7
+
+
+def test_mixed_shards_hold_all_days_and_the_range_selects(spark):
+    from visitstat.plans.catalog import MIXED_HI, MIXED_LO, query
+    from visitstat.sources.testdata import mixed_sharded_sessions, sessions_table
+    sf_dir = "/root/testdata/sf0.001"
+    every = read_shards(spark, mixed_sharded_sessions(spark, sf_dir))
+    assert every.count() == sessions_table(spark, sf_dir).count()
+    assert every.where(~F.col("table_suffix").between(MIXED_LO, MIXED_HI)).count() > 0
+    got = sorted(r.table_suffix for r in query("shard_range_mixed")(spark, sf_dir).collect())
+    assert got == sorted(r[0] for r in every.select("table_suffix").collect() if MIXED_LO <= r[0] <= MIXED_HI)
+    assert any(x.endswith("A") for x in got) and any(x.isdigit() for x in got)

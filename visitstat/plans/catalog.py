@@ -18,9 +18,8 @@ from visitstat.functions import round_half_up
 from visitstat.operators.bins import histogram
 from visitstat.operators.sessions import flatten_sessions, revenue_sessions, session_extract
 from visitstat.plans import reports as R
-from visitstat.session import scratch_path
-from visitstat.sources.shards import SUFFIX, read_shards, preview_rows, write_shards
-from visitstat.sources.testdata import sessions_table, sessions_table_sized, sharded_sessions
+from visitstat.sources.shards import read_shards, preview_rows
+from visitstat.sources.testdata import mixed_sharded_sessions, sessions_table, sessions_table_sized, sharded_sessions
 
 # Fixed parameters of the registered queries.
 SHARD_LO, SHARD_HI = "19970601", "19970631"   # a one-month suffix range (June 31 is no day)
@@ -117,13 +116,8 @@ def _range_rows(days: DataFrame) -> DataFrame:
 
 
 def _mixed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A month of shards in which every order of one status lies in a folder whose name is
-    no digit string (its day with a letter in the last place): the text range takes them alike."""
-    month = sessions_table(spark, sf_dir).where(F.col(SUFFIX).between(MIXED_LO[:6], MIXED_HI[:6] + "99"))
-    odd = F.when(F.col("device.browser") == "O", F.concat(F.substring(SUFFIX, 1, 7), F.lit("A"))).otherwise(F.col(SUFFIX))
-    root = scratch_path(spark, "mixed_shards")
-    write_shards(month.withColumn(SUFFIX, odd), root, mode="errorifexists")
-    return read_shards(spark, root, MIXED_LO, MIXED_HI)
+    """A text range over shards of which some folders are not named by digits: it takes them alike."""
+    return read_shards(spark, mixed_sharded_sessions(spark, sf_dir), MIXED_LO, MIXED_HI)
 
 
 def _pages_over(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,3 +139,15 @@ def sharded_sessions(spark: SparkSession, sf_dir: str) -> str:
         write_shards(sessions_table(spark, sf_dir), root, mode="errorifexists")
         return root
     return _once(spark, sf_dir, "shards", build)
+
+
+def mixed_sharded_sessions(spark: SparkSession, sf_dir: str) -> str:
+    """All days as shards in which every order of one status lies in a folder whose name is no digit
+    string (its day with a letter in the last place); written once like ``sharded_sessions``."""
+    def build() -> str:
+        odd = F.when(F.col("device.browser") == "O", F.concat(F.substring("table_suffix", 1, 7), F.lit("A")))
+        root = scratch_path(spark, "mixed_shards")
+        rows = sessions_table(spark, sf_dir).withColumn("table_suffix", odd.otherwise(F.col("table_suffix")))
+        write_shards(rows, root, mode="errorifexists")
+        return root
+    return _once(spark, sf_dir, "mixed_shards", build)
