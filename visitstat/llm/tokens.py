@@ -22,6 +22,8 @@ _SPLIT = re.compile(r" (?=\S)")
 _UNEVEN = re.compile(r" (?=\s|\Z)")     # a space that starts no piece
 _SPACE = re.compile(r"\s")
 _STOPS = ".,;:!?"
+_SINGLE = re.compile(r"(?<=[^ ]) (?=[^ ])")
+_INNER = re.compile("[^\u2581]\u2581")   # a piece that goes on after a space
 _OLD_LETTERS = "\u0530"     # letters below it are in every version of the character tables
 
 
@@ -34,12 +36,14 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """ids of texts under one tokenizer file, as little-endian unsigned 32-bit bytes."""
+    """ids of texts under one tokenizer file, as little-endian unsigned 32-bit bytes.
+    With ``plain`` the strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # the tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.cut = self._splits_at_spaces()
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.space, self.line = self.letters[0x20], self._ids("\n")
@@ -113,11 +117,60 @@ class Encoder:
         return first + b"".join(found)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+class PieceEncoder:
+    """ids of texts under one sentencepiece model, as little-endian unsigned 32-bit bytes.
+
+    The model writes a space as a letter of its own and puts one before the text. Where
+    no piece has that letter after another one, nothing is merged across a space that
+    follows a character, so a text is cut at single spaces and each distinct chunk is
+    encoded once (the cache is bounded as that of ``Encoder``). A text that has that
+    letter itself is encoded whole.
+    """
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+        self.model = SentencePieceProcessor(model_file=path)
+        self.pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.cut = not any(_INNER.search(p) for p in self.pieces) and self._ids("x") + self._ids("x") == self._ids("x x")
+        self.cache: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.model.encode(text, num_threads=1)).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        ids = self._ids(chunk)
+        if len(chunk) <= CHUNK_CHARS:
+            if len(self.cache) >= CACHE_CHUNKS:
+                self.cache.clear()
+            self.cache[chunk] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids of one whole text."""
+        if not text or not self.cut or "\u2581" in text:
+            return self._ids(text) if text else b""
+        even = "  " not in text and text[0] != " " and text[-1] != " "
+        chunks = text.split(" ") if even else _SINGLE.split(text)
+        found = list(map(self.cache.get, chunks))
+        if None in found:
+            miss = self._chunk
+            found = [miss(c) if ids is None else ids for c, ids in zip(chunks, found)]
+        return b"".join(found)
+
+
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_PIECES: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """The worker's encoder of a tokenizer file (loaded once per Python worker)."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = Encoder(path, plain)
+    return _ENCODERS[path, plain]
+
+
+def piece_encoder(path: str) -> PieceEncoder:
+    """The worker's encoder of a sentencepiece model (loaded once per Python worker)."""
+    if path not in _PIECES:
+        _PIECES[path] = PieceEncoder(path)
+    return _PIECES[path]
