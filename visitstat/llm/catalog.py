@@ -23,6 +23,7 @@ MODULES = {
     "op8_packing": "op8",
     "op9_extraction": "op9",
     "op10_host_rules": "op10",
+    "op11_nearest": "op11",
     "op12_prefix_trie": "op12",
     "op13_alignment": "op13",
 }
