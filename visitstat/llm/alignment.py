@@ -45,8 +45,9 @@ from visitstat.llm.common import batches, text_bytes
 from visitstat.llm.tokens import byte_letters, encoder, piece_encoder
 from visitstat.session import write_table
 
-BATCH_BYTES = 1 << 20        # text bytes of a batch
-BLOCK_PAIRS = 2_000_000      # a block ends with the batch that passes so many (document, pair) rows
+BATCH_BYTES = 1 << 19        # text bytes of a batch
+CACHE_CHUNKS = 250_000       # chunks of text whose ids each tokenizer keeps
+BLOCK_PAIRS = 1_000_000      # a block ends with the batch that passes so many (document, pair) rows
 SLICE = 1 << 20              # links expanded at once
 
 
@@ -74,7 +75,7 @@ class Side:
 
 def byte_side(path: str) -> Side:
     """A byte-level BPE file of the tokenizers library; special tokens' strings are plain text."""
-    enc = encoder(path, plain=True)
+    enc = encoder(path, plain=True, limit=CACHE_CHUNKS)
     vocabulary = enc.tokenizer.get_vocab(with_added_tokens=True)
     back = {c: b for b, c in byte_letters().items()}
     entries = [b""] * (max(vocabulary.values()) + 1)
@@ -85,7 +86,7 @@ def byte_side(path: str) -> Side:
 
 def piece_side(path: str) -> Side:
     """A sentencepiece model, which puts the space before the text itself."""
-    enc = piece_encoder(path)
+    enc = piece_encoder(path, limit=CACHE_CHUNKS)
     entries = [bytes([int(p[3:5], 16)]) if enc.model.is_byte(i) else p.replace("▁", " ").encode()
                for i, p in enumerate(enc.pieces)]
     return Side(enc.encode, entries, "")

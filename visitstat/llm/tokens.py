@@ -37,13 +37,14 @@ def byte_letters() -> dict[int, str]:
 
 class Encoder:
     """ids of texts under one tokenizer file, as little-endian unsigned 32-bit bytes.
-    With ``plain`` the strings of special tokens are ordinary text."""
+    With ``plain`` the strings of special tokens are ordinary text; ``limit`` bounds the cache."""
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, limit: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # the tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
+        self.limit = limit
         self.cut = self._splits_at_spaces()
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.space, self.line = self.letters[0x20], self._ids("\n")
@@ -78,7 +79,7 @@ class Encoder:
         known = self.cache if space else self.bare
         ids = known.get(word)
         if ids is None:
-            if len(known) >= CACHE_CHUNKS:
+            if len(known) >= self.limit:
                 known.clear()
             ids = known[word] = self._word(space, word)
         if len(word) < len(text):
@@ -99,7 +100,7 @@ class Encoder:
                 return self.line.join([self._piece(lines[0], self.space), *[self._piece(x, "") for x in lines[1:]]])
             return self._ids(f" {chunk}")
         ids = self._piece(chunk, self.space)
-        if len(self.cache) >= CACHE_CHUNKS:
+        if len(self.cache) >= self.limit:
             self.cache.clear()
         self.cache[chunk] = ids
         return ids
@@ -127,9 +128,9 @@ class PieceEncoder:
     letter itself is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_CHUNKS):
         from sentencepiece import SentencePieceProcessor
-        self.model = SentencePieceProcessor(model_file=path)
+        self.model, self.limit = SentencePieceProcessor(model_file=path), limit
         self.pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.cut = not any(_INNER.search(p) for p in self.pieces) and self._ids("x") + self._ids("x") == self._ids("x x")
         self.cache: dict[str, bytes] = {}
@@ -137,14 +138,6 @@ class PieceEncoder:
     def _ids(self, text: str) -> bytes:
         return array("I", self.model.encode(text, num_threads=1)).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = self._ids(chunk)
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self.cache) >= CACHE_CHUNKS:
-                self.cache.clear()
-            self.cache[chunk] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
         """The ids of one whole text."""
         if not text or not self.cut or "\u2581" in text:
@@ -153,24 +146,28 @@ class PieceEncoder:
         chunks = text.split(" ") if even else _SINGLE.split(text)
         found = list(map(self.cache.get, chunks))
         if None in found:
-            miss = self._chunk
-            found = [miss(c) if ids is None else ids for c, ids in zip(chunks, found)]
+            new = list(dict.fromkeys(c for c, ids in zip(chunks, found) if ids is None))
+            made = {c: array("I", ids).tobytes() for c, ids in zip(new, self.model.encode(new, num_threads=1))}
+            found = [made[c] if ids is None else ids for c, ids in zip(chunks, found)]
+            if len(self.cache) >= self.limit:
+                self.cache.clear()
+            self.cache.update((c, ids) for c, ids in made.items() if len(c) <= CHUNK_CHARS)
         return b"".join(found)
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-_PIECES: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
+_PIECES: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, plain: bool = False) -> Encoder:
+def encoder(path: str, plain: bool = False, limit: int = CACHE_CHUNKS) -> Encoder:
     """The worker's encoder of a tokenizer file (loaded once per Python worker)."""
-    if (path, plain) not in _ENCODERS:
-        _ENCODERS[path, plain] = Encoder(path, plain)
-    return _ENCODERS[path, plain]
+    if (path, plain, limit) not in _ENCODERS:
+        _ENCODERS[path, plain, limit] = Encoder(path, plain, limit)
+    return _ENCODERS[path, plain, limit]
 
 
-def piece_encoder(path: str) -> PieceEncoder:
+def piece_encoder(path: str, limit: int = CACHE_CHUNKS) -> PieceEncoder:
     """The worker's encoder of a sentencepiece model (loaded once per Python worker)."""
-    if path not in _PIECES:
-        _PIECES[path] = PieceEncoder(path)
-    return _PIECES[path]
+    if (path, limit) not in _PIECES:
+        _PIECES[path, limit] = PieceEncoder(path, limit)
+    return _PIECES[path, limit]
