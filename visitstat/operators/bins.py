@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from visitstat.functions import LN_BIN_A, LN_BIN_B, STURGES_A, STURGES_B
 from visitstat.operators.attach import BROADCAST_MAX_ROWS, attach
-from visitstat.operators.profile import exact_sum_avg, summarize
+from visitstat.operators.profile import exact_std, exact_sum_avg, summarize
 
 HISTOGRAM_COLUMNS = ("bin", "bin_lo", "bin_hi", "count", "density")
 
@@ -136,11 +136,11 @@ def bin_plan(df: DataFrame, by: Sequence[str], value: str, median_method: str =
     """Per-group bin plan of ``value``: profile plus ``step`` = range / (1 + 3.5 ln N),
     ``ceil`` = ceil(1 + 3.5 ln N) bins (1 when the range is 0, step 0 then),
     ``sum_another_teor`` = 1 + 2 + ... + ceil. N = non-null values in the group.
-    ``exact`` as in ``group_profile`` (average from an integer sum)."""
+    ``exact`` as in ``group_profile`` (average and deviation from integer sums)."""
     v = F.col(value)
     mean = exact_sum_avg(*exact)[1] if exact else F.avg(v)
     prof = summarize(df, by, {
-        "count": F.count(v), "avg": mean, "sko": F.stddev_samp(v),
+        "count": F.count(v), "avg": mean, "sko": exact_std(*exact) if exact else F.stddev_samp(v),
         "over_test_min": F.min(v), "over_test_max": F.max(v), "over_test": F.count(v),
     }, {"median": value}, median_method=median_method, max_rows=max_rows,
         rows_bound=rows_bound).where(F.col("over_test") > 0)

@@ -124,6 +124,29 @@ def big_sum(units: str) -> Column:
     return F.sum(F.col(units).cast("decimal(38,0)"))
 
 
+def exact_std(units: str, scale: float = 1.0) -> Column:
+    """Sample standard deviation of ``units / scale`` from an integer column, the same to the
+    last bit in any row order: null below two values.
+
+    Sums of values and of squares are exact in 38 digits (squares of 13-digit money in micro-units
+    over 10^12 rows; beyond that ANSI mode raises). With m = sum div n and r = sum - m * n
+    the squared deviations from m add up to squares - m * m * n - 2 * m * r, an integer no larger than
+    the squares; only r * r / n and the last division are floating point."""
+    x = f"CAST(`{units}` AS DECIMAL(20, 0))"
+    n, total, squares = f"COUNT(`{units}`)", f"SUM(CAST(`{units}` AS DECIMAL(38, 0)))", f"SUM({x} * {x})"
+    m = f"CAST({total} DIV NULLIF({n}, 0) AS DECIMAL(20, 0))"
+    r = f"({total} - {m} * {n})"
+    around = F.expr(f"{squares} - {m} * {m} * {n} - 2 * {m} * {r}").cast("double")
+    rest, count = F.expr(r).cast("double"), F.count(units)
+    variance = (around - rest * rest / F.nullif(count, F.lit(0))) / F.nullif(count - F.lit(1), F.lit(0))
+    return F.sqrt(variance) / F.lit(float(scale))
+
+
+def exact_variation(units: str, scale: float = 1.0) -> Column:
+    """``exact_std`` over the exact average (null when that is 0)."""
+    return ratio(exact_std(units, scale), exact_sum_avg(units, scale)[1])
+
+
 def group_profile(df: DataFrame, by: Sequence[str], value: str,
                   metrics: Sequence[str] = PROFILE_METRICS, median_method: str = "auto",
                   max_rows: int = BROADCAST_MAX_ROWS, exact: tuple[str, float] | None = None,
@@ -133,13 +156,14 @@ def group_profile(df: DataFrame, by: Sequence[str], value: str,
     (null when avg is 0), ``sum``. Output in ``by`` + ``metrics`` order.
 
     ``exact=(integer column, scale)`` says ``value`` is that column divided by
-    ``scale``; ``sum`` and ``avg`` are then taken from the integer sum, exact
+    ``scale``; ``sum``, ``avg`` and the deviations are then taken from integer sums, exact
     and independent of row order."""
     v = F.col(value)
     total, mean = exact_sum_avg(*exact) if exact else (F.sum(v), F.avg(v))
+    std = exact_std(*exact) if exact else F.stddev_samp(v)
     exprs = {
         "count": F.count(v), "avg": mean, "min": F.min(v), "max": F.max(v),
-        "sko": F.stddev_samp(v), "koef_var": ratio(F.stddev_samp(v), mean), "sum": total,
+        "sko": std, "koef_var": ratio(std, mean), "sum": total,
     }
     unknown = set(metrics) - set(exprs) - {"median"}
     if unknown:
@@ -154,11 +178,14 @@ DESCRIBE_COLUMNS = ("column", "count", "mean", "std", "min", "p25", "p50", "p75"
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, median_method: str = "auto",
-             max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+             max_rows: int = BROADCAST_MAX_ROWS, scales: Mapping[str, float] | None = None) -> DataFrame:
     """Numeric summary, one row per column: count, mean, std (sample), min,
     exact 25/50/75 % (linear interpolation), max. Nulls and NaN are missing
     values, per column (columns may have different counts).
 
+    Mean and standard deviation of integer columns come from integer sums, exact in any row order; so do
+    those of a column in ``scales``, which says that it holds integers divided by that number.
+
     One pass computes all simple statistics as a single wide aggregate (one
     row of numbers, returned to the driver); a second pass computes the
     quartiles of all columns, one ``percentile`` per column when all columns
@@ -178,10 +205,22 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, median_method: st
 
     if median_method not in MEDIAN_METHODS:
         raise ValueError(f"median_method must be one of {MEDIAN_METHODS}")
-    xs = df.select(*[clean(c).alias(c) for c in cols])
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    scales = {c: 1.0 for c in cols if isinstance(kinds[c], whole)} | dict(scales or {})
+    units = {c: f"__units_{c}" for c in cols if c in scales}
+    both = df.select(*[clean(c).alias(c) for c in cols],
+                     *[F.round(clean(c) * F.lit(scales[c])).cast("decimal(20,0)").alias(u) if scales[c] != 1.0 else F.col(c).alias(u)
+                       for c, u in units.items()])
+    xs = both.select(*cols)
     # Pass 1: all simple statistics in one aggregate, a row of 5 numbers per column.
-    wide = xs.agg(*[e for c in cols for e in (
-        F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
+    def mean(c: str) -> Column:
+        return exact_sum_avg(units[c], scales[c])[1] if c in units else F.avg(c)
+
+    def std(c: str) -> Column:
+        return exact_std(units[c], scales[c]) if c in units else F.stddev_samp(c)
+
+    wide = both.agg(*[e for c in cols for e in (
+        F.count(c).alias(f"{c}__count"), mean(c).alias(f"{c}__mean"), std(c).alias(f"{c}__std"),
         F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"))]).first()
     simple = df.sparkSession.createDataFrame(
         [(c, wide[f"{c}__count"], wide[f"{c}__mean"], wide[f"{c}__std"], wide[f"{c}__min"], wide[f"{c}__max"])

@@ -14,12 +14,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitstat.functions import round_half_up
+from visitstat.functions import round_half_up, session_key
 from visitstat.operators.bins import histogram
 from visitstat.operators.sessions import flatten_sessions, revenue_sessions, session_extract
+from visitstat.operators.numbering import rows_by_rank, with_numbers
 from visitstat.plans import reports as R
+from visitstat.sources.quarantine import quarantine, split_counts
 from visitstat.sources.shards import read_shards, preview_rows
-from visitstat.sources.testdata import mixed_sharded_sessions, sessions_table, sessions_table_sized, sharded_sessions
+from visitstat.sources.testdata import mixed_sharded_sessions, sessions_table, sessions_table_sized, sharded_sessions, \
+    with_dirty_days
 
 # Fixed parameters of the registered queries.
 SHARD_LO, SHARD_HI = "19970601", "19970631"   # a one-month suffix range (June 31 is no day)
@@ -30,6 +33,8 @@ YEAR_LO, YEAR_HI = "19970101", "19971231"      # the range of the reports over d
 RANGE_MIN_COUNT = 2                            # threshold of the segment report over that range
 COUNTRY_MIN_COUNT_STRICT = 190                 # a threshold that removes some countries at sf0.01
 MIXED_LO, MIXED_HI = "19970601", "19970631"    # a text range in which some suffixes are not digits
+DEEP_START = 0.9                               # a preview that starts at this share of the table
+DAY = "19970615"                               # a single-day scan
 
 D6, D12 = 6, 12
 OUTPUT: dict[str, list[tuple[str, int | None]]] = {
@@ -78,6 +83,12 @@ for _n, _like in (("daily_profile_distributed", "daily_profile_trimmed"), ("dail
     OUTPUT[_n] = list(OUTPUT[_like])
 OUTPUT["binned_revenue"] = [("unique_session_id", None), ("country", None), ("total_revenue", None), ("bin", None)]
 OUTPUT["revenue_bins"] = [("country", None), ("bin", None), ("count", None)]
+OUTPUT["shard_day"] = list(OUTPUT["shard_range"])
+OUTPUT["preview_deep"] = list(OUTPUT["preview_rows"])
+OUTPUT["session_numbers"] = [("unique_session_id", None), ("date", None), ("visitId", None), ("row_number", None)]
+OUTPUT["quarantine_counts"] = [("reason", None), ("sessions", None)]
+OUTPUT["quarantined_sessions"] = [("unique_session_id", None), ("date", None), ("table_suffix", None), ("reason", None)]
+OUTPUT["weekly_dynamics_quarantine"] = list(OUTPUT["weekly_dynamics"])
 OUTPUT["shard_range_mixed"] = list(OUTPUT["shard_range"])
 OUTPUT["segment_report_base"] = [OUTPUT["segment_report"][0], OUTPUT["segment_report"][1]] + [
     next(x for x in OUTPUT["segment_report"] if x[0] == c) for c in R.SEGMENT_BASE_COLUMNS]
@@ -132,6 +143,28 @@ def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
                         PREVIEW_START, PREVIEW_ROWS)
 
 
+def _preview_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rows from nine tenths of the table on, without ordering or counting off the rows before."""
+    flat = flatten_sessions(_sessions(spark, sf_dir)).select("unique_session_id", "visitId", "date", "total_revenue")
+    return rows_by_rank(flat, ["visitId"], DEEP_START, PREVIEW_ROWS)
+
+
+def _session_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sessions numbered by day and visit."""
+    flat = flatten_sessions(_sessions(spark, sf_dir)).select("unique_session_id", "date", "visitId")
+    return with_numbers(flat, ["date", "visitId"])
+
+
+def _split(spark: SparkSession, sf_dir: str):
+    """Day shards of which some rows have spoiled dates, split into good and bad rows."""
+    return quarantine(with_dirty_days(read_shards(spark, sharded_sessions(spark, sf_dir))))
+
+
+def _quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = _split(spark, sf_dir).bad
+    return bad.select(session_key().alias("unique_session_id"), "date", "table_suffix", "reason")
+
+
 def _week_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = session_extract(_sessions(spark, sf_dir))
     return ext.groupBy("date").agg(F.count(F.lit(1)).alias("sessions")).orderBy("date")
@@ -172,6 +205,12 @@ _BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "revenue_frequency": lambda s, d: R.revenue_frequency(_sessions(s, d)),
     "describe_numeric": lambda s, d: R.distributions_describe(_sessions(s, d)),
     "preview_rows": _preview,
+    "preview_deep": _preview_deep,
+    "session_numbers": _session_numbers,
+    "shard_day": lambda s, d: _range_rows(_in_range(s, d, DAY, DAY)),
+    "quarantine_counts": lambda s, d: split_counts(_split(s, d)),
+    "quarantined_sessions": _quarantined,
+    "weekly_dynamics_quarantine": lambda s, d: R.weekly_dynamics(_split(s, d).good),
     "histogram_log10_pages_over": _pages_over,
     "distributions": lambda s, d: R.distributions(_sessions(s, d)),
 }

@@ -11,9 +11,9 @@ DuckDB notes: ``ln`` is the natural log (``log`` is base 10 there),
 
 from __future__ import annotations
 
-from visitstat.plans.catalog import COUNTRY, COUNTRY_MIN_COUNT_STRICT, MIXED_HI, MIXED_LO, OUTPUT, PREVIEW_ROWS, \
+from visitstat.plans.catalog import COUNTRY, COUNTRY_MIN_COUNT_STRICT, DAY, DEEP_START, MIXED_HI, MIXED_LO, OUTPUT, PREVIEW_ROWS, \
     PREVIEW_START, RANGE_MIN_COUNT, SEGMENT_MIN_COUNT_STRICT, SHARD_HI, SHARD_LO, YEAR_HI, YEAR_LO
-from visitstat.plans.reports import DESCRIBE_NUMERIC, DISTRIBUTION_COLUMNS, SEGMENT_BASE_COLUMNS
+from visitstat.plans.reports import DESCRIBE_NUMERIC, DISTRIBUTION_COLUMNS, SEGMENT_BASE_COLUMNS, SEGMENT_COLUMNS
 
 SESSIONS = """
 li AS (
@@ -76,6 +76,21 @@ ranges AS (
 )"""
 
 
+# Spoiled dates of some pending orders, and why they cannot be used.
+DIRTY = """
+spoiled AS (
+  SELECT * REPLACE (CASE WHEN browser <> 'P' THEN date WHEN operatingSystem = 'MACHINERY' THEN NULL
+                         WHEN operatingSystem = 'BUILDING' THEN strftime(day, '%Y-%m-%d')
+                         WHEN operatingSystem = 'FURNITURE' THEN strftime(day, '%Y%m') || '32'
+                         WHEN operatingSystem = 'HOUSEHOLD' THEN '19700101' ELSE date END AS date), date AS table_suffix
+  FROM s
+), judged AS (
+  SELECT *, CASE WHEN date IS NULL THEN 'no date' WHEN try_strptime(date, '%Y%m%d') IS NULL OR len(date) <> 8 THEN 'not a day'
+                 WHEN date <> table_suffix THEN 'not the day of its shard' END AS reason
+  FROM spoiled
+)"""
+
+
 def R(x: str, d: int | None) -> str:
     if d is None:
         return x
@@ -100,12 +115,11 @@ FROM (SELECT {group}, count({value}) AS n, sum({micro}) AS total, median({value}
 
 def _segment_body(min_count: int, where: str = "") -> str:
     """Totals per segment first; ratios are taken from the totals."""
+    source = {"revenue": "total_revenue", "timeonsite": "timeOnSite"}
+    names = {p: [c.removeprefix(p) for c in SEGMENT_COLUMNS if c.startswith(p)] for p in ("median_", "koef_var_")}
+    middle = ", ".join(f"median({source.get(n, n)}) AS median_{n}" for n in names["median_"])
     spread = ", ".join(f"stddev_samp({c}) / nullif(avg({c}), 0) AS koef_var_{n}" for n, c in (
-        ("timeOnSite", "timeOnSite"), ("pageviews", "pageviews"), ("hits", "hits"), ("visits", "visits"),
-        ("revenue", "total_revenue")))
-    middle = ", ".join(f"median({c}) AS median_{n}" for n, c in (
-        ("timeonsite", "timeOnSite"), ("pageviews", "pageviews"), ("hits", "hits"), ("visits", "visits"),
-        ("revenue", "total_revenue")))
+        (n, source.get(n, n)) for n in names["koef_var_"]))
     return f"""
 WITH picked AS (SELECT * FROM s {where}),
 everything AS (SELECT count(*) AS sessions FROM picked),
@@ -247,6 +261,18 @@ WHERE suffix BETWEEN '{MIXED_LO}' AND '{MIXED_HI}'"""),
         "revenue_frequency": wrap("revenue_frequency", """
 SELECT revenue_micro / 1e6 AS total_revenue, count(fullVisitorId) AS count FROM s GROUP BY revenue_micro"""),
         "describe_numeric": wrap("describe_numeric", _describe_body(), ext),
+        "shard_day": wrap("shard_day", f"SELECT unique_session_id, total_revenue, date, date AS table_suffix FROM s WHERE date = '{DAY}'"),
+        "preview_deep": wrap("preview_deep", f"""
+SELECT unique_session_id, visitId, date, total_revenue
+FROM (SELECT *, row_number() OVER (ORDER BY visitId) - 1 AS place, count(*) OVER () AS n FROM s)
+WHERE place >= floor({DEEP_START} * n) AND place < floor({DEEP_START} * n) + {PREVIEW_ROWS}"""),
+        "session_numbers": wrap("session_numbers", """
+SELECT unique_session_id, date, visitId, row_number() OVER (ORDER BY date, visitId) AS row_number FROM s"""),
+        "quarantine_counts": wrap("quarantine_counts", """
+SELECT coalesce(reason, 'good') AS reason, count(*) AS sessions FROM judged GROUP BY 1""", (SESSIONS, DIRTY)),
+        "quarantined_sessions": wrap("quarantined_sessions", "SELECT * FROM judged WHERE reason IS NOT NULL", (SESSIONS, DIRTY)),
+        "weekly_dynamics_quarantine": wrap("weekly_dynamics_quarantine", _WEEKLY.format(where="").replace(
+            "FROM s", "FROM judged").replace("GROUP BY", "WHERE reason IS NULL GROUP BY"), (SESSIONS, DIRTY)),
         "preview_rows": wrap("preview_rows", f"""
 SELECT unique_session_id, visitId, date, total_revenue FROM s ORDER BY visitId
 LIMIT {PREVIEW_ROWS} OFFSET {PREVIEW_START}"""),

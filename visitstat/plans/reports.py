@@ -21,7 +21,7 @@ from visitstat.functions import (
 from visitstat.operators.attach import BROADCAST_MAX_ROWS
 from visitstat.session import write_table
 from visitstat.operators.bins import bin_counts, bin_plan, expand_bins, histogram, histograms, place_in_bins
-from visitstat.operators.profile import big_sum, describe, exact_sum_avg, frequency, group_profile, summarize
+from visitstat.operators.profile import big_sum, describe, exact_sum_avg, exact_variation, frequency, group_profile, summarize
 from visitstat.operators.sessions import flatten_sessions, session_extract, where_sessions
 from visitstat.operators.trim import log_trim_bounded
 
@@ -97,9 +97,6 @@ def segment_report(df: DataFrame, lo: str | None = None, hi: str | None = None,
     by = list(by)
     flat = _flat(df, lo, hi, country)
 
-    def kv(c):
-        return ratio(F.stddev_samp(c), F.avg(c))
-
     want = set(columns)
     aggs = {
         "count_parted": F.count("unique_session_id"),
@@ -108,9 +105,9 @@ def segment_report(df: DataFrame, lo: str | None = None, hi: str | None = None,
         "sum_new_micro": big_sum("revenue_from_new_micro"),
         "count_revenue": F.count("total_revenue"),
         "sum_pageviews": F.sum("pageviews"),
-        "koef_var_revenue": kv("total_revenue"), "koef_var_visits": kv("visits"),
-        "koef_var_hits": kv("hits"), "koef_var_pageviews": kv("pageviews"),
-        "koef_var_timeOnSite": kv("timeOnSite"),
+        "koef_var_revenue": exact_variation("revenue_micro", MICRO), "koef_var_visits": exact_variation("visits"),
+        "koef_var_hits": exact_variation("hits"), "koef_var_pageviews": exact_variation("pageviews"),
+        "koef_var_timeOnSite": exact_variation("timeOnSite"),
     }
     needed = want | {"count_parted", "sum_revenue_micro"} | (
         {"sum_new_micro"} if "percent_revenue_from_new" in want else set()) | (
@@ -221,7 +218,7 @@ def distributions_describe(df: DataFrame, lo: str | None = None, hi: str | None
                            country: str | None = None, median_method: str = "auto") -> DataFrame:
     """``describe`` of the numeric columns of the session extract."""
     ext = session_extract(where_sessions(df, lo, hi, country))
-    return describe(ext, DESCRIBE_NUMERIC, median_method=median_method).orderBy("column")
+    return describe(ext, DESCRIBE_NUMERIC, median_method=median_method, scales={"total_revenue": MICRO}).orderBy("column")
 
 
 def distribution_histogram(df: DataFrame, column: str, log10: bool = False, lo: str | None = None,

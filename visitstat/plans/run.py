@@ -19,6 +19,7 @@ from visitstat.functions import COUNTRY_MIN_COUNT, SEGMENT_MIN_COUNT
 from visitstat.operators.sessions import revenue_sessions, session_extract, where_sessions
 from visitstat.plans import reports as R
 from visitstat.session import apply_conf, drop_scratch, scratch_count, write_table
+from visitstat.sources.quarantine import quarantine
 from visitstat.sources.shards import read_shards
 
 
@@ -58,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--country-min-count", type=int, default=COUNTRY_MIN_COUNT)
     p.add_argument("--column", default="total_revenue", help="histogram column")
     p.add_argument("--log10", action="store_true", help="histogram of log10 of the column")
+    p.add_argument("--quarantine", help="set rows aside whose date is no day of their shard: where they are written (parquet)")
     return p
 
 
@@ -71,8 +73,13 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> DataFrame:
         raise SystemExit("--out must lie outside --source, and --source outside --out")
     apply_conf(spark)
     tables = scratch_count()
+    sessions = read_shards(spark, a.source, a.lo, a.hi)
+    if a.quarantine:
+        split = quarantine(sessions, a.quarantine)
+        print(f"{split.n_good} sessions go on, {split.n_bad} are set aside in {a.quarantine}")
+        sessions = split.good
     # The whole result is computed before --out is touched.
-    result = write_table(reports[a.report](read_shards(spark, a.source, a.lo, a.hi)), "report")
+    result = write_table(reports[a.report](sessions), "report")
     result.write.mode("overwrite").parquet(a.out)
     drop_scratch(spark, tables)
     return spark.read.parquet(a.out)

@@ -103,6 +103,17 @@ def sessions_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_dirty_days(df: DataFrame) -> DataFrame:
+    """The sessions with the dates of some pending orders spoiled, by market segment: missing, with dashes,
+    the 32nd of the month, or a day that is not their shard's. Their suffix stays."""
+    d, segment = F.col("date"), F.col("device.operatingSystem")
+    dashes = F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2))
+    bad = (F.when(segment == "MACHINERY", F.lit(None).cast("string")).when(segment == "BUILDING", dashes)
+           .when(segment == "FURNITURE", F.concat(F.substring(d, 1, 6), F.lit("32"))).when(segment == "HOUSEHOLD", F.lit("19700101"))
+           .otherwise(d))
+    return df.withColumn("date", F.when(F.col("device.browser") == "P", bad).otherwise(d))
+
+
 _BUILT: dict[tuple, object] = {}
 _INPUTS = ("orders", "lineitem", "customer", "nation", "region")
 
