@@ -124,24 +124,28 @@ def big_sum(units: str) -> Column:
     return F.sum(F.col(units).cast("decimal(38,0)"))
 
 
-def exact_std(units: str, scale: float = 1.0) -> Column:
-    """Sample standard deviation of ``units / scale`` from an integer column, the same to the
-    last bit in any row order: null below two values.
-
-    Sums of values and of squares are exact in 38 digits (squares of 13-digit money in micro-units
-    over 10^12 rows; beyond that ANSI mode raises). With m = sum div n and r = sum - m * n
-    the squared deviations from m add up to squares - m * m * n - 2 * m * r, an integer no larger than
-    the squares; only r * r / n and the last division are floating point."""
-    x = f"CAST(`{units}` AS DECIMAL(20, 0))"
-    n, total, squares = f"COUNT(`{units}`)", f"SUM(CAST(`{units}` AS DECIMAL(38, 0)))", f"SUM({x} * {x})"
+def std_from_sums(n: str, total: str, squares: str, scale: float = 1.0) -> Column:
+    """Sample standard deviation from SQL texts of a count, a sum and a sum of squares of integers
+    (38 digits), the same to the last bit in any row order: null below two values.
+
+    With m = total div n and r = total - m * n the squared deviations from m add up to
+    squares - m * m * n - 2 * m * r, an integer no larger than the squares; only r * r / n and the last
+    division are floating point. Squares of 13-digit money in micro-units fit for 10^12 rows; beyond
+    38 digits ANSI mode raises."""
     m = f"CAST({total} DIV NULLIF({n}, 0) AS DECIMAL(20, 0))"
     r = f"({total} - {m} * {n})"
     around = F.expr(f"{squares} - {m} * {m} * {n} - 2 * {m} * {r}").cast("double")
-    rest, count = F.expr(r).cast("double"), F.count(units)
+    rest, count = F.expr(r).cast("double"), F.expr(n)
     variance = (around - rest * rest / F.nullif(count, F.lit(0))) / F.nullif(count - F.lit(1), F.lit(0))
     return F.sqrt(variance) / F.lit(float(scale))
 
 
+def exact_std(units: str, scale: float = 1.0) -> Column:
+    """Sample standard deviation of ``units / scale`` from an integer column (see ``std_from_sums``)."""
+    x = f"CAST(`{units}` AS DECIMAL(20, 0))"
+    return std_from_sums(f"COUNT(`{units}`)", f"SUM(CAST(`{units}` AS DECIMAL(38, 0)))", f"SUM({x} * {x})", scale)
+
+
 def exact_variation(units: str, scale: float = 1.0) -> Column:
     """``exact_std`` over the exact average (null when that is 0)."""
     return ratio(exact_std(units, scale), exact_sum_avg(units, scale)[1])

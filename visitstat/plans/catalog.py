@@ -18,11 +18,12 @@ from visitstat.functions import round_half_up, session_key
 from visitstat.operators.bins import histogram
 from visitstat.operators.sessions import flatten_sessions, revenue_sessions, session_extract
 from visitstat.operators.numbering import rows_by_rank, with_numbers
+from visitstat.operators import states as S
 from visitstat.plans import reports as R
 from visitstat.sources.quarantine import quarantine, split_counts
-from visitstat.sources.shards import read_shards, preview_rows
+from visitstat.sources.shards import read_shards, read_table, preview_rows
 from visitstat.sources.testdata import mixed_sharded_sessions, sessions_table, sessions_table_sized, sharded_sessions, \
-    with_dirty_days
+    sharded_table, stored_states, with_dirty_days
 
 # Fixed parameters of the registered queries.
 SHARD_LO, SHARD_HI = "19970601", "19970631"   # a one-month suffix range (June 31 is no day)
@@ -83,6 +84,10 @@ for _n, _like in (("daily_profile_distributed", "daily_profile_trimmed"), ("dail
     OUTPUT[_n] = list(OUTPUT[_like])
 OUTPUT["binned_revenue"] = [("unique_session_id", None), ("country", None), ("total_revenue", None), ("bin", None)]
 OUTPUT["revenue_bins"] = [("country", None), ("bin", None), ("count", None)]
+OUTPUT["daily_states_range"] = [x for x in OUTPUT["daily_profile_trimmed"] if x[0] != "median"]
+OUTPUT["weekly_states_range"] = list(OUTPUT["weekly_dynamics"])
+OUTPUT["segment_states_range"] = [x for x in OUTPUT["segment_report"] if not x[0].startswith("median_")]
+OUTPUT["shard_range_catalog"] = list(OUTPUT["shard_range"])
 OUTPUT["shard_day"] = list(OUTPUT["shard_range"])
 OUTPUT["preview_deep"] = list(OUTPUT["preview_rows"])
 OUTPUT["session_numbers"] = [("unique_session_id", None), ("date", None), ("visitId", None), ("row_number", None)]
@@ -122,6 +127,21 @@ def _in_range(spark: SparkSession, sf_dir: str, lo: str, hi: str) -> DataFrame:
     return read_shards(spark, sharded_sessions(spark, sf_dir), lo, hi, digit_glob=True)
 
 
+def _days_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The year's days by way of the catalog: only their folders are listed."""
+    return read_table(spark, sharded_table(spark, sf_dir), YEAR_LO, YEAR_HI)
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.read_states(spark, stored_states(spark, sf_dir), YEAR_LO, YEAR_HI, COUNTRY)
+
+
+def _segments_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states say how many sessions the range has, so one aggregate can do."""
+    return R.segment_report(_days_of_table(spark, sf_dir), country=COUNTRY, min_count=RANGE_MIN_COUNT,
+                            rows_bound=S.sessions_in(_states(spark, sf_dir)))
+
+
 def _range_rows(days: DataFrame) -> DataFrame:
     return flatten_sessions(days).select("unique_session_id", "total_revenue", "date", "table_suffix")
 
@@ -188,10 +208,13 @@ _BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "daily_profile_distributed": lambda s, d: R.daily_profile(_sessions(s, d), median_method="distributed"),
     "segment_report_distributed": lambda s, d: R.segment_report(_sessions(s, d), median_method="distributed"),
     "describe_distributed": lambda s, d: R.distributions_describe(_sessions(s, d), median_method="distributed"),
-    "daily_profile_range": lambda s, d: R.daily_profile(_in_range(s, d, YEAR_LO, YEAR_HI), country=COUNTRY),
-    "segment_report_range": lambda s, d: R.segment_report(_in_range(s, d, YEAR_LO, YEAR_HI), country=COUNTRY,
-                                                          min_count=RANGE_MIN_COUNT),
-    "weekly_dynamics_range": lambda s, d: R.weekly_dynamics(_in_range(s, d, YEAR_LO, YEAR_HI), country=COUNTRY),
+    "daily_profile_range": lambda s, d: R.daily_profile(_days_of_table(s, d), country=COUNTRY),
+    "segment_report_range": _segments_in_range,
+    "weekly_dynamics_range": lambda s, d: R.weekly_dynamics(_days_of_table(s, d), country=COUNTRY),
+    "shard_range_catalog": lambda s, d: _range_rows(read_table(s, sharded_table(s, d), SHARD_LO, SHARD_HI)),
+    "daily_states_range": lambda s, d: S.daily_profile_of_states(_states(s, d)),
+    "weekly_states_range": lambda s, d: S.weekly_dynamics_of_states(_states(s, d)),
+    "segment_states_range": lambda s, d: S.segment_report_of_states(_states(s, d), min_count=RANGE_MIN_COUNT),
     "weekly_dynamics_timestamp": lambda s, d: R.weekly_dynamics(_sessions(s, d), as_timestamp=True),
     "country_profile_strict": lambda s, d: R.country_profile(_sessions(s, d), min_count=COUNTRY_MIN_COUNT_STRICT),
     "binned_revenue": lambda s, d: R.binned_revenue(_sessions(s, d)),

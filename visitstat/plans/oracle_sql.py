@@ -261,6 +261,12 @@ WHERE suffix BETWEEN '{MIXED_LO}' AND '{MIXED_HI}'"""),
         "revenue_frequency": wrap("revenue_frequency", """
 SELECT revenue_micro / 1e6 AS total_revenue, count(fullVisitorId) AS count FROM s GROUP BY revenue_micro"""),
         "describe_numeric": wrap("describe_numeric", _describe_body(), ext),
+        "shard_range_catalog": wrap("shard_range_catalog", f"""
+SELECT unique_session_id, total_revenue, date, date AS table_suffix FROM s
+WHERE date BETWEEN '{SHARD_LO}' AND '{SHARD_HI}'"""),
+        "daily_states_range": wrap("daily_states_range", _moments("date", f"(SELECT * FROM s {_RANGE} AND revenue_micro IS NOT NULL)")),
+        "weekly_states_range": wrap("weekly_states_range", _WEEKLY.format(where=_RANGE)),
+        "segment_states_range": wrap("segment_states_range", _segment_body(RANGE_MIN_COUNT, _RANGE)),
         "shard_day": wrap("shard_day", f"SELECT unique_session_id, total_revenue, date, date AS table_suffix FROM s WHERE date = '{DAY}'"),
         "preview_deep": wrap("preview_deep", f"""
 SELECT unique_session_id, visitId, date, total_revenue

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,8 +121,9 @@ def read_shards(spark: SparkSession, root: str, lo: str | None = None, hi: str |
     return suffix_range(reader.parquet(root), lo, hi)
 
 
-def write_shards(df: DataFrame, root: str, mode: str = "days", partitions: int | None = None) -> None:
-    """Write session rows as one folder per day suffix.
+def write_shards(df: DataFrame, root: str, mode: str = "days", partitions: int | None = None, table: str | None = None,
+                 states: str | None = None) -> list[str]:
+    """Write session rows as one folder per day suffix; returns the suffixes that were written.
 
     ``mode="days"`` (default) writes the days present in ``df``, replacing each
     of them if it exists and leaving every other day as it is; any of Spark's
@@ -130,15 +133,52 @@ def write_shards(df: DataFrame, root: str, mode: str = "days", partitions: int |
     Range partitioning on (suffix, visit id) gives each task a contiguous run
     of days and splits a crowded day over several tasks, so a hot day never
     lands in a single writer and each day gets few files.
+
+    ``table`` names a catalog table over ``root`` (``register_shards``) that gets the new
+    days, ``states`` a folder of states (``operators.states``) that is refreshed for the days written.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, F.col(SUFFIX), F.col("visitId"))
+    seen = Observation(f"days_{uuid.uuid4().hex}")
+    days = df.observe(seen, F.collect_set(SUFFIX).alias("days"))
+    ranged = days.repartitionByRange(n, F.col(SUFFIX), F.col("visitId"))
     writer = ranged.write.partitionBy(SUFFIX)
     if mode == "days":
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     else:
         writer = writer.mode(mode).option("partitionOverwriteMode", "static")
     writer.parquet(root)
+    written = sorted(seen.get["days"])
+    if table is not None:
+        add_days(df.sparkSession, table, root, written)
+    if states is not None:
+        from visitstat.operators.states import refresh_states
+        refresh_states(df.sparkSession, root, states, written)
+    return written
+
+
+def register_shards(spark: SparkSession, root: str, table: str, schema: T.StructType = SHARDED_SCHEMA) -> DataFrame:
+    """A table of the session catalog over the shards below ``root``, every day folder a partition of it.
+
+    Its partitions are found once, here; later a suffix range asks the catalog for them and lists only their
+    files. ``write_shards(table=...)`` adds the days it writes."""
+    data = T.StructType([f for f in schema.fields if f.name != SUFFIX])
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.fields)
+    spark.sql(f"CREATE TABLE {table} ({columns}, `{SUFFIX}` string) USING parquet PARTITIONED BY (`{SUFFIX}`) LOCATION '{root}'")
+    spark.sql(f"MSCK REPAIR TABLE {table}")
+    return spark.table(table)
+
+
+def add_days(spark: SparkSession, table: str, root: str, days: list[str]) -> None:
+    """Tell the catalog table of ``root`` about day folders (known ones are left)."""
+    for i in range(0, len(days), 500):
+        parts = " ".join(f"PARTITION (`{SUFFIX}` = '{d}') LOCATION '{root.rstrip('/')}/{SUFFIX}={d}'" for d in days[i:i + 500])
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {parts}")
+    spark.catalog.refreshTable(table)
+
+
+def read_table(spark: SparkSession, table: str, lo: str | None = None, hi: str | None = None) -> DataFrame:
+    """The shards with a suffix in [lo, hi] (as text) of a catalog table; no folder outside the range is listed."""
+    return suffix_range(spark.table(table), lo, hi)
 
 
 def preview_rows(df: DataFrame, key: list[str], fields: list[str] | None = None,

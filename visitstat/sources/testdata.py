@@ -23,16 +23,19 @@ Mapping (fixed, the SQL oracles build the same rows):
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitstat.session import application_id, scratch_path, write_table
-from visitstat.sources.shards import write_shards
+from visitstat.sources.shards import register_shards, write_shards
 
 # Fixed values of the mapping.
 CONVERTED_STATUS = "F"     # order status that carries revenue
 RETURNED_FLAG = "R"        # line return flag left out of time on site
 SECONDS_PER_LINE = 60
+SKETCH_K = 800             # of the quantile sketches in the stored states
 
 
 def signature(spark: SparkSession, path: str) -> tuple:
@@ -162,3 +165,23 @@ def mixed_sharded_sessions(spark: SparkSession, sf_dir: str) -> str:
         write_shards(rows, root, mode="errorifexists")
         return root
     return _once(spark, sf_dir, "mixed_shards", build)
+
+
+def sharded_table(spark: SparkSession, sf_dir: str) -> str:
+    """The day shards as a table of the session catalog, registered once per application and input; returns its name."""
+    def build() -> str:
+        name = f"visitstat_days_{uuid.uuid4().hex[:12]}"
+        register_shards(spark, sharded_sessions(spark, sf_dir), name)
+        return name
+    return _once(spark, sf_dir, "table", build)
+
+
+def stored_states(spark: SparkSession, sf_dir: str) -> str:
+    """The states of the stand-in's sessions with sketches, written once per application and input; returns their folder."""
+    from visitstat.operators.states import write_states     # it reads sources itself
+
+    def build() -> str:
+        path = scratch_path(spark, "states")
+        write_states(sessions_table(spark, sf_dir), path, SKETCH_K)
+        return path
+    return _once(spark, sf_dir, "states", build)
