@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -121,8 +122,13 @@ def read_shards(spark: SparkSession, root: str, lo: str | None = None, hi: str |
     return suffix_range(reader.parquet(root), lo, hi)
 
 
+# Layout inside a day: the predicates of the reports skip what cannot match.
+SORTED_BY = ("geoNetwork.country",)
+BLOOM_VALUES = 1_000         # different values of a column that its Bloom filters are made for
+
+
 def write_shards(df: DataFrame, root: str, mode: str = "days", partitions: int | None = None, table: str | None = None,
-                 states: str | None = None) -> list[str]:
+                 states: str | None = None, sort_by: Sequence[str] = SORTED_BY, options: Mapping[str, str] | None = None) -> list[str]:
     """Write session rows as one folder per day suffix; returns the suffixes that were written.
 
     ``mode="days"`` (default) writes the days present in ``df``, replacing each
@@ -130,9 +136,12 @@ def write_shards(df: DataFrame, root: str, mode: str = "days", partitions: int |
     save modes may be given instead ('errorifexists', 'append', 'overwrite' of the
     whole table).
 
-    Range partitioning on (suffix, visit id) gives each task a contiguous run
+    Range partitioning on (suffix, ``sort_by``, visit id) gives each task a contiguous run
     of days and splits a crowded day over several tasks, so a hot day never
-    lands in a single writer and each day gets few files.
+    lands in a single writer and each day gets few files. Inside a day rows are sorted by ``sort_by``
+    (fields of the record) and files carry Bloom filters of these: a filter on one
+    of them reads only the files, row groups and pages whose statistics admit its value.
+    ``options`` go to the Parquet writer.
 
     ``table`` names a catalog table over ``root`` (``register_shards``) that gets the new
     days, ``states`` a folder of states (``operators.states``) that is refreshed for the days written.
@@ -140,8 +149,10 @@ def write_shards(df: DataFrame, root: str, mode: str = "days", partitions: int |
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seen = Observation(f"days_{uuid.uuid4().hex}")
     days = df.observe(seen, F.collect_set(SUFFIX).alias("days"))
-    ranged = days.repartitionByRange(n, F.col(SUFFIX), F.col("visitId"))
-    writer = ranged.write.partitionBy(SUFFIX)
+    order = [F.col(SUFFIX), *[F.col(c) for c in sort_by], F.col("visitId")]
+    ranged = days.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    blooms = {f"parquet.bloom.filter.{k}#{c}": v for c in sort_by for k, v in (("enabled", "true"), ("expected.ndv", str(BLOOM_VALUES)))}
+    writer = ranged.write.partitionBy(SUFFIX).options(**blooms, **(options or {}))
     if mode == "days":
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     else:
