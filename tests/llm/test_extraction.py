@@ -3,8 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from visitstat.llm.dom import FEATURES, features, read
-from visitstat.llm.extraction import decode, extract, train
+from visitstat.llm.dom import FEATURES, WORDS, features, read
+from visitstat.llm.extraction import decode, extract, extract_pages, landmark_labels, train
 from visitstat.llm.layouts import Layouts
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head>
@@ -124,3 +124,49 @@ def test_same_tag_is_counted_at_every_size():
 def test_empty_table(spark, trees):
     df = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert extract(df, trees).collect() == []
+
+
+@pytest.fixture(scope="module")
+def full(spark):
+    """The trees as the query trains them, without given pages."""
+    return train(spark)
+
+
+PARA = "A long enough sentence about something, with words and commas. It goes on for a while, and then it ends here."
+BODY = "<h1>The title of it</h1>" + "".join(f"<p>{PARA} {i} {PARA}</p>" for i in range(6))
+BODY_TEXT = "The title of it\n" + "\n".join(f"{PARA} {i} {PARA}" for i in range(6))
+NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>'
+FOOT = "<footer>&copy; Site. All rights reserved.</footer>"
+
+
+@pytest.mark.parametrize("around", [("", ""), (NAV, FOOT)])
+@pytest.mark.parametrize("wrapper", [
+    '<article class="post {}-enabled">{}</article>', '<article class="{}">{}</article>', '<div class="{}"><article>{}</article></div>',
+    '<div class="{}"><div class="content">{}</div></div>', '<div id="{}"><div class="main-text">{}</div></div>'])
+def test_no_word_of_an_attribute_costs_the_article(full, wrapper, around):
+    words = [w for g, ws in WORDS.items() if g != "content" for w in ws.split()]
+    assert len(words) == 105
+    got = extract_pages([f"<html><body>{around[0]}{wrapper.format(w, BODY)}{around[1]}</body></html>" for w in words], full)
+    assert [w for w, t in zip(words, got) if t != BODY_TEXT] == []
+
+
+def test_pages_without_an_article_are_empty(full):
+    pages = ['<body><a href="/">Home</a> | <a href="/n">News</a> | <a href="/c">Contact</a></body>', "Home | News | Contact",
+             "<body>We use cookies. By going on you give consent.</body>", '<div class="cookie-notice">We use cookies on this site.</div>',
+             f"<body>{NAV}{FOOT}</body>"]
+    assert extract_pages(pages, full) == [""] * len(pages)
+
+
+def test_other_parts_still_go(full):
+    comments = (f'<section id="comments"><h3>2 comments</h3><div><b>Ann</b><p>I liked this a lot.</p></div><div><p>{PARA}</p></div></section>')
+    side = '<div class="sidebar"><h3>Related</h3><ul><li><a href="/">Other story</a></li></ul></div>'
+    pages = [f"{NAV}<article>{BODY}</article>{comments}{FOOT}", f'{NAV}<div class="has-sidebar"><div class="content">{BODY}</div>{side}</div>{FOOT}']
+    assert extract_pages(pages, full) == [BODY_TEXT, BODY_TEXT]
+
+
+def test_a_word_alone_gives_no_label():
+    nodes, _ = read('<div class="comments"><p>a</p></div><article class="comment-enabled"><p>b</p><div class="ad"><p>c</p></div></article>'
+                    '<nav>d</nav><article><footer>e</footer></article><footer>f</footer>')
+    labels = {n.tag + str(i): y for i, (n, y) in enumerate(zip(nodes, landmark_labels(nodes)))}
+    assert labels == {"0": None, "div1": None, "p2": None, "article3": 1, "p4": 1, "div5": None, "p6": None, "nav7": 0,
+                      "article8": 1, "footer9": 1, "footer10": 0}

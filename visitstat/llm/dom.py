@@ -36,6 +36,7 @@ SKIPPED = ("script style noscript template iframe object svg canvas head title s
            "noframes xmp").split()
 BLOCK = {tag: kind for kind, tags in KINDS.items() for tag in tags.split() or [""]}
 WORD = {w: g for g, ws in WORDS.items() for w in ws.split()}
+ANNOUNCING = {w for w, g in WORD.items() if g not in ("content", "head")}
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
@@ -43,6 +44,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\
 _ATTR = re.compile(r"\b(class|id|role|aria-label|itemprop|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _PUNCT = re.compile(r"[.!?,;:]")
+_MARK = re.compile(r" [|/\u00b7\u2022\u00bb\u203a] ")
+_STRIP = ".,;:!?()[]\"'\u00a9"
 
 
 @dataclass
@@ -61,6 +64,8 @@ class Node:
     words: int = 0
     links: int = 0
     punct: int = 0
+    marks: int = 0         # that set items of a menu apart
+    announcing: int = 0    # words of its text that announce a part of a page other than its content
     blocks: int = 1
     paragraphs: int = 0
 
@@ -101,6 +106,8 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 n.words += text.count(" ") + 1
                 n.links += min(linked, len(text))
                 n.punct += len(_PUNCT.findall(text))
+                n.marks += len(_MARK.findall(text))
+                n.announcing += sum(w.strip(_STRIP).lower() in ANNOUNCING for w in text.split(" "))
                 segments.append((at, text))
         run, linked, bare = [], 0, ""
 
@@ -151,7 +158,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         n.paragraphs = int(n.tag == "p")
     for i in range(len(nodes) - 1, 0, -1):
         n, p = nodes[i], nodes[nodes[i].parent]
-        for a in ("chars", "words", "links", "punct", "blocks", "paragraphs"):
+        for a in ("chars", "words", "links", "punct", "marks", "announcing", "blocks", "paragraphs"):
             setattr(p, a, getattr(p, a) + getattr(n, a))
     return nodes, segments
 
@@ -172,34 +179,38 @@ FEATURES = ([f"is_{k}" for k in KIND_NAMES] + [f"says_{g}" for g in GROUP_NAMES]
             + [f"under_{g}" for g in GROUP_NAMES]
             + ["chars", "words", "link_share", "punct_per_word", "blocks", "chars_per_block", "paragraphs", "own_share",
                "depth", "place", "share_of_page", "share_of_parent", "siblings", "same_tag", "sibling_chars",
-               "parent_paragraphs", "before", "words_per_punct", "has_heading"])
+               "parent_paragraphs", "before", "words_per_punct", "has_heading", "beside_heading", "announcing", "marks"])
 
 
 def features(nodes: list[Node]) -> np.ndarray:
     """One row per node: element kind, attribute words of it and of its ancestors, densities
-    of its subtree, depth, place, and statistics of its siblings."""
+    of its subtree, depth, place, and statistics of its siblings.
+
+    ``under_`` a group is not a flag but the part of the page's text that the nearest ancestor with such a
+    word holds: a word on a wrapper around the whole page says little, one on a small part much."""
     out = np.zeros((len(nodes), len(FEATURES)), np.float32)
     kinds, groups = len(KIND_NAMES), len(GROUP_NAMES)
-    inside = [()] * len(nodes)                 # (kinds, groups) of the ancestors
+    inside = [()] * len(nodes)                 # (kinds, {group: share of the page}) of the ancestors
     total, before = max(nodes[0].chars, 1), 0
     inner = ("nav", "header", "footer", "aside", "article", "form")
     alike = Counter((n.parent, n.tag) for n in nodes[1:])
+    titled = {n.parent for n in nodes[1:] if n.tag in ("h1", "h2")}
     for i, n in enumerate(nodes):
         if i == 0:
-            inside[0] = (frozenset(), frozenset())
+            inside[0] = (frozenset(), {})
             continue
         p = nodes[n.parent]
         up = inside[n.parent]
         kind = BLOCK[n.tag]
-        inside[i] = (up[0] | {kind}, up[1] | n.groups)
+        inside[i] = (up[0] | {kind}, up[1] | dict.fromkeys(n.groups, max(n.chars / total, 1e-3)) if n.groups else up[1])
         row = out[i]
         row[KIND_NAMES.index(kind)] = 1
         for g in n.groups:
             row[kinds + GROUP_NAMES.index(g)] = 1
         for j, k in enumerate(inner):
             row[kinds + groups + j] = k in up[0]
-        for g in up[1]:
-            row[kinds + groups + len(inner) + GROUP_NAMES.index(g)] = 1
+        for g, share in up[1].items():
+            row[kinds + groups + len(inner) + GROUP_NAMES.index(g)] = share
         sib = p.children
         same = alike[n.parent, n.tag]
         row[kinds + 2 * groups + len(inner):] = (
@@ -207,6 +218,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             np.log1p(n.chars / n.blocks), np.log1p(n.paragraphs), n.own / max(n.chars, 1), n.depth, i / len(nodes),
             n.chars / total, n.chars / max(p.chars, 1), np.log1p(len(sib)), np.log1p(same),
             np.log1p((p.chars - p.own) / len(sib)), np.log1p(p.paragraphs), before / total,
-            n.words / (1 + n.punct), any(nodes[c].tag in ("h1", "h2") for c in n.children))
+            n.words / (1 + n.punct), i in titled, n.parent in titled and n.parent > 0, n.announcing / max(n.words, 1),
+            n.marks / max(n.words, 1))
         before += n.own
     return out

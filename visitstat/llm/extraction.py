@@ -11,10 +11,10 @@ the tree.
 
 The trees are trained here on two bounded sets of nodes: pages of random
 layouts, whose labels are known (``layouts``), and at most ``SAMPLE_PAGES`` of the
-given pages (chosen by a hash of the html), where landmarks label the nodes: inside article
+given pages (chosen by a hash of the html), where landmark elements label the nodes: inside article
 or main is content, inside nav, footer, aside or form is not, others are left
-out. Attribute words count for landmarks too, so an advert in an article is no
-content. Every page is then read and decoded whole.
+out, and so is what attribute words announce as another part: a word alone gives no
+label. Every page is then read and decoded whole; the trees decide on all text, that outside any block included.
 
 Defined results: a null, empty or textless page gives an empty text; repeated
 rows give equal rows; null ids and urls stay null; an empty table gives an
@@ -38,10 +38,10 @@ from visitstat.llm.dom import BLOCK, Node, features, read
 from visitstat.llm.layouts import Layouts
 from visitstat.session import write_table
 
-LAYOUT_PAGES = 600       # generated training pages
+LAYOUT_PAGES = 1200      # generated training pages
 SAMPLE_PAGES = 200       # given pages in the training set, at most about this many
-TREES, DEPTH, STEP, SEED = 30, 5, 0.25, 7
-NEUTRAL = ("ad", "side", "notice", "comment", "share", "form", "menu", "foot")     # words that undo a landmark
+TREES, DEPTH, STEP, SEED = 60, 5, 0.25, 7
+NEUTRAL = ("ad", "side", "notice", "comment", "share", "form", "menu", "foot")     # words that leave a node unlabelled
 
 
 class Trees:
@@ -85,15 +85,19 @@ class Trees:
 
 
 def landmark_labels(nodes: list[Node]) -> list[int | None]:
-    """Labels that the page's own landmarks give: 1, 0 or none."""
+    """Labels that the page's own landmark elements give: 1, 0 or none."""
     out: list[int | None] = [None] * len(nodes)
+    open_ = [True] * len(nodes)        # false below a part that only words announce
     for i, n in enumerate(nodes[1:], 1):
         kind, up = BLOCK[n.tag], out[n.parent]
-        if kind in ("nav", "footer", "aside", "form") or n.groups & set(NEUTRAL):
-            out[i] = 0 if up != 1 or kind in ("nav", "aside", "form") or n.groups & set(NEUTRAL) else 1
-        elif kind == "article" and up is None:
+        open_[i] = open_[n.parent]
+        if kind in ("nav", "aside", "form") or kind == "footer" and up != 1:
+            out[i] = 0
+        elif kind == "article" and up is None and open_[i]:
             out[i] = 1
-        else:
+        elif n.groups & set(NEUTRAL):
+            open_[i] = False
+        elif open_[i]:
             out[i] = up
     return out
 
@@ -167,9 +171,7 @@ def extract_pages(pages: list[str], trees: Trees) -> list[str]:
     for nodes, segments in parsed:
         kept = decode(nodes, p[at:at + len(nodes)])
         at += len(nodes)
-        # where nothing at all is kept, the text straight in the page is
-        some = any(kept[i] for i, _ in segments)
-        out.append("\n".join(t for i, t in segments if (kept[i] if some else not nodes[i].tag)))
+        out.append("\n".join(t for i, t in segments if kept[i]))
     return out
 
 

@@ -4,6 +4,8 @@ pages are made of, every block element marked with ``data-y`` (1 content, 0 not)
 The rules follow common page conventions: landmarks or plain divs, class and id
 words in several spellings or none, end tags left out, boilerplate before,
 beside, after and inside the article, reader comments in the same prose as it.
+The article, what is in it and what is around it carry words that announce other parts, too
+(``comment-enabled``, ``has-sidebar``, ``top``): a word alone decides nothing.
 One page in four has text straight in the body, in inline elements at most; there
 an inline element carries the mark.
 """
@@ -12,6 +14,8 @@ from __future__ import annotations
 
 import random
 
+from visitstat.llm.dom import WORDS
+
 _SYLLABLES = "ba co de fi gu ha jo ka le mi no pe ra su ti vo wa xe yo zu an er in or ut".split()
 # Class or id words per part; one is drawn, or none.
 NAMES = {
@@ -27,6 +31,9 @@ NAMES = {
     "content": "content article post entry-content story-body main article-body post-content text",
     "wrap": "wrapper container page site layout row col inner grid outer",
 }
+# How a word of another part appears on content, and the words.
+MISLEADING = ("{}", "{}", "{}-enabled", "has-{}", "with-{}", "{}-open", "{}_wrap", "{}-page", "no-{}", "{}-2")
+MISLEADING_GROUPS = [*WORDS, "comment", "comment", "side"]
 
 
 class Layouts:
@@ -49,6 +56,9 @@ class Layouts:
             words = self.r.choice(NAMES[part].split())
             extra = f" {self.r.choice(NAMES['wrap'].split())}-{self.r.randint(1, 9)}" if self.r.random() < 0.2 else ""
             attrs = f' {self.r.choice(["class", "class", "id"])}="{words}{extra}"'
+        if y and part and self.r.random() < 0.45:
+            word = self.r.choice(MISLEADING).format(self.r.choice(WORDS[self.r.choice(MISLEADING_GROUPS)].split()))
+            attrs = f'{attrs[:-1]} {word}"' if attrs and self.r.random() < 0.6 else f' {self.r.choice(["class", "id"])}="{word}"'
         end = "" if name in ("p", "li") and self.r.random() < 0.15 else f"</{name}>"
         return f'<{name}{attrs} data-y="{y}">{body}{end}'
 
@@ -70,6 +80,8 @@ class Layouts:
     def small(self, part: str) -> str:
         """An advert, notice, share bar or form."""
         text = self.prose(1, 2) if self.r.random() < 0.6 else self.words(2, 9)
+        if part in ("notice", "form") and self.r.random() < 0.5:
+            text = self.telling(text)
         if part == "form":
             return self.tag("form", 0, self.tag("div", 0, text) + '<input name="q"><button>Go</button>', "form")
         if part == "share":
@@ -78,6 +90,20 @@ class Layouts:
         return self.tag(self.r.choice(["div", "div", "section", "aside", "p"]) if "<p" not in body
                         else self.r.choice(["div", "section", "aside"]), 0, body, part, 1.0)
 
+    def telling(self, text: str) -> str:
+        """A short text that says itself what it is."""
+        words = text.split()
+        for _ in range(self.r.randint(1, 3)):
+            words.insert(self.r.randint(0, len(words)), self.r.choice((WORDS["notice"] + " " + WORDS["form"]).split()))
+        return " ".join(words)
+
+    def mentioning(self, text: str) -> str:
+        """Content that has such a word in its text now and then."""
+        words = text.split()
+        if self.r.random() < 0.25:
+            words.insert(self.r.randint(0, len(words)), self.r.choice(WORDS[self.r.choice(list(WORDS))].split()))
+        return " ".join(words)
+
     def side(self) -> str:
         parts = []
         for _ in range(self.r.randint(1, 4)):
@@ -100,17 +126,21 @@ class Layouts:
             body += self.links(self.r.randint(2, 6))
         return self.tag(self.r.choice(["footer", "footer", "footer", "div"]), 0, body, "footer", 0.8)
 
+    def seldom(self) -> tuple:
+        """Arguments of ``tag`` that give a part of an article a name now and then."""
+        return ("content", 0.5) if self.r.random() < 0.1 else ()
+
     def paragraph(self) -> str:
         k = self.r.random()
         if k < 0.68:
-            text = self.prose(1, 9) if self.r.random() < 0.85 else self.words(1, 12)
+            text = self.mentioning(self.prose(1, 9) if self.r.random() < 0.85 else self.words(1, 12))
             if self.r.random() < 0.25:
                 text = text.replace(" ", f' <a href="/">{self.word()}</a> ', 1)
             if self.r.random() < 0.15:
                 text = f"<b>{text}<br>"
-            return self.tag("p" if self.r.random() < 0.9 else "div", 1, text)
+            return self.tag("p" if self.r.random() < 0.9 else "div", 1, text, *self.seldom())
         if k < 0.78:
-            return self.tag(self.r.choice(["h2", "h3"]), 1, self.words(1, 7))
+            return self.tag(self.r.choice(["h2", "h3"]), 1, self.mentioning(self.words(1, 7)), *self.seldom())
         if k < 0.88:
             return self.tag(self.r.choice(["ul", "ol"]), 1, "".join(
                 self.tag("li", 1, self.prose(1, 2) if self.r.random() < 0.6 else self.words(1, 8))
@@ -124,11 +154,12 @@ class Layouts:
         return self.tag("table", 1, rows)
 
     def article(self) -> str:
-        title = self.tag("h1", 1, self.words(2, 10)) if self.r.random() < 0.85 else ""
+        title = self.tag("h1", 1, self.mentioning(self.words(2, 10)), *self.seldom()) if self.r.random() < 0.85 else ""
         if title and self.r.random() < 0.15:
             title = self.tag("header", 1, title)
         if self.r.random() < 0.25:         # a very short one
-            parts = [self.tag("p", 1, self.words(1, 6).capitalize() + ".") for _ in range(self.r.randint(1, 2))]
+            parts = [self.tag("p", 1, self.words(1, 6).capitalize() + "." if self.r.random() < 0.6 else self.prose(1, 2))
+                     for _ in range(self.r.randint(1, 2))]
         else:
             parts = [self.paragraph() for _ in range(self.r.choice([1, 1, 2, 3, 5, 8, 12, 20]))]
         if self.r.random() < 0.25:
@@ -150,18 +181,23 @@ class Layouts:
 
     def bare_links(self) -> str:
         mark = self.r.choice([" | ", " ", " &middot; "])
+        if self.r.random() < 0.3:              # the links' text alone
+            return self.r.choice([" | ", " &middot; ", " &raquo; ", " / "]).join(self.words(1, 2) for _ in range(self.r.randint(3, 9)))
         return mark.join(f'<a href="/">{self.words(1, 2)}</a>' for _ in range(self.r.randint(2, 12)))
 
     def bare_page(self) -> str:
         """The body of a page whose article, and often other parts too, lie straight in it."""
-        if self.r.random() < 0.15:
+        alone = self.r.random()
+        if alone < 0.15:
             return self.bare(1, self.words(1, 12) if self.r.random() < 0.5 else self.prose(1, 7))
+        if alone < 0.22:                       # a menu or a notice and nothing else
+            return self.bare(0, self.bare_links() if self.r.random() < 0.5 else self.telling(self.prose(1, 2)))
         parts = []                             # (label of bare text or None, html)
         if self.r.random() < 0.6:
             parts.append(self.r.choice([lambda: (None, self.header()), lambda: (None, self.menu()),
                                         lambda: (0, self.bare(0, self.bare_links()))])())
         if self.r.random() < 0.75:
-            parts.append((None, self.tag(self.r.choice(["h1", "h1", "h2"]), 1, self.words(1, 10))))
+            parts.append((None, self.tag(self.r.choice(["h1", "h1", "h2"]), 1, self.mentioning(self.words(1, 10)))))
         first, share = len(parts), self.r.choice([0.2, 0.5, 0.8, 1.0])
         for _ in range(self.r.choice([1, 2, 3, 5, 8, 12])):
             if self.r.random() < share:
@@ -191,6 +227,9 @@ class Layouts:
         if self.seed % 4 == 3:
             return f"<html><head><title>{self.words(2, 6)}</title></head><body>{self.bare_page()}</body></html>"
         some = lambda p, f: f() if self.r.random() < p else ""
+        if self.r.random() < 0.06:             # no article at all
+            body = some(0.4, self.menu) + some(0.6, lambda: self.small("notice")) + some(0.3, self.footer) or self.small("notice")
+            return f"<html><head><title>{self.words(2, 6)}</title></head><body>{body}</body></html>"
         middle = [self.article()]
         if self.r.random() < 0.45:
             middle.insert(self.r.choice([0, 1]), self.side())
