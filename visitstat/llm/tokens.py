@@ -46,7 +46,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         self.limit = limit
         self.cut = self._splits_at_spaces()
-        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.letters = byte_letters()
+        self.bpe = Tokenizer(self.tokenizer.model)      # the merges alone, without the split pattern
         self.space, self.line = self.letters[0x20], self._ids("\n")
         self.bare: dict[str, bytes] = {}
         self.stops: dict[str, bytes] = {}
@@ -68,7 +69,7 @@ class Encoder:
         """Letters, after a space or not: a single piece, so the library's BPE model
         encodes it without the split pattern."""
         letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(space + letters)]).tobytes()
+        return array("I", self.bpe.encode(space + letters, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, text: str, space: str) -> bytes:
         """The ids of ``space`` and a text without white space. Letters and the stops after
