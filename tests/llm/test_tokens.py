@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from tests.llm.data import frame, rows
 from visitstat.llm import token_files
 from visitstat.llm.packing import pack, sequences
-from visitstat.llm.token_files import Reader, Writer, read_token_files, token_digest, write_token_files
+from visitstat.llm.token_files import Reader, Writer, read_token_digests, read_token_files, token_digest, write_token_files
 from visitstat.llm.tokens import encoder
 from visitstat.session import scratch_path
 
@@ -85,6 +85,7 @@ def test_token_files_equal_a_plain_loop(spark):
     path = scratch_path(spark, "test_tokens")
     write_token_files(frame(spark), path, PATH)
     got = token_digest(read_token_files(spark, path)).collect()
+    assert sorted(map(str, read_token_digests(spark, path).collect())) == sorted(map(str, got))
     assert [g.doc_id for g in sorted(got, key=lambda g: g.start)] == [r[0] for r in data]
     total = sum(len(ids(r[1], 0)) for r in data)
     assert sum(g.n_tokens for g in got) == total

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -161,9 +162,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return m.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("bigint")))
 
 
-def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, start, ids): the documents read back from the files, all of them or
-    those with the given ids (other files are not opened, other frames not read)."""
+def _read(spark: SparkSession, path: str, doc_ids: list[int] | None, content: str, kind: str, of) -> DataFrame:
+    """(doc_id, start, ...) of the documents in the files; ``of`` makes the columns ``content`` (DDL) from
+    the ids of some documents, inside the task that reads them."""
     folder, manifest = path.rstrip("/"), read_manifest(spark, path)
     if doc_ids is not None:
         ids = sorted(doc_ids)
@@ -185,10 +186,25 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
                     for some in np.array_split(keep, max(1, len(keep) // 256)):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([r.doc_id(i) for i in some], pa.int64()), pa.array(start[some], pa.int64()),
-                             pa.array([r.ids(int(i)) for i in some], pa.binary())], ["doc_id", "start", "ids"])
+                             *of(r.ids(int(i)) for i in some)], ["doc_id", "start", *kind.split()])
 
     # one task per file, however few rows the manifest has
-    return manifest.repartitionByRange(max(files, 1), "part").mapInArrow(run, "doc_id bigint, start bigint, ids binary")
+    return manifest.repartitionByRange(max(files, 1), "part").mapInArrow(run, f"doc_id bigint, start bigint, {content}")
+
+
+def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
+    """(doc_id, start, ids): the documents read back from the files, all of them or
+    those with the given ids (other files are not opened, other frames not read)."""
+    return _read(spark, path, doc_ids, "ids binary", "ids", lambda ids: [pa.array(list(ids), pa.binary())])
+
+
+def read_token_digests(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
+    """``token_digest`` of ``read_token_files``, made where the ids are read: they do not leave the task."""
+    def of(ids: Iterator[bytes]) -> list[pa.Array]:
+        found = [(len(x) // 4, zlib.crc32(x)) for x in ids]
+        return [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+
+    return _read(spark, path, doc_ids, "n_tokens bigint, ids_crc32 bigint", "n_tokens ids_crc32", of)
 
 
 def token_digest(rows: DataFrame) -> DataFrame:
