@@ -24,3 +24,15 @@ def test_report_runs(spark, shards, report):
     df = run(spark, [report, "--source", shards, "--lo", "19970101", "--hi", "19971231", "--out", out,
                      "--min-count", "1", "--country-min-count", "1"])
     assert df.count() > 0
+
+
+def test_what_was_built_outlives_dropped_tables(spark):
+    """Dropping the intermediate tables makes the stand-in anew instead of giving out dead tables."""
+    from visitstat.session import drop_scratch, scratch_count
+    from visitstat.sources.testdata import sessions_table
+    sf = "/root/testdata/sf0.001"
+    n = sessions_table(spark, sf).count()
+    before = scratch_count()
+    assert sessions_table(spark, sf).count() == n and scratch_count() == before      # kept
+    drop_scratch(spark)
+    assert sessions_table(spark, sf).count() == n and scratch_count() > 0

@@ -104,6 +104,16 @@ def scratch_count() -> int:
     return len(_SCRATCH)
 
 
+def scratch_since(n: int) -> list[str]:
+    """The intermediate tables named after the first ``n``."""
+    return _SCRATCH[n:]
+
+
+def not_dropped(paths: list[str]) -> bool:
+    """Whether none of these intermediate tables was deleted by ``drop_scratch``."""
+    return set(paths) <= set(_SCRATCH)
+
+
 def write_table(df, name: str = "table", count_rows: bool = False, observe: dict | None = None):
     """Write ``df`` as parquet into the shared checkpoint folder and read it back.
 

@@ -28,7 +28,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitstat.session import application_id, scratch_path, write_table
+from visitstat.session import application_id, not_dropped, scratch_count, scratch_path, scratch_since, write_table
 from visitstat.sources.shards import register_shards, write_shards
 
 # Fixed values of the mapping.
@@ -117,16 +117,19 @@ def with_dirty_days(df: DataFrame) -> DataFrame:
     return df.withColumn("date", F.when(F.col("device.browser") == "P", bad).otherwise(d))
 
 
-_BUILT: dict[tuple, object] = {}
+_BUILT: dict[tuple, tuple[object, list[str]]] = {}      # what was built, and the tables written for it
 _INPUTS = ("orders", "lineitem", "customer", "nation", "region")
 
 
 def _once(spark: SparkSession, sf_dir: str, what: str, build):
-    """``build()``, kept for the application as long as the input files stay the same."""
+    """``build()``, kept for the application as long as the input files stay the same and the tables
+    it wrote were not dropped."""
     key = (application_id(spark), spark, what, *(signature(spark, f"{sf_dir}/{t}.parquet") for t in _INPUTS))
-    if key not in _BUILT:
-        _BUILT[key] = build()
-    return _BUILT[key]
+    if key not in _BUILT or not not_dropped(_BUILT[key][1]):
+        before = scratch_count()
+        made = build()
+        _BUILT[key] = (made, scratch_since(before))
+    return _BUILT[key][0]
 
 
 def sessions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
