@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from bisect import bisect_left
 from collections import Counter
 
 import public_tokenizers
@@ -46,10 +47,10 @@ def grouped(text):
         return out
     ea, eb = ends(a), ends(b)
     common = sorted({e for e, _ in ea} & {e for e, _ in eb})
-    out, low = [], 0
-    for high in common:
-        out.append(([i for e, i in ea if low < e <= high], [i for e, i in eb if low < e <= high]))
-        low = high
+    out = [([], []) for _ in common]
+    for k, side in enumerate((ea, eb)):
+        for e, i in side:
+            out[bisect_left(common, e)][k].append(i)
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitstat.session import scratch_path
+from visitstat.session import checkpoint_dir
 
 # White space that separates words everywhere in this package (fixed value).
 SPACE = "\\x20\\x09-\\x0D"
@@ -90,7 +91,8 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Send this library to the executors (once per application), so that tasks can
-    import it where it is not installed. The archive lies in the shared checkpoint folder."""
+    import it where it is not installed. The archive lies in the shared checkpoint folder and is no
+    intermediate table: executors that start later fetch it, so ``drop_scratch`` leaves it."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -100,7 +102,7 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w") as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))
-    path = f"{scratch_path(spark, 'package')}/visitstat.zip"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/visitstat/package-{uuid.uuid4().hex}/visitstat.zip"
     fs, place = filesystem(path)
     fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
     with fs.open_output_stream(place, compression=None) as out:

@@ -97,6 +97,8 @@ def tilts(counts: DataFrame, goals: DataFrame, cap: int = CAP, size_weight: floa
         state, miss = _newton(n, state, cap, size_weight)
         if miss <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"a source misses its target by {miss:.2g} of it after {STEPS} Newton steps")
     return state.select("source", "source_size", "target", "mean", "tilt", "full")
 
 
