@@ -2,11 +2,12 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.data import frame, rows
-from visitstat.llm.simhash import SEGMENTS, WIDTH, fingerprint, forest, keep_one, linked, links, near_groups
+from visitstat.llm.simhash import SEGMENTS, WIDTH, finer, fingerprint, forest, free_bits, keep_one, linked, links, near_groups, quarters
 
 
 def plain(text):
@@ -110,3 +111,84 @@ def test_keep_one_keeps_the_smallest_id_and_all_columns(spark):
 
 def test_empty_table(spark):
     assert near_groups(frame(spark, []), F.col("doc_id")).collect() == []
+
+
+def test_finer_keys_miss_no_pair():
+    """Two members within the distance share one of the four finer keys, at every step."""
+    rng = random.Random(8)
+    for _ in range(300):
+        slot = rng.randrange(64)
+        bits, a = free_bits(slot), rng.getrandbits(64)
+        assert bits.bit_count() == 32
+        b = a
+        for p in rng.sample([p for p in range(64) if bits >> p & 1], rng.randint(0, 3)):
+            b ^= 1 << p
+        key = rng.getrandbits(62)
+        while bits.bit_count() > 3:
+            assert sum(quarters(bits)) == bits
+            keys, members, free = finer(key, np.array([a, b], np.uint64), bits)
+            shared = [(int(k), int(f)) for k, f in zip(keys[::2], free[::2]) if k in keys[1::2]]
+            assert shared and members.tolist() == [a, b] * 4
+            key, bits = rng.choice(shared)
+
+
+def families(seed, n, flips):
+    rng = random.Random(seed)
+    out = set()
+    for _ in range(5):
+        base = rng.getrandbits(64)
+        while len(out) % n or not out:
+            x = base
+            for b in rng.sample(range(64), rng.randint(0, flips)):
+                x ^= 1 << b
+            out.add(x)
+        base = rng.getrandbits(64)
+        out.add(base)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("split", [3, 30])
+def test_split_keys_connect_like_all_pairs(spark, split):
+    fps = families(split, 60, 5)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp bigint")
+    edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in links(df, split).collect()]
+    assert all((a ^ b).bit_count() <= 3 for a, b in edges)
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)), key=fps.index)
+        root[y] = x
+    assert [fps.index(find(f)) for f in fps] == classes(fps)
+
+
+def test_a_large_family_is_spread_over_keys(spark):
+    """Many different near copies of one text: no key holds more than the bound when it is compared."""
+    rng = np.random.default_rng(5)
+    flips = rng.random((4_000, 64)) < 0.03
+    fps = np.unique((flips * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(axis=1, dtype=np.uint64))
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp bigint")
+    whole, cut = (sorted((r.a, r.b) for r in links(df, n).collect()) for n in (1 << 15, 300))
+    index = {int(f): i for i, f in enumerate(fps.view(np.int64))}
+
+    def roots(edges):
+        root = list(range(len(fps)))
+        for a, b in edges:
+            i, j = index[a], index[b]
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            while root[j] != j:
+                root[j] = root[root[j]]
+                j = root[j]
+            root[max(i, j)] = min(i, j)
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+        return [top(i) for i in range(len(fps))]
+    assert len(fps) > 1_500 and roots(whole) == roots(cut)

@@ -14,6 +14,12 @@ forest are returned: members already reached are not compared again, so a
 large group of near copies costs about one pass over it, and no set of all
 pairs is made. Components follow from these edges.
 
+A key with more than ``SPLIT`` members is not compared by one task. Its members go on, as they
+stream by, to four finer keys each: the bits that the key does not fix are cut in four parts, and
+two fingerprints within the distance agree in one of them. Finer keys are split again while they are too
+large; each step fixes a quarter of what is left, and with ``FLOOR`` free bits (and the masked one) a key has
+no more than ``SPLIT`` different members. That is three steps: 64 rows for a member of the largest keys.
+
 Defined results: null and empty texts have no words and fingerprint zero,
 linked like any other. Repeated rows have equal fingerprints. A null id is
 ignored when a component's smallest id is taken (null if it has no other). An
@@ -39,6 +45,8 @@ SHINGLE = 3          # words per shingle
 DISTANCE = 3         # links at this many differing bits or fewer
 SEED = 42            # seed of XXH64
 SEGMENTS, WIDTH = 4, 16
+FLOOR = 14           # free bits from which on a key is not split
+SPLIT = 2 << FLOOR   # most members of a key that are compared with each other in one place
 
 
 def fingerprint(data: bytes, words: int = SHINGLE) -> int:
@@ -106,8 +114,9 @@ def linked(x: np.ndarray, slot: int, distance: int = DISTANCE) -> np.ndarray:
     return (total <= distance) & (total - outside <= 3 * distance // SEGMENTS)
 
 
-def forest(members: np.ndarray, slot: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Edges of a spanning forest of the linked members of one key.
+def forest(members: np.ndarray, slot: int | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges of a spanning forest of the linked members of one key; under a finer key (no
+    ``slot``) the full distance alone decides.
 
     Each reached member is compared once with the members not reached yet.
     """
@@ -117,7 +126,7 @@ def forest(members: np.ndarray, slot: int) -> tuple[list[np.ndarray], list[np.nd
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             u = front.pop()
-            hit = linked(rest ^ u, slot)
+            hit = np.bitwise_count(rest ^ u) <= DISTANCE if slot is None else linked(rest ^ u, slot)
             if hit.any():
                 found = rest[hit]
                 left.append(np.full(len(found), u, np.uint64))
@@ -127,42 +136,124 @@ def forest(members: np.ndarray, slot: int) -> tuple[list[np.ndarray], list[np.nd
     return left, right
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b): edges that connect the given distinct fingerprints exactly as all
-    pairs within the distance do."""
-    keyed = ring_keys(fps).repartition("key").sortWithinPartitions("key", "fp")
+def free_bits(slot: int) -> int:
+    """The bits that an index key does not fix: those of the ring's two other segments."""
+    out = 0
+    for k in (2, 3):
+        out |= ((1 << WIDTH) - 1) << (64 - WIDTH * ((slot // WIDTH + k) % SEGMENTS + 1))
+    return out
+
+
+def quarters(bits: int) -> list[int]:
+    """The set bits cut in four parts of nearly equal number."""
+    places = [b for b in range(64) if bits >> b & 1]
+    return [sum(1 << b for b in part.tolist()) for part in np.array_split(np.array(places, np.int64), DISTANCE + 1)]
+
+
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (multiply and shift)."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def finer(key: int, members: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, member, free bits) of the members under four finer keys each."""
+    keys, free = [], []
+    seed = mixed_bits(np.array([key & (1 << 64) - 1], np.uint64))
+    for i, part in enumerate(quarters(bits)):
+        keys.append(mixed_bits(mixed_bits(members & np.uint64(part)) ^ seed ^ np.uint64(i + 1)))
+        free.append(np.full(len(members), bits & ~part, np.uint64))
+    return np.concatenate(keys), np.tile(members, len(keys)), np.concatenate(free)
+
+
+def _compared(keyed: DataFrame, split: int) -> tuple[DataFrame, int]:
+    """(a, b, key, free) and the number of rows with a key: edges have none, members of keys that are too
+    large come back under finer keys. ``free`` is null for the first index."""
+    rows = keyed.repartition("key").sortWithinPartitions("key", "fp")
+    names = ["a", "b", "key", "free"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(a, b, key, free) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if x is None else pa.array(x.view(np.int64))
+                                               for x in (a, b, key, free)], names)
+
+        def close(key: np.ndarray, fp: np.ndarray, free: np.ndarray | None) -> Iterator[pa.RecordBatch]:
             """Runs of equal keys, all of them whole."""
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
             size = np.diff(np.r_[start, len(key)])
             left, right = [], []
             for s, n in zip(start[size > 1].tolist(), size[size > 1].tolist()):
-                a, b = forest(fp[s:s + n], int(key[s]) >> 32)
+                if n > split and divisible(key[s], free, s):
+                    yield move_on(key[s], fp[s:s + n], free, s)
+                    continue
+                a, b = forest(fp[s:s + n], int(key[s]) >> 32 if free is None else None)
                 left += a
                 right += b
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)],
-                                                 ["a", "b"])
+                yield out(np.concatenate(left), np.concatenate(right), None, None)
+
+        def bits_of(key, free, s) -> int:
+            return free_bits(int(key) >> 32) if free is None else int(free[s])
 
-        parts, last = [], None                  # rows of the key that may go on
+        def divisible(key, free, s) -> bool:
+            return bits_of(key, free, s).bit_count() > FLOOR
+
+        def move_on(key, members, free, s) -> pa.RecordBatch:
+            k, m, f = finer(int(key), members, bits_of(key, free, s))
+            return out(m, None, k, f)
+
+        parts, last, held, moving = [], None, 0, False      # rows of the key that may go on
         for b in it:
             key = b["key"].to_numpy(zero_copy_only=False)
             fp = b["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
+            free = None if b["free"].null_count else b["free"].to_numpy(zero_copy_only=False).view(np.uint64)
             if len(key) == 0:
                 continue
+            if moving:                                       # the rest of a key that is too large
+                n = int(np.searchsorted(key, last, "right"))
+                if n:
+                    yield move_on(last, fp[:n], free, 0)
+                key, fp, free = key[n:], fp[n:], None if free is None else free[n:]
+                if len(key) == 0:
+                    continue
+                moving = False
             cut = int(np.searchsorted(key, key[-1]))
+            piece = lambda a, z: (key[a:z], fp[a:z], None if free is None else free[a:z])  # noqa: E731, B023
             if cut == 0 and last == key[0]:
-                parts.append((key, fp))
-                continue
-            parts.append((key[:cut], fp[:cut]))
-            yield from close(*(np.concatenate(x) for x in zip(*parts)))
-            parts, last = [(key[cut:], fp[cut:])], key[-1]
+                parts.append(piece(0, len(key)))
+                held += len(key)
+            else:
+                yield from close(*joined([*parts, piece(0, cut)]))
+                parts, last, held = [piece(cut, len(key))], key[-1], len(key) - cut
+            if held > split and divisible(last, free, len(key) - 1 if free is not None else 0):
+                k, m, f = joined(parts)
+                yield move_on(last, m, f, 0)
+                parts, held, moving = [], 0, True
         if parts:
-            yield from close(*(np.concatenate(x) for x in zip(*parts)))
+            yield from close(*joined(parts))
 
-    return keyed.mapInArrow(run, "a bigint, b bigint").distinct()
+    def joined(parts: list) -> tuple:
+        key, fp, free = zip(*parts)
+        return np.concatenate(key), np.concatenate(fp), None if free[0] is None else np.concatenate(free)
+
+    table, seen = write_table(rows.mapInArrow(run, "a bigint, b bigint, key bigint, free bigint"), "compared",
+                              observe={"more": F.count("key")})
+    return table, seen["more"] or 0
+
+
+def links(fps: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(a, b): edges that connect the given distinct fingerprints exactly as all
+    pairs within the distance do."""
+    # spread first: few bytes become 64 rows per fingerprint
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = ring_keys(fps.repartition(parts, "fp")).withColumn("free", F.lit(None).cast("bigint"))
+    table, more = _compared(keyed, split)
+    edges = table.filter("key IS NULL").select("a", "b")
+    while more:
+        table, more = _compared(table.filter("key IS NOT NULL").select("key", F.col("a").alias("fp"), "free"), split)
+        edges = edges.union(table.filter("key IS NULL").select("a", "b"))
+    return edges.distinct()
 
 
 def near_groups(docs: DataFrame, doc_id: Column, text: str = "text", words: int = SHINGLE) -> DataFrame:
