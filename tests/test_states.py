@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.test_shards import sample_sessions
 from visitstat.operators import states as S
