@@ -39,7 +39,6 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from visitstat.llm.common import batches, filesystem, text_bytes
 from visitstat.llm.tokens import encoder
