@@ -146,3 +146,16 @@ def test_catalog_table_lists_only_the_range(spark):
     finally:
         spark.sql(f"DROP TABLE {table}")
     assert read_shards(spark, root).count() > 0                   # dropping the table leaves the shards
+
+
+@pytest.mark.parametrize("k", [None, 200])
+def test_states_are_made_once_by_several_tasks(spark, k):
+    """The sessions are partitioned by the keys, so no partial state is sent and no second partitioning
+    makes the states again; a month's states do not end in one task."""
+    df = sessions(spark, [f"201706{d:02d}" for d in range(1, 31)])
+    plan = S.session_states(df, k, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan and "hashpartitioning" not in plan
+    path = stored(spark, df, k)
+    stored_rows, plain = S.read_states(spark, path), S.session_states(df)
+    assert len({f for f in stored_rows.inputFiles() if "period=201706" in f}) > 1
+    assert sorted(map(str, stored_rows.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
