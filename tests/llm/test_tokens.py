@@ -13,7 +13,7 @@ from tests.llm.data import frame, rows
 from visitstat.llm import token_files
 from visitstat.llm.packing import pack, sequences
 from visitstat.llm.token_files import Reader, Writer, read_token_digests, read_token_files, token_digest, write_token_files
-from visitstat.llm.tokens import encoder
+from visitstat.llm.tokens import Encoder, encoder
 from visitstat.session import scratch_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -130,3 +130,19 @@ def test_empty_tables(spark):
     write_token_files(frame(spark, []), path, PATH)
     assert read_token_files(spark, path).collect() == []
     assert pack(frame(spark, []), PATH).collect() == []
+
+
+@pytest.mark.parametrize("limit", [1, 2, 6, 40, 1_000_000])
+def test_cache_keeps_the_words_met_last(limit):
+    """At its limit the cache drops words not met for long; the ids stay those of the library."""
+    enc = Encoder(PATH, limit=limit)
+    rng = random.Random(limit)
+    for i in range(300):
+        words = ["the"] + [f"w{rng.choice('abcdef') * 2}{x}" for x in rng.choices(["", ".", "&&&", "\nNew", "|", " ", "'s", "%%%,"], k=8)] + ["the"]
+        text = " ".join(words) + rng.choice(["", " ", "\n"])
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(enc.cache) + len(enc.cache.older) <= max(limit, 2)
+    if limit == 40:          # a cache that starts anew would lose the word now and then
+        for _ in range(200):
+            enc.encode("x the " + "".join(rng.choices("abcdefghij", k=6)) + " a")
+            assert "the" in enc.cache or "the" in enc.cache.older
