@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,5 +48,37 @@ def test_documents_found_are_the_right_ones(spark):
     assert got == {(q, rank): d for q, rank, d, _ in plain(data, 5)}
 
 
+def test_batches_and_thresholds_lose_nothing(monkeypatch):
+    """Queries worked together, with thresholds that rule out most blocks: the k best of a plain sum."""
+    from visitstat.llm import search as S
+    from visitstat.llm.arrays import pack
+    rng, k = np.random.default_rng(3), 4
+    docs = [np.unique(rng.zipf(1.3, rng.integers(0, 200)) % 5000) for _ in range(700)]
+    docs += docs[:5]
+    flat, count = np.concatenate(docs), np.array([len(d) for d in docs])
+    hashes, terms = np.unique(flat, return_inverse=True)
+    tf, df = rng.integers(1, 4, len(flat)), np.bincount(terms)
+    shard = S.Shard(pack(count, count, terms, tf, np.zeros(len(docs), np.int64)), pack(hashes, df), df, len(docs), count.mean())
+    parts = np.zeros((len(docs), len(hashes)))
+    who = np.repeat(np.arange(len(docs)), count)
+    parts[who, terms] = np.log1p((len(docs) - df + 0.5) / (df + 0.5))[terms] * tf * 2.2 / (
+        tf + 1.2 * (0.25 + 0.75 * count[who] / count.mean()))
+    cut = np.r_[0, count.cumsum()]
+    queries = [terms[cut[q]:cut[q + 1]] for q in range(len(docs)) if count[q]]
+    want = []
+    for words in queries:
+        scores = np.round(parts[:, words].sum(axis=1), 6)
+        best = [d for d in np.lexsort((np.arange(len(docs)), -scores))[:k] if scores[d] > 0]
+        want.append((best, scores[best]))
+    monkeypatch.setattr(S, "BATCH_QUERIES", 50)
+    for share in (0.0, 0.9, 1.0):
+        asked = S.Asked(0, None, pack(np.arange(len(queries)), np.array([len(w) for w in queries]),
+                                      hashes[np.concatenate(queries)], np.array([share * (w[1][-1] - 1e-5) for w in want])))
+        got = list(asked.run(shard, k, lambda d: d))
+        assert [g[0] for g in got] == list(range(len(queries)))
+        for (_, found, scores), (best, most) in zip(got, want):
+            assert scores == pytest.approx(most, abs=2e-6) and found.tolist() == best
+
+
 def test_empty_table(spark):
     assert search(frame(spark, []), F.col("doc_id") % 20 == 0).collect() == []
