@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,5 +81,61 @@ def test_batches_and_thresholds_lose_nothing(monkeypatch):
             assert scores == pytest.approx(most, abs=2e-6) and found.tolist() == best
 
 
+def test_words_are_those_of_a_plain_split():
+    """Bytes of any kind, cut out of a larger array: lengths, different words, frequencies."""
+    from visitstat.llm import search as S
+    texts = [b"left out", b"", b"  A b\x0b\x0cc\n a", b" \t\r", b"\xff\x80 A\xc3\x84 \x1c x\x1d\xc2\xa0y a\xc3\x84", b"b " * 3000, b""]
+    length, count, terms, tf, words = S.words_of(pa.array(texts)[1:])
+    assert words.tolist() == sorted(set(words.tolist()))
+    end = np.r_[0, count.cumsum()]
+    for i, t in enumerate(texts[1:]):
+        want = Counter(t.lower().split())
+        got = dict(zip(words[terms[end[i]:end[i + 1]]].tolist(), tf[end[i]:end[i + 1]].tolist()))
+        assert length[i] == sum(want.values())
+        assert got == dict(zip(S.hashes(list(want)).tolist(), want.values()))
+
+
+def test_small_shards_are_searched_together(spark):
+    """The work for a query is per unit: shards of small input parts are one unit, unless they are large."""
+    from visitstat.llm import search as S
+    docs = frame(spark, rows()).repartition(6)
+    shards = S.read_shards(docs, "doc_id", "text", F.col("doc_id") % 20 == 0, S.SHARD_WORDS).cache()
+    seen = sorted(shards.select("block", "length", "asked").collect())
+    assert len(seen) > 3
+    assert S.units(shards, 10 ** 6) == ([[r.block for r in seen]], [sum(r.asked for r in seen)])
+    assert S.units(shards, 1) == ([[r.block] for r in seen], [r.asked for r in seen])
+
+
+@pytest.mark.parametrize("few", [0, 1, 10 ** 9])
+def test_bounds_rule_out_no_document(monkeypatch, few):
+    """Documents in two languages and of many lengths: all that reach a threshold are found, whether pairs or whole
+    classes are summed up, and classes of the other language are not even bounded closely."""
+    from visitstat.llm import search as S
+    rng, closely = np.random.default_rng(7), []
+    docs = [np.unique(rng.zipf(1.2, rng.integers(5, 120)) % 3000) + 3000 * (i % 2) for i in range(1500)]
+    flat, count = np.concatenate(docs), np.array([len(d) for d in docs])
+    hashes, terms = np.unique(flat, return_inverse=True)
+    df, tf, cut = np.bincount(terms), rng.integers(1, 4, len(flat)), np.r_[0, count.cumsum()]
+    parts = np.zeros((len(docs), len(hashes)))
+    who = np.repeat(np.arange(len(docs)), count)
+    parts[who, terms] = np.log1p((len(docs) - df + 0.5) / (df + 0.5))[terms] * tf * 2.2 / (
+        tf + 1.2 * (0.25 + 0.75 * count[who] / count.mean()))
+    monkeypatch.setattr(S, "CLASS_DOCS", 200)
+    monkeypatch.setattr(S, "FEW", few)
+    shard = S.Shard([count, count, terms, tf], hashes, df, len(docs), count.mean())
+    assert len(shard.classes) > 4 and sorted(shard.docs[shard.docs >= 0].tolist()) == list(range(len(docs)))
+    found = S.Class.found
+    monkeypatch.setattr(S.Class, "found", lambda self, sums, *x: closely.append(len(sums)) or found(self, sums, *x))
+    for q in range(0, 400, 2):
+        words = terms[cut[q]:cut[q + 1]]
+        score = np.round(parts[:, words].sum(axis=1), 6)
+        level = np.sort(score)[-10]
+        got = {d: s for _, ds, ss in shard.search(words, np.array([len(words)]), 10, lambda d: d, np.array([level - 1e-5])) for d, s in zip(
+            ds.tolist(), ss.tolist())}
+        assert set(np.flatnonzero(score > level)) <= set(got) and len(got) == 10
+        assert all(s == pytest.approx(score[d], abs=2e-6) for d, s in got.items())
+    assert sum(closely) <= 200 * len(shard.classes) * 0.6
+
+
 def test_empty_table(spark):
     assert search(frame(spark, []), F.col("doc_id") % 20 == 0).collect() == []
