@@ -95,6 +95,14 @@ def test_words_are_those_of_a_plain_split():
         assert got == dict(zip(S.hashes(list(want)).tolist(), want.values()))
 
 
+def test_a_very_long_text_is_split_in_pieces():
+    from visitstat.llm import search as S
+    text = b"\n".join(b"Word%d  x" % (i % 70_000) for i in range(300_000))
+    assert len(text) > 3 << 20
+    for got, want in zip(S.words_of_one(text), S.words_of(pa.array([text]))):
+        assert got.tolist() == want.tolist()
+
+
 def test_small_shards_are_searched_together(spark):
     """The work for a query is per unit: shards of small input parts are one unit, unless they are large."""
     from visitstat.llm import search as S
